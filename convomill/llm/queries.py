@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, shards
+from . import chat, packing, shards, sstable
 from .storage import table, written
 
 
@@ -23,13 +23,17 @@ def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(written(chat.formatted_turns(rows)))
 
 
+def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_shards(sstable.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, width=2))
+
+
 def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.minimax_shards(table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_column_generation_packing, op3_prefix_target_chat, op5_minimax_shards)}
+    return {f.__name__: f for f in (op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
