@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, pii, shards, sstable
+from . import chat, lm, packing, pii, shards, sstable
 from .storage import table, written
 
 
@@ -32,12 +32,16 @@ def op5_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op9_deleted_interpolation, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
