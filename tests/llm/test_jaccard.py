@@ -1,0 +1,68 @@
+import random
+import re
+
+import pytest
+
+from convomill.llm import jaccard
+from convomill.llm.components import components
+
+
+def brute(rows, k, num, den):
+    sets = {}
+    for d, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and den * len(x & y) >= num * len(x | y):
+                lo, hi = sorted((find(a), find(b)))
+                root[hi] = lo
+    return {d: (len(sets[d]), find(d)) for d in ids}
+
+
+def cases():
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(400)]
+    rows, common = [], [rng.choice(vocab) for _ in range(60)]
+    for g in range(12):
+        base = [rng.choice(vocab) for _ in range(rng.choice([2, 5, 40, 90, 150]))] + (common if g % 3 == 0 else [])
+        for _ in range(rng.choice([1, 4, 30])):
+            t = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                t[rng.randrange(len(t))] = rng.choice(vocab)
+            rows.append((len(rows) * 3 + 1, " ".join(t)))
+            base = t if g % 2 else base
+    rows += [(10000, None), (10001, ""), (10002, " \n"), (10003, "one"), (10004, "ONE"), (10005, "one two"), (10006, "É x y z"), (10007, "é x y z")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (2, 60)])
+def test_equals_brute_force(spark, k, num):
+    rows = cases()
+    got = jaccard.jaccard_components(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n int"), k, num, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, num, 100)
+    assert len(got) == len(rows)
+
+
+def test_components_of_a_path(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(1000), 60)
+    got = components(spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:], strict=False)] + [(2000, 2001), (5, 5)], "a long, b long")).collect()
+    assert {r.node: r.component for r in got} == {**dict.fromkeys(ids, min(ids)), 2000: 2000, 2001: 2000}
+
+
+def test_one_of_each_and_empty(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "a b c d e f g"), (3, "x"), (4, None), (None, "q r")], "doc_id long, text string")
+    kept = jaccard.one_of_each(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
+    assert jaccard.jaccard_components(docs.limit(0)).count() == 0
