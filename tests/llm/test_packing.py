@@ -6,17 +6,17 @@ import pytest
 from tokenizers import Tokenizer
 
 from convomill.llm import packing
-from convomill.llm.tokens import PieceEncoder
+from convomill.llm.tokens import ByteEncoder, WordEncoder
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["", " ", "a b  c\n d \n e\t\tf", "The cat's 12 hats, isn't it?\nYes.", " lead", "trail ", "é ñ ß x", "x\x1cy z", "a <|endoftext|> b", "<|startoftext|>", "日本 語 テスト", "A" * 3000, "x\r\ny", "a b c", "don't DON'T we'll"]
+TEXTS = ["", " ", "a b  c\n d \n e\t\tf", "The cat's 12 hats, isn't it?\nYes.", " lead", "trail ", "é ñ ß x", "x\x1cy z", "a <|endoftext|> b", "<|startoftext|>", "日本 語 テスト", "A" * 3000, "x\r\ny", "a b c", "don't DON'T we'll", "a|b | c ||", "x.!! y... z., 's", "İ ß É ǅ", "word,"]
 
 
-@pytest.mark.parametrize(("path", "kind"), [(BYTES, "byte_level"), (WORDS, "by_words")])
+@pytest.mark.parametrize(("path", "kind"), [(BYTES, ByteEncoder), (WORDS, WordEncoder)])
 def test_piecewise_ids_are_the_tokenizers_ids(spark, path, kind):
     texts = TEXTS + [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    encoder, whole = getattr(PieceEncoder, kind)(path), Tokenizer.from_file(path)
+    encoder, whole = kind(path), Tokenizer.from_file(path)
     for text in texts:
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text[:50]
 
