@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import written
-from .tokens import ByteEncoder
+from .tokens import byte_encoder
 
 GRAIN = 16
 PART_ROWS = 50_000
@@ -45,7 +45,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int, seq_len: int, te
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ByteEncoder(tokenizer), np.uint32(end_id).tobytes()
+        encoder, end = byte_encoder(tokenizer), np.uint32(end_id).tobytes()
         for batch in batches:
             rows = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

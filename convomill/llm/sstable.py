@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .hashing import mix
 from .storage import shared_dir, written
-from .tokens import WordEncoder
+from .tokens import word_encoder
 
 BLOCK_BYTES, BITS_PER_KEY, PROBES = 1 << 18, 10, 7
 MAGIC = b"CMSSTBL1"
@@ -202,7 +202,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int =
         filesystem.create_dir(root, recursive=True)
         name = f"shard-{context.partitionId():06d}.sst"
         draft = f"{root}/.{name}.{context.taskAttemptId()}"
-        encoder, end, ends = WordEncoder(tokenizer), np.uint32(end_id).tobytes(), []
+        encoder, end, ends = word_encoder(tokenizer), np.uint32(end_id).tobytes(), []
         writer = None
         with filesystem.open_output_stream(draft) as stream:
             writer = ShardWriter(stream, width)

@@ -12,10 +12,11 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cache
 
 import numpy as np
 
-KEPT = 500_000
+KEPT = 1_500_000
 #: White space on which Python and the libraries differ, letters beyond the Latin ones, openings of control strings.
 _ODD = re.compile("[\x1c-\x1f\x85 ɐ-\U0010ffff]|<\\|")
 _PLAIN = re.compile("([a-z]+)([,.])")
@@ -78,16 +79,26 @@ class WordEncoder:
         if _ODD.search(text):
             return self._ids(text)
         known, words = self._known, text.lower().split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > KEPT:
-            known.clear()
-            known.update((x, self._ids(x)) for x in (",", "."))
-        ended = {w: m for w in set(words) if w not in known for m in [_PLAIN.fullmatch(w)]}
-        self._learn([x for x in {m[1] if m else w for w, m in ended.items()} if x not in known])
-        for w, m in ended.items():
-            if m:
-                known[w] = known[m[1]] + known[m[2]]
-        return b"".join([known[w] for w in words])
+        ids = list(map(known.get, words))
+        if None in ids:
+            if len(known) > KEPT:
+                known.clear()
+                known.update((x, self._ids(x)) for x in (",", "."))
+            ended = {w: _PLAIN.fullmatch(w) for w in {w for w, x in zip(words, ids, strict=True) if x is None} | (set(words) if len(known) == 2 else set())}
+            self._learn([x for x in {m[1] if m else w for w, m in ended.items()} if x not in known])
+            for w, m in ended.items():
+                if m:
+                    known[w] = known[m[1]] + known[m[2]]
+            ids = list(map(known.get, words))
+        return b"".join(ids)
+
+
+@cache
+def byte_encoder(path: str) -> ByteEncoder:
+    """One for each worker process, whatever tasks it runs."""
+    return ByteEncoder(path)
+
+
+@cache
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
