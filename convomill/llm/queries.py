@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, lm, packing, pii, shards, sstable
+from . import ann, chat, decontam, jaccard, lm, packing, pii, shards, sstable
 from .storage import table, written
 
 
@@ -41,6 +41,10 @@ def op7_adaptive_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op8_ivf_pq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=100, k=10)
+
+
 def op9_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op7_adaptive_jaccard, op9_deleted_interpolation, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

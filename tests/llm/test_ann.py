@@ -1,0 +1,39 @@
+import numpy as np
+
+from convomill.llm import ann
+
+
+def brute(ids, x, every, k):
+    out = {}
+    for i in np.flatnonzero(ids % every == 0):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        ok = np.flatnonzero(ids != ids[i])
+        out[int(ids[i])] = [(int(ids[j]), float(d[j])) for j in ok[np.lexsort((ids[ok], d[ok]))][:k]]
+    return out
+
+
+def test_recall_and_exact_scores(spark):
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = v.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], np.float32).astype(float)
+    want = brute(ids, x, 100, 10)
+    got = {}
+    for r in ann.nearest(v).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert set(got) == set(want) and all(sorted(g) == list(range(1, 11)) for g in got.values())
+    scores = {q: dict(w) for q, w in want.items()}
+    hit = np.mean([i in scores[q] for q, g in got.items() for i, _ in g.values()])
+    assert hit >= 0.9, hit
+    at = dict(zip(ids.tolist(), x, strict=True))
+    assert all(abs(s - np.sqrt(((at[q] - at[i]) ** 2).sum())) < 1e-12 for q, g in got.items() for i, s in g.values())
+
+
+def test_ties_few_rows_and_unusable(spark):
+    same = [(i, [1.0, 2.0], 0.5) for i in range(0, 900)]
+    odd = [(1000, None, 0.0), (1001, [0.0, 0.0], 0.0), (1002, [1.0, None], 0.0), (1003, [float("nan"), 1.0], 0.0), (1004, [1.0], 0.0), (1005, [float("inf"), 1.0], 0.0)]
+    got = ann.nearest(spark.createDataFrame(same + odd, "vec_id long, embedding array<float>, score double")).collect()
+    assert len(got) == 90 and {r.query_id for r in got} == set(range(0, 900, 100))
+    assert sorted(r.vec_id for r in got if r.query_id == 500) == list(range(10)) and sorted(r.vec_id for r in got if r.query_id == 0) == list(range(1, 11))
+    few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [3.0, 1.0])], "vec_id long, embedding array<float>")).collect()
+    assert [(r["rank"], r.vec_id) for r in few] == [(1, 1), (2, 7)]
+    assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
