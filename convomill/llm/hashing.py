@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_WORDLIKE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in _LOWER)
 _GAP = np.zeros(256, bool)
 _GAP[[9, 10, 11, 12, 13, 32]] = True
 _SLICE = 1 << 20
@@ -36,8 +37,8 @@ def _multipliers(n: int) -> np.ndarray:
     return _at
 
 
-def lowered(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER)
+def lowered(text: str | None, marks: bool = True) -> bytes:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER if marks else _WORDLIKE)
 
 
 def _hash_slice(data: bytes) -> np.ndarray:
@@ -53,8 +54,8 @@ def _hash_slice(data: bytes) -> np.ndarray:
     return mix(np.add.reduceat(terms, first) + lengths.astype(_U) * _U(0x9E3779B97F4A7C15))
 
 
-def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
-    """The hashes of each text's words, in order."""
+def word_hashes(texts: list[str | None], marks: bool = True) -> list[np.ndarray]:
+    """The hashes of each text's words, in order; without marks, ASCII punctuation divides words as white space does."""
     out, batch, size = [], [], 0
 
     def flush() -> None:
@@ -66,7 +67,7 @@ def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
             batch, size = [], 0
 
     for text in texts:
-        data = lowered(text)
+        data = lowered(text, marks)
         if len(data) > _SLICE:
             flush()
             out.append(_hash_long(data))
