@@ -37,8 +37,8 @@ def valued_tokens(text: Column) -> Column:
 def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> DataFrame:
     """keep, pos, h and slots for each window of each text; short: a text of fewer tokens is one window of its own.
 
-    The window's hash is computed inside the loop over positions, so no array
-    of windows exists; slots are looked for in texts that have any.
+    A text becomes one array of its windows' hashes, so what a row carries on
+    does not grow with its text; slots are looked for in texts that have any.
     """
     valued = valued_tokens(F.col(text))
     d = docs.select(*keep, valued.alias("valued"))
@@ -47,10 +47,15 @@ def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> D
     last = F.size("t") - WINDOW
     if short:
         last = F.greatest(last, F.lit(0))
-    d = d.where(last >= 0).where("valued != ''").select(*names, "v", "t", "some", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
-    at = [F.try_element_at("t", F.col("pos") + i + 1) for i in range(WINDOW)]
-    marks = F.filter(F.slice("v", F.col("pos") + 1, WINDOW), lambda x: x.rlike("^[\ue001-\ue003]"))
-    return d.select(*names, "pos", F.xxhash64(*at).alias("h"), F.when(F.col("some"), marks).otherwise(F.array().cast("array<string>")).alias("slots"), *([F.size(F.array_compact(F.array(*at))).alias("len")] if short else []))
+
+    def window(i: Column) -> Column:
+        at = [F.try_element_at("t", i + j + 1) for j in range(WINDOW)]
+        marks = F.filter(F.slice("v", i + 1, WINDOW), lambda x: x.rlike("^[\ue001-\ue003]"))
+        length = [F.size(F.array_compact(F.array(*at))).alias("len")] if short else []
+        return F.struct(i.alias("pos"), F.xxhash64(*at).alias("h"), F.when(F.col("some"), marks).otherwise(F.array().cast("array<string>")).alias("slots"), *length)
+
+    found = F.transform(F.sequence(F.lit(0), last), window)
+    return d.where(last >= 0).where("valued != ''").select(*names, F.inline(found))
 
 
 def benchmark_index(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:

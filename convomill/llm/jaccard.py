@@ -3,15 +3,14 @@
 A document is the set of its distinct k-word shingles, ordered rarest first.
 Two documents whose Jaccard similarity reaches the threshold share at least l
 shingles among their first n - ceil(t n) + l ones, for any l. Each document
-chooses its own l: a longer prefix costs more entries, but a pair is verified
-only if it shares as many of the emitted shingles as the smaller of its two
+chooses its own l: a longer prefix costs more entries, but a pair is verified only if it shares as many of the emitted shingles as the smaller of its two
 choices, which spares documents of frequent shingles most of their candidates.
 The estimate is taken from a sketch of all shingles' frequencies, of fixed
 size whatever the corpus; it steers order and choice only, never the result.
 
 Documents of equal sets are one representative from the start. Large groups
 of near copies are joined in linear steps first: every shingle's holders are
-verified against one of them, drawn at random for each shingle, and linked
+met with one of them, the first in a random order of documents, and linked
 ones form components. After that only pairs of different components are
 enumerated, so copies are not expanded into all pairs, and no link between
 two components is lost.
@@ -33,7 +32,7 @@ from .hashing import shingles, word_hashes
 from .storage import written
 
 SKETCH_BITS, SKETCH_BLOCKS = 20, 64
-MOST_MATCHES, VERIFY_COST = 8, 20.0
+LEAST_MATCHES, MOST_MATCHES, VERIFY_COST = 3, 10, 20.0
 SEND_TO_ALL = 2_000_000
 LINEAR_ROUNDS = 2
 
@@ -74,7 +73,8 @@ def choose_prefix(s: np.ndarray, f: np.ndarray, num: int, den: int) -> tuple[np.
     least = n + (-num * n // den) + 1  # n - ceil(t n) + 1
     order = np.lexsort((s, f))[: least + MOST_MATCHES - 1]
     load = np.cumsum(f[order])
-    choices = np.arange(1, min(MOST_MATCHES, n - least + 1) + 1)
+    most = min(MOST_MATCHES, n - least + 1)
+    choices = np.arange(min(LEAST_MATCHES, most), most + 1)
     load = load[least - 2 + choices]
     cost = (least - 1 + choices) + load + VERIFY_COST * load / choices**2
     matches = int(choices[cost.argmin()])
@@ -150,29 +150,34 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     prepared = written(prefixes(docs, sketch, text, key, k, num, den))
     distinct = prepared.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "need")])
     entries = written(distinct.where("rep is not null").select("rep", "n", "need", F.explode("prefix").alias("h")))
-    shared = entries.groupBy("h").agg(F.count("*").alias("c"), F.min_by("rep", F.xxhash64("rep", "h")).alias("pivot"), F.min_by("n", F.xxhash64("rep", "h")).alias("pivot_n")).where("c > 1").drop("c")
+    first = F.xxhash64("rep")
+    shared = entries.groupBy("h").agg(F.count("*").alias("c"), F.min_by(F.struct("rep", "n", "need"), first).alias("pivot")).where("c > 1").drop("c")
     postings = written(entries.join(shared, "h"))
-    sets = written(candidate_sets(docs, postings.select("rep").distinct(), text, key, k))
     spark = docs.sparkSession
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        reps = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        return written(verified(pairs, written(candidate_sets(docs, reps, text, key, k)), num, den))
+
     links = spark.createDataFrame([], "a long, b long")
     parts = spark.createDataFrame([], "node long, component long")
     live, done = postings, spark.createDataFrame([], "a long, b long")
     for step in range(LINEAR_ROUNDS):
-        against = live.where("rep != pivot").where(similar_size("n", "pivot_n", num, den))
-        pairs = written(against.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct().join(done, ["a", "b"], "left_anti"))
-        links = written(links.unionByName(verified(pairs, sets, num, den)))
+        against = live.where("rep != pivot.rep").where(similar_size("n", "pivot.n", num, den))
+        shares = against.groupBy(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("need", "pivot.need")).alias("least"))
+        pairs = written(shares.where("c >= least").select("a", "b").join(done, ["a", "b"], "left_anti"))
+        links = written(links.unionByName(linked(pairs)))
         done = written(done.unionByName(pairs))
         parts = written(components(links))
         held = postings.select("h", "rep", "n", "need").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        order = F.xxhash64("rep", "h", F.lit(step + 1))
-        mixed = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", order).alias("pivot"), F.min_by("n", order).alias("pivot_n")).where("lo != hi").drop("lo", "hi")
+        order = F.xxhash64("rep", F.lit(step + 1))
+        mixed = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "n", "need"), order).alias("pivot")).where("lo != hi").drop("lo", "hi")
         live = written(held.join(mixed, "h"))
     one, two = live.select("h", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "need", "component")]), live.select("h", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "need", "component")])
     met = one.join(two, "h").where("rep_a < rep_b and component_a != component_b").where(similar_size("n_a", "n_b", num, den))
     counted = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("need_a", "need_b")).alias("need"))
     pairs = written(counted.where("c >= need").select("a", "b").join(done, ["a", "b"], "left_anti"))
-    links = written(links.unionByName(verified(pairs, sets, num, den)))
-    parts = components(links)
+    parts = components(links.unionByName(linked(pairs)))
     reps = distinct.select("sig", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return prepared.select("doc_id", "n", "sig").join(reps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 

@@ -10,7 +10,7 @@ from convomill.llm.components import components
 def brute(rows, k, num, den):
     sets = {}
     for d, t in rows:
-        w = re.findall("[^\x20\x09-\x0d]+", (t or "").lower())
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
     root = {d: d for d in sets}
 
