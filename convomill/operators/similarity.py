@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 GATE = 0.6
 BLOCK = 10_000
@@ -43,7 +44,7 @@ def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     return pairs.join(lw, "l_id").join(rw, "r_id").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), score.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     """The matching-blocks ratio of two texts where it can reach least, else 0: cheaper upper bounds are asked first."""
 
