@@ -19,7 +19,8 @@ import numpy as np
 KEPT = 1_500_000
 #: White space on which Python and the libraries differ, letters beyond the Latin ones, openings of control strings.
 _ODD = re.compile("[\x1c-\x1f\x85 ɐ-\U0010ffff]|<\\|")
-_PLAIN = re.compile("([a-z]+)([,.])")
+#: A run of letters or digits, then one of punctuation: no token reaches from one to the other.
+_PLAIN = re.compile(r"([^\W_]+)([^\w\s]+)")
 _MARK = "|"
 
 
@@ -60,7 +61,7 @@ class WordEncoder:
     def __init__(self, path: str):
         self._whole = _load(path)
         (self._mark,) = self._whole.encode(_MARK, add_special_tokens=False).ids
-        self._known: dict[str, bytes] = {x: self._ids(x) for x in (",", ".")}
+        self._known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -70,8 +71,8 @@ class WordEncoder:
         plain = [w for w in words if _MARK not in w]
         if plain:
             ids = np.array(self._whole.encode(f" {_MARK} ".join(plain), add_special_tokens=False).ids, "<u4")
-            parts = np.split(ids, np.flatnonzero(ids == self._mark))
-            self._known.update((w, p[i > 0 :].tobytes()) for i, (w, p) in enumerate(zip(plain, parts, strict=True)))
+            data, marks = ids.tobytes(), (4 * np.flatnonzero(ids == self._mark)).tolist()
+            self._known.update((w, data[a:b]) for w, a, b in zip(plain, [0, *[m + 4 for m in marks]], [*marks, len(data)], strict=True))
         self._known.update((w, self._ids(w)) for w in words if _MARK in w)
 
     def encode(self, text: str) -> bytes:
@@ -83,9 +84,8 @@ class WordEncoder:
         if None in ids:
             if len(known) > KEPT:
                 known.clear()
-                known.update((x, self._ids(x)) for x in (",", "."))
-            ended = {w: _PLAIN.fullmatch(w) for w in {w for w, x in zip(words, ids, strict=True) if x is None} | (set(words) if len(known) == 2 else set())}
-            self._learn([x for x in {m[1] if m else w for w, m in ended.items()} if x not in known])
+            ended = {w: _PLAIN.fullmatch(w) for w in {w for w in words if w not in known}}
+            self._learn([x for x in {x for w, m in ended.items() for x in (m.groups() if m else (w,))} if x not in known])
             for w, m in ended.items():
                 if m:
                     known[w] = known[m[1]] + known[m[2]]
