@@ -63,5 +63,32 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii)}
 
 
+def _escaped_length(x: str) -> str:
+    """SQL for the length of a text with a backslash in each control string and before each backslash."""
+    marks = ["chr(92)", "'<|'", "'<s>'", "'</s>'", "'[INST]'", "'[/INST]'"]
+    return f"(length({x}) + " + " + ".join(f"(length({x}) - length(replace({x}, {m}, ''))) // length({m})" for m in marks) + ")"
+
+
+CHAT_SQL = f"""
+WITH C AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+S AS (SELECT *, 8 + {_escaped_length("role")} + length(role) - length(replace(role, chr(10), '')) + 1 + {_escaped_length("text")} + 8 AS size FROM C),
+R AS (SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS upto FROM S),
+G AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(size)::BIGINT AS formatted_chars, count(*) FILTER (role = 'assistant') AS n_examples,
+    coalesce(sum(upto - 8) FILTER (role = 'assistant'), 0)::BIGINT AS expanded_chars FROM R GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, n_examples, expanded_chars FROM G"""
+
+JACCARD_SQL = """
+WITH RECURSIVE W AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+S AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM W),
+N AS (SELECT doc_id, count(*) AS n FROM S GROUP BY doc_id),
+P AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM S x JOIN S y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+L AS (SELECT a, b FROM P JOIN N x ON x.doc_id = a JOIN N y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+R(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT R.x, L.b FROM R JOIN L ON R.y = L.a)
+SELECT d.doc_id, coalesce(N.n, 0) AS n_shingles, k.component_id FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM R GROUP BY x) k ON k.x = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that it can express; tests hold the others against brute force."""
+    return {"op3_prefix_target_chat": CHAT_SQL, "op7_adaptive_jaccard": JACCARD_SQL}
