@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import STOPWORDS
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -112,7 +114,7 @@ def _pairing(source: str, prefix: str) -> None:
         + CASE WHEN bullet_count > 0 THEN least(0.35::DOUBLE + 0.03::DOUBLE * bullet_count, 0.65::DOUBLE) ELSE 0 END + CASE WHEN heading_count > 0 THEN least(0.25::DOUBLE + 0.05::DOUBLE * heading_count, 0.45::DOUBLE) ELSE 0 END
         + CASE WHEN code_blocks > 0 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN answer_length BETWEEN 80 AND 2200 THEN 0.55::DOUBLE WHEN answer_length > 2200 THEN 0.2::DOUBLE ELSE 0 END
         + CASE WHEN imperative THEN 0.2::DOUBLE ELSE 0 END, 4) AS score FROM {p}S0"""
-    stop = "'" + "','".join(["the", "and", "for", "that", "with", "from", "this", "have", "into", "your", "about", "they", "their", "them", "over", "each", "such", "also", "been", "than", "just", "will", "only", "much", "more", "used", "very", "make", "made", "even", "most", "like", "some", "what", "when", "where", "how", "why"]) + "'"
+    stop = "'" + "','".join(STOPWORDS) + "'"
     SQL[f"{p}W0"] = f"SELECT path, turn_index, regexp_extract_all(lower(prompt || ' ' || answer), '[a-z][a-z0-9\\\\-]{{3,}}') AS l FROM {p}TURNS"
     SQL[f"{p}W1"] = f"SELECT path, turn_index, unnest(l) AS word, generate_subscripts(l, 1) AS p FROM {p}W0"
     SQL[f"{p}W2"] = f"SELECT path, turn_index, word, count(*) AS n, min(p) AS first FROM {p}W1 WHERE word NOT IN ({stop}) GROUP BY ALL"
