@@ -2,8 +2,11 @@
 
 A document is the set of its distinct k-word shingles, ordered rarest first.
 Two documents whose Jaccard similarity reaches the threshold share at least l
-shingles among their first n - ceil(t n) + l ones, for any l. Each document
-chooses its own l: a longer prefix costs more entries, but a pair is verified only if it shares as many of the emitted shingles as the smaller of its two
+shingles among their first n - a + l ones, for any l, where a is the overlap
+that their two sizes ask for; n - ceil(t n) + l covers every size of partner,
+and a shingle's place tells which of them it counts for. Each document
+chooses its own l: a longer prefix costs more entries, but a pair is verified
+only if it shares as many of the emitted shingles as the smaller of its two
 choices, which spares documents of frequent shingles most of their candidates.
 The estimate is taken from a sketch of all shingles' frequencies, of fixed
 size whatever the corpus; it steers order and choice only, never the result.
@@ -11,9 +14,9 @@ size whatever the corpus; it steers order and choice only, never the result.
 Documents of equal sets are one representative from the start. Large groups
 of near copies are joined in linear steps first: every shingle's holders are
 met with one of them, the first in a random order of documents, and linked
-ones form components. After that only pairs of different components are
-enumerated, so copies are not expanded into all pairs, and no link between
-two components is lost.
+ones form stars. After that only pairs that no star has in common are
+enumerated, so copies are not expanded into all pairs, and no link that could
+join two components is lost.
 """
 
 from __future__ import annotations
@@ -24,14 +27,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import shingles, word_hashes
 from .storage import written
 
-SKETCH_BITS, SKETCH_BLOCKS = 20, 64
+SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 LEAST_MATCHES, MOST_MATCHES, VERIFY_COST = 3, 10, 20.0
 SEND_TO_ALL = 2_000_000
 LINEAR_ROUNDS = 2
@@ -84,7 +87,7 @@ def choose_prefix(s: np.ndarray, f: np.ndarray, num: int, den: int) -> tuple[np.
 def prefixes(docs: DataFrame, sketch: np.ndarray, text: str, key: str, k: int, num: int, den: int) -> DataFrame:
     usual = int(np.median(sketch))
     rare = np.maximum(sketch - 1 - usual * 1.2, 0).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast(rare)  # 4 MB at any size of input
+    shared = docs.sparkSession.sparkContext.broadcast(rare)  # 16 MB at any size of input
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
@@ -133,8 +136,33 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
 
 
-def similar_size(x: str, y: str, num: int, den: int):
-    return F.least(x, y) * den >= F.greatest(x, y) * num
+def star_labels(links: DataFrame) -> DataFrame:
+    """node and component: the first node, in a random order, within two links.
+
+    Nodes of equal labels are connected; all of a star get the same one.
+    """
+    def place(c: str):
+        return F.struct(F.xxhash64(c).alias("order"), F.col(c).alias("id"))
+
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    near = both.groupBy("node").agg(F.least(F.min(place("other")), place("node")).alias("label"))
+    around = both.join(near.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("label"))
+    return around.select("node", F.col("label.id").alias("component"))
+
+
+def counts_for(x: str, y: str, num: int, den: int) -> Column:
+    """Whether a common shingle lies in both prefixes for this pair: in the first n - overlap + l of each, with the smaller l of the two."""
+    n, l, pos = ((F.col(f"{x}.{c}"), F.col(f"{y}.{c}")) for c in ("n", "l", "pos"))
+    overlap = F.ceil(F.lit(num) * (n[0] + n[1]) / F.lit(num + den))
+    room = F.least(*l) - overlap
+    return (F.least(*n) * den >= F.greatest(*n) * num) & (pos[0] < n[0] + room) & (pos[1] < n[1] + room)
+
+
+def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
+    """a < b of the pairs (x, y; a row per common shingle) that share as many shingles as the smaller l asks for."""
+    a, b = F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")
+    shares = met.where(counts_for("x", "y", num, den)).groupBy(a, b).agg(F.count("*").alias("c"), F.min(F.least("x.l", "y.l")).alias("l"))
+    return shares.where("c >= l").select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -149,9 +177,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     sketch = frequency_sketch(docs, text, k)
     prepared = written(prefixes(docs, sketch, text, key, k, num, den))
     distinct = prepared.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n", "prefix", "need")])
-    entries = written(distinct.where("rep is not null").select("rep", "n", "need", F.explode("prefix").alias("h")))
-    first = F.xxhash64("rep")
-    shared = entries.groupBy("h").agg(F.count("*").alias("c"), F.min_by(F.struct("rep", "n", "need"), first).alias("pivot")).where("c > 1").drop("c")
+    entries = written(distinct.where("rep is not null").select("rep", "n", F.col("need").alias("l"), F.posexplode("prefix").alias("pos", "h"))).repartition("h")
+    member = F.struct("rep", "n", "l", "pos")
+    shared = entries.groupBy("h").agg(F.count("*").alias("c"), F.min_by(member, F.xxhash64("rep")).alias("pivot")).where("c > 1").drop("c")
     postings = written(entries.join(shared, "h"))
     spark = docs.sparkSession
 
@@ -160,23 +188,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         return written(verified(pairs, written(candidate_sets(docs, reps, text, key, k)), num, den))
 
     links = spark.createDataFrame([], "a long, b long")
-    parts = spark.createDataFrame([], "node long, component long")
     live, done = postings, spark.createDataFrame([], "a long, b long")
     for step in range(LINEAR_ROUNDS):
-        against = live.where("rep != pivot.rep").where(similar_size("n", "pivot.n", num, den))
-        shares = against.groupBy(F.least("rep", "pivot.rep").alias("a"), F.greatest("rep", "pivot.rep").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("need", "pivot.need")).alias("least"))
-        pairs = written(shares.where("c >= least").select("a", "b").join(done, ["a", "b"], "left_anti"))
+        met = live.where("rep != pivot.rep").select(member.alias("x"), F.col("pivot").alias("y"))
+        pairs = written(candidates(met, num, den).join(done, ["a", "b"], "left_anti"))
         links = written(links.unionByName(linked(pairs)))
         done = written(done.unionByName(pairs))
-        parts = written(components(links))
-        held = postings.select("h", "rep", "n", "need").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        parts = written(star_labels(links))
+        held = postings.select("h", "rep", "n", "l", "pos").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         order = F.xxhash64("rep", F.lit(step + 1))
-        mixed = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("rep", "n", "need"), order).alias("pivot")).where("lo != hi").drop("lo", "hi")
+        mixed = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(member, order).alias("pivot")).where("lo != hi").drop("lo", "hi")
         live = written(held.join(mixed, "h"))
-    one, two = live.select("h", *[F.col(c).alias(f"{c}_a") for c in ("rep", "n", "need", "component")]), live.select("h", *[F.col(c).alias(f"{c}_b") for c in ("rep", "n", "need", "component")])
-    met = one.join(two, "h").where("rep_a < rep_b and component_a != component_b").where(similar_size("n_a", "n_b", num, den))
-    counted = met.groupBy(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).agg(F.count("*").alias("c"), F.min(F.least("need_a", "need_b")).alias("need"))
-    pairs = written(counted.where("c >= need").select("a", "b").join(done, ["a", "b"], "left_anti"))
+    one, two = (live.select("h", F.col("component").alias(f"component_{s}"), member.alias(s)) for s in "xy")
+    met = one.join(two, (one["h"] == two["h"]) & (F.col("x.rep") < F.col("y.rep")) & (F.col("component_x") != F.col("component_y")) & counts_for("x", "y", num, den)).select("x", "y")
+    pairs = written(candidates(met, num, den).join(done, ["a", "b"], "left_anti"))
     parts = components(links.unionByName(linked(pairs)))
     reps = distinct.select("sig", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
     return prepared.select("doc_id", "n", "sig").join(reps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
