@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: WINDOW is what three doublings give.
 WINDOW, MIN_WINDOWS, MIN_LITERALS, MIN_CONSISTENCY = 8, 6, 4, 0.5
 SEND_TO_ALL = 2_000_000
 # Unit words.
@@ -25,37 +26,43 @@ NUM, NAME, UNIT = "\ue001", "\ue002", "\ue003"
 
 
 def valued_tokens(text: Column) -> Column:
-    """Tokens in lower case; a placeholder is its mark followed by the value it stands for."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), "[\ue001-\ue003]", " ")
-    body = F.regexp_replace(body, _UNIT, f"{UNIT}$1")
-    body = F.regexp_replace(body, _NAME, f"{NAME}$1")
-    body = F.regexp_replace(body, _NUMBER, f" {NUM}$0 ")
-    body = F.regexp_replace(F.lower(body), r"(?<=[0-9])[.,:/](?=[0-9])", "\ue004")  # one value stays one token
+    """Tokens in lower case; a placeholder is its mark followed by the value it stands for. Texts without digits are spared the patterns that need one."""
+    body = text
+    names = F.regexp_replace(body, _NAME, f"{NAME}$1")
+    counted = F.regexp_replace(F.regexp_replace(body, _UNIT, f"{UNIT}$1"), _NAME, f"{NAME}$1")
+    counted = F.regexp_replace(F.lower(F.regexp_replace(counted, _NUMBER, f" {NUM}$0 ")), r"(?<=[0-9])[.,:/](?=[0-9])", "\ue004")  # one value stays one token
+    body = F.when(body.rlike("[0-9]"), counted).otherwise(F.lower(names))
     return F.trim(F.regexp_replace(body, r"[^\p{L}\p{N}\ue001-\ue004]+", " "))
 
 
 def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> DataFrame:
-    """keep, pos, h and slots for each window of each text; short: a text of fewer tokens is one window of its own.
+    """keep, h and slots for each window of each text; short: a text of fewer tokens is one window of its own, and len is there too.
 
-    A text becomes one array of its windows' hashes, so what a row carries on
-    does not grow with its text; slots are looked for in texts that have any.
+    A window's hash is built by doubling: of tokens, of pairs, of fours, of
+    eights; so each array is passed over once. What a row carries on does not
+    grow with its text. Slots are looked for in texts that have any.
     """
-    valued = valued_tokens(F.col(text))
-    d = docs.select(*keep, valued.alias("valued"))
-    d = d.select("*", F.split("valued", " ").alias("v"), F.split(F.regexp_replace("valued", "([\ue001-\ue003])\\S+", "$1"), " ").alias("t"), F.col("valued").rlike("[\ue001-\ue003]").alias("some"))
-    names = [c for c in d.columns if c not in ("valued", "v", "t", "some")]
-    last = F.size("t") - WINDOW
-    if short:
-        last = F.greatest(last, F.lit(0))
-
-    def window(i: Column) -> Column:
-        at = [F.try_element_at("t", i + j + 1) for j in range(WINDOW)]
-        marks = F.filter(F.slice("v", i + 1, WINDOW), lambda x: x.rlike("^[\ue001-\ue003]"))
-        length = [F.size(F.array_compact(F.array(*at))).alias("len")] if short else []
-        return F.struct(i.alias("pos"), F.xxhash64(*at).alias("h"), F.when(F.col("some"), marks).otherwise(F.array().cast("array<string>")).alias("slots"), *length)
-
-    found = F.transform(F.sequence(F.lit(0), last), window)
-    return d.where(last >= 0).where("valued != ''").select(*names, F.inline(found))
+    def doubled(h: str, by: int) -> Column:
+        return F.zip_with(h, F.slice(h, by + 1, F.size(h)), lambda x, y: F.xxhash64(x, y))
+
+    d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("body"))
+    names = d.columns[:-1]
+    marked = F.col("body").contains(NUM) | F.col("body").contains(NAME) | F.col("body").contains(UNIT)
+    d = d.withColumn("body", F.when(marked, F.regexp_replace("body", "[\ue001-\ue003]", " ")).otherwise(F.col("body")))
+    d = d.select(*names, valued_tokens(F.col("body")).alias("valued"))
+    d = d.withColumn("some", F.col("valued").rlike("[\ue001-\ue003]"))
+    template = F.when(F.col("some"), F.regexp_replace("valued", "([\ue001-\ue003])\\S+", "$1")).otherwise(F.col("valued"))
+    d = d.withColumns({"v": F.when(F.col("some"), F.split("valued", " ")), "h": F.transform(F.filter(F.split(template, " "), lambda x: x != ""), lambda x: F.xxhash64(x))}).drop("valued")
+    n = F.when(F.size("h") > 0, F.greatest(F.size("h") - WINDOW + 1, F.lit(1))) if short else F.size("h") - WINDOW + 1
+    # a filter would be pushed below and have all patterns run once more; texts without a window have a null array instead
+    d = d.withColumns({"n": n, "len": F.least(F.size("h"), F.lit(WINDOW))})
+    for by in (1, 2, 4):
+        d = d.withColumn("h", doubled("h", by))
+    d = d.withColumn("h", F.when(F.col("n") > 0, F.slice("h", 1, F.greatest("n", F.lit(0)))))
+    marks = F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.filter(F.slice("v", i, WINDOW), lambda x: x.rlike("^[\ue001-\ue003]")))
+    none = F.array().cast("array<string>")
+    found = F.when(F.col("some") & (F.col("n") > 0), F.zip_with("h", marks, lambda h, s: F.struct(h.alias("h"), s.alias("slots")))).otherwise(F.transform("h", lambda h: F.struct(h.alias("h"), none.alias("slots"))))
+    return d.select(*names, *(["len"] if short else []), F.inline(found))
 
 
 def benchmark_index(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
