@@ -128,7 +128,7 @@ def prune_conversations(turns: DataFrame, key: str = "conversation_id") -> DataF
 def flag_duplicates(cards: DataFrame, matches: DataFrame, existing: DataFrame, threshold: float = 0.85) -> DataFrame:
     """cards (note_id, any other fields) with duplicate_flags from their best match (query_id, card_id, score)."""
     e = existing.select(F.col("note_id").alias("m_id"), F.col("deck").alias("m_deck"), F.substring("front", 1, 200).alias("m_front"), F.substring("back", 1, 200).alias("m_back"))
-    m = matches.join(e, F.col("card_id") == F.col("m_id"))
+    m = matches.join(e, F.col("card_id") == F.col("m_id"), "left")
     hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
     flags = F.struct(
         hit.alias("is_likely_duplicate"), F.coalesce(F.round("score", 4), F.lit(0.0)).alias("similarity_score"), F.lit(threshold).alias("threshold_used"),
