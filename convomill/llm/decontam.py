@@ -7,6 +7,9 @@ benchmark items are joined on their hash. A document is contaminated by an
 item if enough distinct windows of the item match and the slots agree: what
 the item's equal values became in the document must be equal too, so a
 re-parameterised question is found and a chance meeting of placeholders isn't.
+The slots are held against each other over all places at once, over the
+windows that are equal with their values, and over each aligned run (the places
+of one offset between document and item); one of the three is enough.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ def valued_tokens(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> DataFrame:
-    """keep, h and slots for each window of each text; short: a text of fewer tokens is one window of its own, and len is there too.
+    """keep, h, slots and place (from 0) for each window of each text; short: a text of fewer tokens is one window of its own, and len is there too.
 
     A window's hash is built by doubling: of tokens, of pairs, of fours, of
     eights; so each array is passed over once. What a row carries on does not
@@ -62,23 +65,46 @@ def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> D
     marks = F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.filter(F.slice("v", i, WINDOW), lambda x: x.rlike("^[\ue001-\ue003]")))
     none = F.array().cast("array<string>")
     found = F.when(F.col("some") & (F.col("n") > 0), F.zip_with("h", marks, lambda h, s: F.struct(h.alias("h"), s.alias("slots")))).otherwise(F.transform("h", lambda h: F.struct(h.alias("h"), none.alias("slots"))))
-    return d.select(*names, *(["len"] if short else []), F.inline(found))
+    placed = F.transform(found, lambda x, i: F.struct(x["h"].alias("h"), x["slots"].alias("slots"), i.alias("place")))
+    return d.select(*names, *(["len"] if short else []), F.inline(placed))
 
 
 def benchmark_index(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """h, item_id, islots of the items' windows, with item_windows. Windows of few literal tokens are left out where the item has others."""
-    w = windows(benchmark, text, F.col(key).cast("long").alias("item_id"), short=True)
-    w = w.withColumn("poor", (F.col("len") - F.size("slots") < MIN_LITERALS).cast("int")).dropDuplicates(["item_id", "h"])
+    """The places of the items' windows: h, item_id, islots, at, poor; window (the first place of the hash), valued (the first place of the hash with these slots); and the item's counts of them: item_windows, item_valued, item_places.
+
+    Windows of few literal tokens are left out where the item has others.
+    Without slots a repeated window has one row.
+    """
+    w = windows(benchmark, text, F.col(key).cast("long").alias("item_id"), short=True).withColumnsRenamed({"slots": "islots", "place": "at"})
+    w = w.withColumn("poor", F.col("len") - F.size("islots") < MIN_LITERALS).drop("len").distinct()
+    first = w.groupBy("item_id", "h").agg(F.min("at").alias("window"))
+    valued = w.groupBy("item_id", "h", "islots").agg(F.min("at").alias("valued"))
     least = w.groupBy("item_id").agg(F.min("poor").alias("least"))
-    w = w.join(least, "item_id").where("poor = least").select("item_id", "h", F.col("slots").alias("islots"))
-    return w.join(w.groupBy("item_id").agg(F.count("*").alias("item_windows")), "item_id")
+    w = w.join(least, "item_id").where("poor = least").drop("least").join(first, ["item_id", "h"]).join(valued, ["item_id", "h", "islots"])
+    w = w.where((F.size("islots") > 0) | (F.col("at") == F.col("window")))
+    counts = w.groupBy("item_id").agg(F.countDistinct("window").alias("item_windows"), F.countDistinct("valued").alias("item_valued"), F.countDistinct("at").alias("item_places"))
+    return w.join(counts, "item_id")
+
+
+def _agreement(pairs: Column) -> Column:
+    """consistency, n_slots and reparameterised of distinct pairs of values."""
+    values = F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"])))
+    consistency = F.when(F.size(pairs) > 0, values / F.size(pairs)).otherwise(F.lit(1.0))
+    return F.struct(consistency.alias("consistency"), values.cast("long").alias("n_slots"), F.exists(pairs, lambda p: p["i"] != p["d"]).alias("reparameterised"))
+
+
+def _distinct(lists: str) -> Column:
+    return F.array_distinct(F.flatten(F.collect_list(lists)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document and item that meet: doc_id, text_hash, item_id, n_windows, item_windows, n_slots, consistency, reparameterised.
 
     Needs MIN_WINDOWS distinct windows (all, of an item with fewer), and where
-    placeholders are needed to reach them, slots of MIN_CONSISTENCY at least.
+    placeholders are needed to reach them, slots of MIN_CONSISTENCY at least,
+    over all places or over an aligned run; or as many windows with the
+    item's own values. The last three columns are of all places where these
+    agree, else of the equal windows, else of the best run.
     Null and empty texts and items meet nothing; a document shorter than
     WINDOW tokens has no window. Copies and repeated rows meet alike, with a
     row per identifier and text. Columns named like ours do not matter.
@@ -89,17 +115,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     w = windows(docs, text, F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"))
     met = w.join(F.broadcast(index) if few else index, "h").where(F.size("slots") == F.size("islots"))
     pairs = F.zip_with("islots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
-    per = met.groupBy("doc_id", "text_hash", "item_id", "h", "item_windows").agg(F.collect_set(pairs).alias("pairs"))  # a repeated window counts once
-    got = per.groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
-        F.count("*").alias("n_windows"), F.sum((F.size(F.flatten("pairs")) == 0).cast("long")).alias("plain"), F.array_distinct(F.flatten(F.flatten(F.collect_list("pairs")))).alias("pairs")
-    )
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    changed = F.exists("pairs", lambda p: p["i"] != p["d"])
-    got = got.withColumn("consistency", F.when(F.size("pairs") > 0, values / F.size("pairs")).otherwise(F.lit(1.0)))
-    needed = F.least(F.lit(MIN_WINDOWS), F.col("item_windows"))
-    return got.where((F.col("n_windows") >= needed) & ((F.col("plain") >= needed) | (F.col("consistency") >= MIN_CONSISTENCY))).select(
-        "doc_id", "text_hash", "item_id", "n_windows", "item_windows", values.cast("long").alias("n_slots"), "consistency", changed.alias("reparameterised")
-    )
+    first, equal = F.col("at") == F.col("window"), F.col("islots") == F.col("slots")
+    run = F.when(F.size("slots") > 0, F.col("place") - F.col("at"))  # null: windows without slots, which count for every run
+    whole = ["doc_id", "text_hash", "item_id", "item_windows", "item_valued", "item_places"]
+    per = met.groupBy(*whole, run.alias("run")).agg(
+        F.collect_set("window").alias("met"), F.collect_set(F.when(first, F.col("window"))).alias("met_first"), F.collect_set(F.when(equal, F.col("valued"))).alias("met_equal"), F.collect_set(F.when(equal | ~F.col("poor"), F.col("at"))).alias("places"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(first, pairs)))).alias("pairs_first"), F.array_distinct(F.flatten(F.collect_set(F.when(equal, pairs)))).alias("pairs_equal"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+    )
+    got = per.groupBy(*whole).agg(
+        F.size(_distinct("met")).alias("n_windows"), F.size(_distinct("met_first")).alias("n_first"), F.size(_distinct("met_equal")).alias("n_equal"), F.coalesce(F.sum(F.when(F.col("run").isNull(), F.size("met"))), F.lit(0)).alias("plain"),
+        _distinct("pairs_first").alias("pairs_first"), _distinct("pairs_equal").alias("pairs_equal"), F.collect_list(F.when(F.col("run").isNotNull(), F.struct(F.size("places").alias("places"), _agreement(F.col("pairs")).alias("agreement")))).alias("runs"),
+    )
+    needed = lambda of: F.least(F.lit(MIN_WINDOWS), F.col(of))
+    pooled, same = _agreement(F.col("pairs_first")), _agreement(F.col("pairs_equal"))
+    runs = F.filter("runs", lambda r: (r["places"] > 0) & (r["places"] + F.col("plain") >= needed("item_places")) & (r["agreement"]["consistency"] >= MIN_CONSISTENCY))
+    agreed = F.when((F.col("n_first") >= needed("item_windows")) & ((F.col("plain") >= needed("item_windows")) | (pooled["consistency"] >= MIN_CONSISTENCY)), pooled)
+    agreed = F.coalesce(agreed, F.when(F.col("n_equal") >= needed("item_valued"), same), F.array_max(F.transform(runs, lambda r: r["agreement"])))
+    return got.withColumn("agreed", agreed).where("agreed is not null").select("doc_id", "text_hash", "item_id", F.col("n_windows").cast("long"), "item_windows", "agreed.n_slots", "agreed.consistency", "agreed.reparameterised")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -34,3 +34,17 @@ def test_empty(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminated(docs, bench).count() == 0 and decontam.decontaminated(docs, bench).count() == 1
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_repeated_templates(spark):
+    priced = lambda rows: " and ".join(f"the price of box {a} is {b} coins" for a, b in rows)
+    item = priced([(1, 10), (2, 20), (3, 30), (4, 40)])
+    once = "a farmer sells 12 boxes of 30 apples each to the market and keeps 12 for the long winter months"
+    others = [once.replace("12", str(100 + i)).replace("30", str(200 + i)) for i in range(9)]
+    counted = " ".join(str(i) for i in range(1, 51))
+    rows = [(1, f"see here: {item}."), (2, ". ".join(others)), (3, ". ".join([*others, once])), (4, priced([(7, 71), (8, 82), (9, 93), (6, 64)])), (5, counted), (6, " ".join(str(i * i) for i in range(900, 990))), (7, item.replace("coins and the price of box 3", "coins and so the price of box 3")), (8, priced([(1, 5)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, once), (3, counted)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 1), (5, 3), (7, 1)}
+    assert not got[1, 1].reparameterised and not got[3, 2].reparameterised and got[2, 2].reparameterised and got[2, 2].consistency == 1.0
