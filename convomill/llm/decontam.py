@@ -14,11 +14,15 @@ of one offset between document and item); one of the three is enough.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: WINDOW is what three doublings give.
 WINDOW, MIN_WINDOWS, MIN_LITERALS, MIN_CONSISTENCY = 8, 6, 4, 0.5
+#: Items of SHORTEST tokens at least are looked for inside documents; shorter ones are met by equal whole documents only.
+SHORTEST = 5
 SEND_TO_ALL = 2_000_000
 # Unit words.
 UNITS = "mm|cm|m|km|mg|g|kg|lb|lbs|oz|ml|l|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|inch|inches|feet|ft|miles?|meters?|metres?|grams?|liters?|litres?|dollars?|euros?|cents?|percent|degrees?"
@@ -38,8 +42,8 @@ def valued_tokens(text: Column) -> Column:
     return F.trim(F.regexp_replace(body, r"[^\p{L}\p{N}\ue001-\ue004]+", " "))
 
 
-def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> DataFrame:
-    """keep, h, slots and place (from 0) for each window of each text; short: a text of fewer tokens is one window of its own, and len is there too.
+def windows(docs: DataFrame, text: str, *keep: Column, lengths: Iterable[int] = ()) -> DataFrame:
+    """keep, h, slots, place (from 0), len and inner for each window of each text; a text of fewer than WINDOW tokens is one window. inner: further windows, of the lengths given (SHORTEST to WINDOW - 1).
 
     A window's hash is built by doubling: of tokens, of pairs, of fours, of
     eights; so each array is passed over once. What a row carries on does not
@@ -48,6 +52,9 @@ def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> D
     def doubled(h: str, by: int) -> Column:
         return F.zip_with(h, F.slice(h, by + 1, F.size(h)), lambda x, y: F.xxhash64(x, y))
 
+    def overlapped(fours: str, k: int) -> Column:
+        return F.zip_with(fours, F.slice(fours, k - 3, F.size(fours)), lambda x, y: F.xxhash64(x, y, F.lit(k)))
+
     d = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("body"))
     names = d.columns[:-1]
     marked = F.col("body").contains(NUM) | F.col("body").contains(NAME) | F.col("body").contains(UNIT)
@@ -56,27 +63,38 @@ def windows(docs: DataFrame, text: str, *keep: Column, short: bool = False) -> D
     d = d.withColumn("some", F.col("valued").rlike("[\ue001-\ue003]"))
     template = F.when(F.col("some"), F.regexp_replace("valued", "([\ue001-\ue003])\\S+", "$1")).otherwise(F.col("valued"))
     d = d.withColumns({"v": F.when(F.col("some"), F.split("valued", " ")), "h": F.transform(F.filter(F.split(template, " "), lambda x: x != ""), lambda x: F.xxhash64(x))}).drop("valued")
-    n = F.when(F.size("h") > 0, F.greatest(F.size("h") - WINDOW + 1, F.lit(1))) if short else F.size("h") - WINDOW + 1
     # a filter would be pushed below and have all patterns run once more; texts without a window have a null array instead
-    d = d.withColumns({"n": n, "len": F.least(F.size("h"), F.lit(WINDOW))})
-    for by in (1, 2, 4):
+    n = F.when(F.size("h") > 0, F.greatest(F.size("h") - WINDOW + 1, F.lit(1)))
+    d = d.withColumns({"size": F.size("h"), "n": n, "len": F.least(F.size("h"), F.lit(WINDOW))})
+    for by in (1, 2):
         d = d.withColumn("h", doubled("h", by))
-    d = d.withColumn("h", F.when(F.col("n") > 0, F.slice("h", 1, F.greatest("n", F.lit(0)))))
-    marks = F.transform(F.sequence(F.lit(1), F.greatest("n", F.lit(1))), lambda i: F.filter(F.slice("v", i, WINDOW), lambda x: x.rlike("^[\ue001-\ue003]")))
+    lengths = list(lengths)
+    d = d.withColumns({f"h{k}": overlapped("h", k) for k in lengths} | {"h": doubled("h", 4)})
     none = F.array().cast("array<string>")
-    found = F.when(F.col("some") & (F.col("n") > 0), F.zip_with("h", marks, lambda h, s: F.struct(h.alias("h"), s.alias("slots")))).otherwise(F.transform("h", lambda h: F.struct(h.alias("h"), none.alias("slots"))))
-    placed = F.transform(found, lambda x, i: F.struct(x["h"].alias("h"), x["slots"].alias("slots"), i.alias("place")))
-    return d.select(*names, *(["len"] if short else []), F.inline(placed))
+
+    def placed(h: str, n: Column, length: Column, inner: bool) -> Column:
+        h = F.when(n > 0, F.slice(h, 1, F.greatest(n, F.lit(0))))
+        marks = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.filter(F.slice("v", i, length), lambda x: x.rlike("^[\ue001-\ue003]")))
+        found = F.when(F.col("some") & (n > 0), F.zip_with(h, marks, lambda h, s: F.struct(h.alias("h"), s.alias("slots")))).otherwise(F.transform(h, lambda h: F.struct(h.alias("h"), none.alias("slots"))))
+        return F.transform(found, lambda x, i: F.struct(x["h"].alias("h"), x["slots"].alias("slots"), i.alias("place"), length.alias("len"), F.lit(inner).alias("inner")))
+
+    found = placed("h", F.col("n"), F.col("len"), False)
+    if lengths:
+        every = [found, *(placed(f"h{k}", F.col("size") - k + 1, F.lit(k), True) for k in lengths)]
+        found = F.flatten(F.filter(F.array(*every), lambda x: x.isNotNull()))
+    return d.select(*names, F.inline(found))
 
 
 def benchmark_index(benchmark: DataFrame, text: str = "text", key: str = "item_id") -> DataFrame:
-    """The places of the items' windows: h, item_id, islots, at, poor; window (the first place of the hash), valued (the first place of the hash with these slots); and the item's counts of them: item_windows, item_valued, item_places.
+    """The places of the items' windows: h, item_id, islots, at, len, inner, poor; window (the first place of the hash), valued (the first place of the hash with these slots); and the item's counts of them: item_windows, item_valued, item_places.
 
     Windows of few literal tokens are left out where the item has others.
-    Without slots a repeated window has one row.
+    Without slots a repeated window has one row. An item of SHORTEST to
+    WINDOW - 1 tokens has two hashes, as a whole text and as an inner window.
     """
-    w = windows(benchmark, text, F.col(key).cast("long").alias("item_id"), short=True).withColumnsRenamed({"slots": "islots", "place": "at"})
-    w = w.withColumn("poor", F.col("len") - F.size("islots") < MIN_LITERALS).drop("len").distinct()
+    w = windows(benchmark, text, F.col(key).cast("long").alias("item_id"), lengths=range(SHORTEST, WINDOW)).withColumnsRenamed({"slots": "islots", "place": "at"})
+    w = w.join(w.groupBy("item_id").agg(F.max("len").alias("longest")), "item_id").where("len = longest").drop("longest")
+    w = w.withColumn("poor", F.col("len") - F.size("islots") < MIN_LITERALS).distinct()
     first = w.groupBy("item_id", "h").agg(F.min("at").alias("window"))
     valued = w.groupBy("item_id", "h", "islots").agg(F.min("at").alias("valued"))
     least = w.groupBy("item_id").agg(F.min("poor").alias("least"))
@@ -105,15 +123,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     over all places or over an aligned run; or as many windows with the
     item's own values. The last three columns are of all places where these
     agree, else of the equal windows, else of the best run.
-    Null and empty texts and items meet nothing; a document shorter than
-    WINDOW tokens has no window. Copies and repeated rows meet alike, with a
+    An item of fewer than WINDOW tokens is met by an equal whole document and,
+    from SHORTEST tokens on, inside any document (there with its own values,
+    where it has few literal tokens).
+    Null and empty texts and items meet nothing. Copies and repeated rows meet alike, with a
     row per identifier and text. Columns named like ours do not matter.
     """
     index = benchmark_index(benchmark).cache()
     few = index.count() <= SEND_TO_ALL
     body = F.coalesce(F.col(text), F.lit(""))
-    w = windows(docs, text, F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"))
+    lengths = sorted(r.len for r in index.where("inner").select("len").distinct().collect())  # WINDOW - SHORTEST at most
+    w = windows(docs, text, F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_hash"), lengths=lengths).drop("len", "inner")
     met = w.join(F.broadcast(index) if few else index, "h").where(F.size("slots") == F.size("islots"))
+    met = met.where(~F.col("inner") | ~F.col("poor") | (F.col("slots") == F.col("islots")))
     pairs = F.zip_with("islots", "slots", lambda i, d: F.struct(i.alias("i"), d.alias("d")))
     first, equal = F.col("at") == F.col("window"), F.col("islots") == F.col("slots")
     run = F.when(F.size("slots") > 0, F.col("place") - F.col("at"))  # null: windows without slots, which count for every run

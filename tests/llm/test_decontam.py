@@ -48,3 +48,12 @@ def test_repeated_templates(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
     assert set(got) == {(1, 1), (2, 2), (3, 2), (4, 1), (5, 3), (7, 1)}
     assert not got[1, 1].reparameterised and not got[3, 2].reparameterised and got[2, 2].reparameterised and got[2, 2].consistency == 1.0
+
+
+def test_short_items(spark):
+    lead = "this long page has some words before the question and many after it"
+    bench = spark.createDataFrame([(1, "Name the longest river of all"), (2, "Why so?"), (3, "What is 3 plus 9?"), (4, "please count all 30 red apples twice"), (5, "name the longest river")], "item_id long, text string")
+    rows = [(1, "name the longest river of ALL!"), (2, f"{lead}: name the longest river of all? {lead}"), (3, "why so"), (4, f"{lead} why so {lead}"), (5, "What is 4 plus 7?"), (6, f"{lead} what is 4 plus 7 {lead}"), (7, f"{lead} what is 3 plus 9 {lead}"), (8, f"{lead} please count all 55 red apples twice"), (9, "name the longest river of"), (10, "what is plus")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 2), (5, 3), (7, 3), (8, 4)}
