@@ -57,3 +57,15 @@ def test_short_items(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
     assert got == {(1, 1), (2, 1), (3, 2), (5, 3), (7, 3), (8, 4)}
+
+
+def test_other_case_and_context(spark):
+    asked = "What is the capital city of the old northern kingdom today?"
+    named = "yesterday Maria and her brother Jonas met old Pedro near the harbour, Anna waited for 12 Hours with Boris"
+    bench = spark.createDataFrame([(1, asked), (2, named), (3, "Hours of rain and wind fell upon the quiet town")], "item_id long, text string")
+    rows = [(1, f"some lead text {asked}"), (2, asked.upper()), (3, f"so {named.lower()} there"), (4, named.upper()), (5, named), (6, named.replace("Maria", "Elena").replace("Jonas", "Peter")), (7, "it had 5 hours of rain and wind fell upon the quiet town"), (8, named.lower().replace("maria", "elena").replace("the harbour", "a lake").replace("jonas", "ben")), (9, f"Some lead. {asked}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, 2), (7, 3), (9, 1)}
+    assert {k for k, r in got.items() if r.reparameterised} == {(6, 2)}
+    assert all(r.n_windows == r.item_windows for (d, _), r in got.items() if d != 6)
