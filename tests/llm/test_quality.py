@@ -44,3 +44,25 @@ def test_no_labels(spark):
     assert [r.accepted for r in quality.scored(docs, quality.fitted(docs, none)).collect()] == [True, True]
     assert quality.accepted_documents(docs, none).count() == 2
     assert quality.scored(docs.limit(0), quality.fitted(docs.limit(0), none)).count() == 0
+
+
+def test_every_document_labelled_and_texts_of_one_identifier(spark):
+    rows, _ = corpus(300)
+    twice = [(7, "another text", "en", "x", "odd"), (7, rows[7][1], "en", "src2", "good")]
+    docs = spark.createDataFrame([(*r[:4], r[4]) for r in rows + twice], "doc_id long, text string, lang string, source string, y string")
+    labels = spark.createDataFrame([(r[0], int(r[4] != "junk"), int(r[4] == "toxic")) for r in rows] + [(None, 1, 0), (9999, None, None)], "doc_id long, quality int, toxic int")
+    first, again = (quality.sampled(d, labels) for d in (docs, docs.orderBy(docs["text"].desc())))
+    assert first.count() == 300 and first.where("pool is not null").count() > 30
+    key = lambda r: r.doc_id
+    assert sorted(first.collect(), key=key) == sorted(again.collect(), key=key)
+    scores = {(r.doc_id, r.score) for r in quality.scored(docs, quality.co_train(first)).collect()}
+    assert scores == {(r.doc_id, r.score) for r in quality.scored(docs, quality.co_train(again)).collect()}
+
+
+def test_few_labels_reject_junk(spark):
+    """What is known to be bad goes at the smallest size too."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    kept = quality.accepted_documents(docs, labels).join(labels, "doc_id")
+    assert kept.where("quality = 0").count() < 0.5 * labels.where("quality = 0").count()
+    assert kept.where("quality = 1 and toxic = 0").count() == labels.where("quality = 1 and toxic = 0").count()
