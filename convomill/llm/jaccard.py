@@ -14,9 +14,14 @@ size whatever the corpus; it steers order and choice only, never the result.
 Documents of equal sets are one representative from the start. Large groups
 of near copies are joined in linear steps first: every shingle's holders are
 met with one of them, the first in a random order of documents, and linked
-ones form stars. After that only pairs that no star has in common are
-enumerated, so copies are not expanded into all pairs, and no link that could
-join two components is lost.
+ones form stars. What remains are pairs of two stars. Those that share only
+shingles of up to HOT_HOLDERS documents are met and counted as rows, which are
+thus bounded by the shingles' entries. Holders of a shingle of more documents
+are compared in blocks of documents of like sizes, a pair of blocks a task, by
+products of their incidence matrices; a task returns no pair but those that
+join two stars, a forest of them. So copies are not expanded into all pairs,
+and no link that could join two components is lost. Components are found over
+stars, not documents.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ from .storage import written
 SKETCH_BITS, SKETCH_BLOCKS = 22, 64
 LEAST_MATCHES, MOST_MATCHES, VERIFY_COST = 3, 10, 20.0
 SEND_TO_ALL = 2_000_000
-LINEAR_ROUNDS = 2
+LINEAR_ROUNDS, HOT_HOLDERS = 2, 64
+BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
 
 
 def _sets(batch_texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -165,6 +171,86 @@ def candidates(met: DataFrame, num: int, den: int) -> DataFrame:
     return shares.where("c >= l").select("a", "b")
 
 
+def links_in_block(table: pa.Table, num: int, den: int) -> list[tuple[int, int]]:
+    """A forest of the links between documents of different components, one on the left, one on the right (of the same block: any two)."""
+    left, right = np.asarray(table.column("left")), np.asarray(table.column("right"))
+    names, component = np.asarray(table.column("rep")), np.asarray(table.column("component"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+    n = np.array([len(x) for x in sets])
+    _, place, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(held > 1, np.cumsum(held > 1) - 1, -1)[place]
+    row = np.repeat(np.arange(len(sets)), n)[column >= 0]
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    overlap = np.zeros((left.sum(), right.sum()), np.float32)
+    for at in range(0, int((held > 1).sum()), COLUMNS):
+        some = slice(*np.searchsorted(column, [at, at + COLUMNS]))
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[row[some], column[some] - at] = 1
+        overlap += x[left] @ x[right].T
+    overlap = overlap.astype(np.int64)
+    near = np.zeros((len(sets), len(sets)), bool)
+    near[np.ix_(left, right)] = (den * overlap >= num * (n[left][:, None] + n[right][None] - overlap)) & (component[left][:, None] != component[right][None])
+    near |= near.T
+    seen, out = np.zeros(len(sets), bool), []
+    for first in range(len(sets)):
+        stack = [] if seen[first] else [first]
+        seen[first] = True
+        while stack:
+            i = stack.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            stack += new.tolist()
+            out += [(int(names[i]), int(names[j])) for j in new]
+    return out
+
+
+def block_pairs(held: DataFrame, num: int, den: int) -> DataFrame:
+    """rep, component, left, right and the pair of blocks (p, size, other, i, j) for holders (p, rep, n, component): all pairs of a p whose sizes allow a link meet in a pair of blocks; pairs of blocks of one component are left out.
+
+    Sizes are put in classes, so that a link's two sizes lie in one class or
+    in two that follow each other.
+    """
+    width = max(float(np.log(den / num)), 1e-3) * 1.0001
+    rows = F.greatest(F.lit(16), F.least(F.lit(BLOCK_ROWS), (BLOCK_SHINGLES / F.exp((F.col("size") + 1) * width)).cast("int")))
+    held = held.withColumn("size", F.floor(F.log("n") / width).cast("int"))
+    sizes = written(held.groupBy("p", "size").agg(F.count("*").alias("c")).select("p", "size", (1 + F.floor((F.col("c") - 1) / rows)).cast("int").alias("blocks")))
+    other = lambda by, name: sizes.select("p", (F.col("size") + by).alias("size"), F.col("blocks").alias(name))
+    held = held.join(sizes, ["p", "size"]).join(other(-1, "above"), ["p", "size"], "left").join(other(1, "below"), ["p", "size"], "left")
+    held = held.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+
+    def each(n: str, of) -> Column:
+        return F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), of)).otherwise(F.array().cast("array<struct<size:int,other:int,i:int,j:int,left:boolean,right:boolean>>"))
+
+    def key(size: Column, other: Column, i: Column, j: Column, left: Column, right: Column) -> Column:
+        return F.struct(size.alias("size"), other.alias("other"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+
+    size, own, yes, no = F.col("size"), F.col("own"), F.lit(True), F.lit(False)
+    places = F.concat(
+        each("blocks", lambda x: key(size, size, F.least(own, x), F.greatest(own, x), own <= x, own >= x)),
+        each("above", lambda x: key(size, size + 1, own, x, yes, no)),
+        each("below", lambda x: key(size - 1, size, x, own, no, yes)),
+    )
+    placed = written(held.select("p", "rep", "component", F.explode(places).alias("at")).select("p", "rep", "component", "at.*"))
+    by = ["p", "size", "other", "i", "j"]
+    mixed = placed.groupBy(*by).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("left").alias("l"), F.max("right").alias("r")).where("lo != hi and l and r")
+    return placed.join(mixed.select(*by), by)
+
+
+def hot_links(hot: DataFrame, docs: DataFrame, num: int, den: int, text: str, key: str, k: int) -> DataFrame:
+    """a and b of links that join the components of holders of frequent shingles (pivot.rep, rep, n, component)."""
+    held = written(hot.select(F.col("pivot.rep").alias("p"), "rep", "n", "component").distinct())
+    blocks = written(block_pairs(held, num, den))
+    sets = written(candidate_sets(docs, blocks.select("rep").distinct(), text, key, k))
+
+    def links(table: pa.Table) -> pa.Table:
+        found = links_in_block(table, num, den)
+        return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+    return blocks.join(sets, "rep").groupBy("p", "size", "other", "i", "j").applyInArrow(links, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
 
@@ -197,13 +283,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         parts = written(star_labels(links))
         held = postings.select("h", "rep", "n", "l", "pos").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         order = F.xxhash64("rep", F.lit(step + 1))
-        mixed = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(member, order).alias("pivot")).where("lo != hi").drop("lo", "hi")
+        mixed = held.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("holders"), F.min_by(member, order).alias("pivot")).where("lo != hi").drop("lo", "hi")
         live = written(held.join(mixed, "h"))
-    one, two = (live.select("h", F.col("component").alias(f"component_{s}"), member.alias(s)) for s in "xy")
+    one, two = (live.where(F.col("holders") <= HOT_HOLDERS).select("h", F.col("component").alias(f"component_{s}"), member.alias(s)) for s in "xy")
     met = one.join(two, (one["h"] == two["h"]) & (F.col("x.rep") < F.col("y.rep")) & (F.col("component_x") != F.col("component_y")) & counts_for("x", "y", num, den)).select("x", "y")
     pairs = written(candidates(met, num, den).join(done, ["a", "b"], "left_anti"))
-    parts = components(links.unionByName(linked(pairs)))
-    reps = distinct.select("sig", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("component", "rep").alias("component"))
+    links = links.unionByName(linked(pairs)).unionByName(hot_links(live.where(F.col("holders") > HOT_HOLDERS), docs, num, den, text, key, k))
+    parts = parts.select("node", F.col("component").alias("part"))
+    for end in "ab":
+        links = links.join(parts.withColumnRenamed("node", end), end, "left").withColumn(f"part_{end}", F.coalesce("part", end)).drop("part")
+    whole = components(links.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")))
+    reps = distinct.select("sig", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("part", F.coalesce("part", "rep"))
+    reps = written(reps.join(whole.withColumnRenamed("node", "part"), "part", "left").select("sig", "rep", F.coalesce("component", "part").alias("class")))
+    names = reps.groupBy("class").agg(F.min("rep").alias("component"))
+    reps = reps.join(names, "class", "left").select("sig", "component")
     return prepared.select("doc_id", "n", "sig").join(reps, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 

@@ -46,8 +46,12 @@ def cases():
     return rows
 
 
-@pytest.mark.parametrize(("k", "num"), [(3, 90), (5, 80), (2, 60)])
-def test_equals_brute_force(spark, k, num):
+@pytest.mark.parametrize(("k", "num", "hot"), [(3, 90, 64), (5, 80, 64), (2, 60, 64), (3, 90, 2), (5, 80, 1), (2, 60, 3)])
+def test_equals_brute_force(spark, monkeypatch, k, num, hot):
+    """hot: from how many holders on blocks are compared; small blocks, so that there are several."""
+    monkeypatch.setattr(jaccard, "HOT_HOLDERS", hot)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(jaccard, "COLUMNS", 64)
     rows = cases()
     got = jaccard.jaccard_components(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, n int"), k, num, 100).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, k, num, 100)
@@ -66,3 +70,20 @@ def test_one_of_each_and_empty(spark):
     kept = jaccard.one_of_each(docs).collect()
     assert sorted(str(r.doc_id) for r in kept) == ["1", "3", "4", "None"]
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
+
+
+def test_large_group_around_the_threshold(spark):
+    """Near copies of which some are linked and some lie just below, a common passage and long texts."""
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(3000)]
+    base, passage, rows = [rng.choice(vocab) for _ in range(130)], [rng.choice(vocab) for _ in range(60)], []
+    for _ in range(300):
+        t = list(base)
+        for _ in range(rng.randint(0, 5)):
+            t[rng.randrange(len(t))] = rng.choice(vocab)
+        rows.append((rng.randrange(10**9), " ".join(t)))
+    rows += [(rng.randrange(10**9), " ".join(passage + [rng.choice(vocab) for _ in range(rng.randint(1, 30))])) for _ in range(150)]
+    long = [rng.choice(vocab) for _ in range(20000)]
+    rows += [(2 * 10**9 + i, " ".join(long[i:])) for i in (0, 900, 1900)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows, 3, 90, 100)
