@@ -1,6 +1,9 @@
+import itertools
 import random
 import re
 
+import numpy as np
+
 from convomill.llm import pii
 
 RULES = {
@@ -44,6 +47,58 @@ def test_repeats_are_labelled_alike(spark):
     assert "555" not in red[200] and red[200].count("<PHONE>") == 2 and red[5].endswith("<EMAIL> or <IP>") and red[202] is None
 
 
+def test_long_runs_and_repeated_rows(spark):
+    long = "0" * 5000 + "1.2.3.4"
+    rows = [(1, f"x {long} y"), (2, "a" * 300 + "@" + "b" * 300), (2, "a" * 300 + "@" + "b" * 300), (3, "a1@" * 50000), (None, "x@y.zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.span_digest(pii.find_spans(docs)).collect()
+    assert len(got) == 5 and next(r for r in got if r.doc_id == 1).n_ip == 1 and next(r for r in got if r.doc_id is None).n_email == 1
+    assert pii.open_candidates(rows[1][1], []) == [(0, 601)]
+    assert pii.redacted(docs).where("doc_id = 1").first().text == "x <IP> y"
+
+
+def chance(field, graph, labels):
+    """Log weight of one labelling, written out."""
+    w = field.weights
+    unary = sum(w["bias"][k] + w["shape"][field.place.get(s, len(field.place))][k] for s, k in zip(graph.shapes, labels, strict=True))
+    return unary + sum(w["near"][labels[i], labels[j]] for i, j in graph.chain) + sum(w["linked"][kind][labels[i], labels[j]] for i, j, kind in graph.skip)
+
+
+def test_messages_equal_enumeration():
+    """On graphs without cycles message passing is exact; with one cycle the labels agree."""
+    rng = np.random.default_rng(1)
+    field = pii.Field(["a", "b"])
+    for c, w in field.weights.items():
+        w += rng.normal(0, 1, w.shape)
+    field.weights["near"] += field.weights["near"].T
+    field.weights["linked"] += field.weights["linked"].transpose(0, 2, 1)
+    for chain, skip, exact in (([(0, 1), (1, 2)], [(0, 3, 0), (2, 4, 1)], True), ([(0, 1), (2, 3)], [], True), ([(0, 1), (1, 2), (2, 3)], [(0, 4, 0), (1, 4, 1)], False)):
+        labels = np.array([-1, -1, 2, -1, -1])
+        graph = pii.Graph(["a", "b", "c", "a", "b"], labels, labels, np.array(chain, int).reshape(-1, 2), np.array(skip, int).reshape(-1, 3))
+        weights = {x: np.exp(chance(field, graph, x)) for x in itertools.product(range(5), repeat=5) if x[2] == 2}
+        truth = np.array([[sum(v for x, v in weights.items() if x[i] == k) for k in range(5)] for i in range(5)]) / sum(weights.values())
+        belief = pii._softmax(field._beliefs(graph, labels)[0], 1)
+        assert not exact or np.abs(belief - truth).max() < 1e-3
+        assert field.labels(graph) == truth.argmax(1).tolist()
+
+
+def test_fitting_climbs_and_restores_disguised_matches():
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    text = lambda: f"call +1 (512) 555-{digits(4)} or +44 20 {digits(4)} {digits(4)} mail u{digits(3)}@mail{digits(1)}.example.com at 10.0.{rng.randint(1, 99)}.7 order {digits(10)} and {digits(8)} or {digits(12)}"
+    train, held = ([g for g in (pii.lesson(text()) for _ in range(n)) if g] for n in (300, 100))
+    graph, unseen = pii.Graph.read(train), pii.Graph.read(held)
+    field = pii.Field(sorted(set(graph.shapes)))
+    gap = lambda f: np.abs(f.expected(graph, graph.known)["linked"] - f.expected(graph, graph.labels)["linked"]).sum()
+    before = gap(field)
+    field.fit(graph)
+    assert gap(field) < 0.3 * before
+    got, hidden = np.array(field.labels(unseen)), (unseen.labels < 0) & (unseen.known > 0)
+    assert hidden.sum() > 50 and (got[hidden] == unseen.known[hidden]).mean() > 0.9
+    clean = (unseen.labels < 0) & (unseen.known == 0)
+    assert clean.sum() > 100 and (got[clean] == 0).mean() > 0.95
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find_spans(docs).count() == 0 and pii.redacted(docs).count() == 0
