@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from .storage import written
 
 #: WINDOW is what three doublings give.
-WINDOW, MIN_WINDOWS, MIN_LITERALS, MIN_CONSISTENCY = 8, 6, 4, 0.5
+WINDOW, MIN_WINDOWS, MIN_LITERALS, MIN_CONSISTENCY = 8, 6, 4, 1.0
 #: Items of SHORTEST tokens at least are looked for inside documents; shorter ones are met by equal whole documents only.
-SHORTEST = 5
+SHORTEST = 4
 SEND_TO_ALL = 2_000_000
 # Unit words.
 UNITS = "mm|cm|m|km|mg|g|kg|lb|lbs|oz|ml|l|s|sec|min|h|hours?|minutes?|seconds?|days?|weeks?|months?|years?|inch|inches|feet|ft|miles?|meters?|metres?|grams?|liters?|litres?|dollars?|euros?|cents?|percent|degrees?"
@@ -120,9 +120,9 @@ def benchmark_index(benchmark: DataFrame, text: str = "text", key: str = "item_i
 
 
 def _agreement(pairs: Column) -> Column:
-    """consistency, n_slots and reparameterised of distinct pairs of values."""
-    values = F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"])))
-    consistency = F.when(F.size(pairs) > 0, values / F.size(pairs)).otherwise(F.lit(1.0))
+    """consistency (1 where each item value has one document value and the other way round), n_slots and reparameterised of distinct pairs of values."""
+    values, others = (F.size(F.array_distinct(F.transform(pairs, lambda p: p[side]))) for side in ("i", "d"))
+    consistency = F.when(F.size(pairs) > 0, F.least(values, others) / F.size(pairs)).otherwise(F.lit(1.0))
     return F.struct(consistency.alias("consistency"), values.cast("long").alias("n_slots"), F.exists(pairs, lambda p: p["i"] != p["d"]).alias("reparameterised"))
 
 
@@ -173,7 +173,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without the contaminated ones."""
-    found = contaminated(docs, benchmark, text, key).select("text_hash").distinct()
-    return docs.join(found, F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("text_hash"), "left_anti")
+    """docs without the contaminated ones; columns as they are, whatever their names.
 
+    Null and empty texts stay, copies and repeated rows go alike; where docs
+    or benchmark are empty, all stay.
+    """
+    found = contaminated(docs, benchmark, text, key).select("text_hash").distinct()
+    names = docs.columns
+    own = next(c for c in (f"hash_{i}" for i in range(len(names) + 1)) if c not in names)
+    return docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(found.withColumnRenamed("text_hash", own), own, "left_anti").select(*names)

@@ -97,9 +97,11 @@ class ShardWriter:
         shared = 0
         while shared < min(len(key), len(self._last)) and key[shared] == self._last[shared]:
             shared += 1
-        n = len(ids) // 4
+        n, values = len(ids) // 4, np.frombuffer(ids, "<u4")
+        if n and int(values.max()) >= 1 << 8 * self._width:
+            raise ValueError(f"id {int(values.max())} does not fit in {self._width} bytes")
         self._entries += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(n)
-        self._ids.append(np.frombuffer(ids, "<u4").astype(self._dtype).tobytes())
+        self._ids.append(values.astype(self._dtype).tobytes())
         self._last, self._count, self._size = key, self._count + 1, self._size + n * self._width
         self._hashes.append(_hash_key(key))
         self.n_docs, self.n_tokens = self.n_docs + 1, self.n_tokens + n
@@ -225,7 +227,11 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int =
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
-    """What the files hold, per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard, slot."""
+    """What the files hold, per document: doc_id, start (ids of all documents before it), n_tokens, ids_crc32, shard, slot.
+
+    A null key and repeated keys come back as they were written, an empty
+    text as its end alone; of no shards nothing.
+    """
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +250,25 @@ def read_shards(shards: DataFrame) -> DataFrame:
 
 
 def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
-    """doc_id and ids of the documents in keys (doc_id), read by binary search in the shards whose range has them."""
+    """doc_id and ids of the documents in keys (doc_id), read by binary search in the shards whose range has them.
+
+    Repeated keys are looked up once; a key without documents gives no row, a
+    null one those with a null key. Of no shards or no keys nothing is found.
+    Other columns are not read. The shards' ranges (two numbers a file) are
+    known to all tasks, and each key finds its shards by binary search.
+    """
+    ranges = shards.select("path", "first_id", "last_id").orderBy("shard").collect()
+    least = -(2**63)  # a null key comes first
+    bound = lambda c: np.array([least if r[c] is None else r[c] for r in ranges], np.int64)
+    shared = shards.sparkSession.sparkContext.broadcast((bound("first_id"), bound("last_id"), [r["path"] for r in ranges]))
+
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, last, paths = shared.value
+        for batch in batches:
+            at = np.asarray(batch.column(0).fill_null(least))
+            lo, hi = np.searchsorted(last, at), np.searchsorted(first, at, "right")
+            key, place = np.repeat(np.arange(len(at)), np.maximum(hi - lo, 0)), [i for x, y in zip(lo, hi, strict=True) for i in range(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([paths[i] for i in place], pa.string()), batch.column(0).take(pa.array(key))], ["path", "doc_id"])
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, reader = None, None
@@ -255,6 +279,5 @@ def lookup(shards: DataFrame, keys: DataFrame) -> DataFrame:
                 found += [(doc, ids.tolist()) for ids in reader.get(doc)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.list_(pa.int64()))], ["doc_id", "ids"])
 
-    ranges = F.broadcast(shards.select("path", "first_id", "last_id"))
-    asked = keys.select("doc_id").distinct().join(ranges, F.col("doc_id").between(F.coalesce("first_id", F.lit(-(2**63))), F.col("last_id")))  # a null key comes first
-    return asked.select("path", "doc_id").repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(read, "doc_id long, ids array<long>")
+    asked = keys.select(F.col("doc_id").cast("long")).distinct().mapInArrow(find, "path string, doc_id long")
+    return asked.repartition("path").sortWithinPartitions("path", "doc_id").mapInArrow(read, "doc_id long, ids array<long>")

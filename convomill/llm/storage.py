@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir; where that is unset (tests), below a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """A new path below spark.checkpoint.dir; where that is unset and all runs on this machine (tests), below a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_dir()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -23,10 +23,10 @@ def test_finds_passages_and_changed_parameters(spark):
     bench = spark.createDataFrame([(*x, 1) for x in plain + asked], "item_id long, text string, pos int")
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
     assert set(got) >= {(i, i) for i, _ in plain} | {(51, 100), (58, 3), (None, 2)}
-    assert {d for d, _ in got} == {*range(10), 51, 52, 58, None}
-    assert got[51, 100].reparameterised and got[51, 100].consistency == 1.0 and got[52, 100].consistency < 1 and not got[3, 3].reparameterised
+    assert {d for d, _ in got} == {*range(10), 51, 53, 58, None} and (53, 101) in got
+    assert got[51, 100].reparameterised and got[51, 100].consistency == 1.0 and not got[3, 3].reparameterised
     kept = {r.doc_id for r in decontam.decontaminated(docs, bench).collect()}
-    assert kept == {50, 53, 54, 55, 56, 57}
+    assert kept == {50, 52, 54, 55, 56, 57}
 
 
 def test_empty(spark):
@@ -36,6 +36,24 @@ def test_empty(spark):
     assert decontam.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_clashing_names(spark):
+    _, plain, _ = items()
+    names = ["text_hash", "item_id", "h", "hash_0", "item_windows", "slots"]
+    docs = spark.createDataFrame([(i, t if i < 5 else t[:20], *["x"] * len(names)) for i, t in plain], ", ".join(["doc_id long", "text string", *[f"{c} string" for c in names]]))
+    bench = spark.createDataFrame([(*x, "y") for x in plain], "item_id long, text string, text_hash string")
+    kept = decontam.decontaminated(docs, bench)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {5, 6, 7, 8, 9}
+
+
+def test_slots_agree_in_both_directions(spark):
+    asked = "a driver needs 12 litres for 90 miles and then 12 litres for 40 miles on the way back home"
+    bench = spark.createDataFrame([(1, asked)], "item_id long, text string")
+    swap = lambda a, b, c, d: asked.replace("12 litres for 90", f"{a} litres for {b}").replace("12 litres for 40", f"{c} litres for {d}")
+    rows = [(1, swap(7, 55, 7, 31)), (2, swap(7, 55, 8, 31)), (3, swap(7, 7, 7, 7)), (4, asked), (5, swap(90, 12, 90, 41))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in decontam.contaminated(docs, bench).collect()} == {1, 4, 5}
+
+
 def test_repeated_templates(spark):
     priced = lambda rows: " and ".join(f"the price of box {a} is {b} coins" for a, b in rows)
     item = priced([(1, 10), (2, 20), (3, 30), (4, 40)])
@@ -56,7 +74,7 @@ def test_short_items(spark):
     rows = [(1, "name the longest river of ALL!"), (2, f"{lead}: name the longest river of all? {lead}"), (3, "why so"), (4, f"{lead} why so {lead}"), (5, "What is 4 plus 7?"), (6, f"{lead} what is 4 plus 7 {lead}"), (7, f"{lead} what is 3 plus 9 {lead}"), (8, f"{lead} please count all 55 red apples twice"), (9, "name the longest river of"), (10, "what is plus")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
-    assert got == {(1, 1), (2, 1), (3, 2), (5, 3), (7, 3), (8, 4)}
+    assert got == {(1, 1), (1, 5), (2, 1), (2, 5), (3, 2), (5, 3), (7, 3), (8, 4), (9, 5)}
 
 
 def test_other_case_and_context(spark):
