@@ -65,9 +65,15 @@ def format_iso(x: Column) -> Column:
 
 
 def parse_user_time(x: Column) -> Column:
-    formats = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
-    plain = F.regexp_replace(F.regexp_replace(x, "T", " "), "Z$", "")
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)) for f in formats])
+    """An ISO time: a day, with hours to fractions of a second, and an offset (else the session's zone); null for anything else."""
+    time = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
+    y = F.regexp_replace(strip(x), ",", ".")
+    part = lambda i: F.regexp_extract(y, time, i)
+    zone = F.regexp_replace(part(5), r"^([+-]\d{2}):?(\d{2})?$", "$1:$2")
+    clock = F.concat(F.substring(part(1), 1, 3), F.when(part(2) == "", ":00:00").when(part(3) == "", F.concat(part(2), F.lit(":00"))).otherwise(part(2)))
+    offset = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
+    full = F.concat(F.substring(y, 1, 10), F.when(part(1) == "", "").otherwise(F.concat(clock, offset)))
+    return F.when(y.rlike(time), full.try_cast("timestamp"))
 
 
 def truncate_prompt(x: Column, limit: int = PROMPT_LIMIT) -> Column:

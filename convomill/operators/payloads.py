@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import truncate_prompt
+from ..functions.text import strip, truncate_prompt
 
 CARDS = "array<struct<conversation_id: string, turn_index: int, context_id: string, deck: string, card_style: string, front: string, back: string, tags: array<string>, confidence: double, notes: string>>"
 
@@ -34,32 +34,41 @@ def generate_payload(conversations: DataFrame, turns: DataFrame, template: str,
     return x.select("batch", F.concat(F.replace(F.lit(template), F.lit("{decks}"), F.lit(listed)), F.lit("\n"), F.to_json(F.struct("conversations"))).alias("payload"))
 
 
-def first_object(text: str | None) -> tuple[str | None, str | None]:
-    """The first reading of a response that is a JSON object, else the last error."""
-    body, error = (text or "").strip(), "empty response"
-    fenced = re.sub(r"^```[a-zA-Z]*\s*|\s*```$", "", body)
-    doubled = re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", fenced)
-    readings = ([body] if body[:1] in ("{", "[") else []) + [fenced, doubled]
-    for reading in readings:
+def without_fence(text: str) -> str:
+    body = text.strip()
+    for opening in ("```json", "```"):
+        if body.startswith(opening):
+            body = body[len(opening) :]
+            break
+    return body.removesuffix("```").strip()
+
+
+def embedded_value(text: str) -> object:
+    """The first JSON value that starts at a brace or bracket."""
+    decoder, last = json.JSONDecoder(), ValueError("no JSON value found")
+    for m in re.finditer(r"[{\[]", text):
         try:
-            value = json.loads(reading)
+            return decoder.raw_decode(text, m.start())[0]
         except ValueError as e:
-            error = str(e)
-            continue
-        if isinstance(value, dict):
-            return json.dumps(value, ensure_ascii=False), None
-        error = "not an object"
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"[{\[]", doubled):
+            last = e
+    raise last
+
+
+def first_object(text: str | None) -> tuple[str | None, str | None]:
+    """The first reading of a response that is a JSON object, else the last error: as it is, without its fence, with stray backslashes doubled, and the first value inside other text."""
+    raw = (text or "").strip()
+    plain = without_fence(raw)
+    readings = [(json.loads, raw)] if raw[:1] in ("{", "[") else []
+    readings += [(json.loads, plain), (json.loads, re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", plain)), (embedded_value, plain)]
+    error = "not an object"
+    for read, body in readings:
         try:
-            value, _ = decoder.raw_decode(doubled, m.start())
+            value = read(body)
         except ValueError as e:
             error = str(e)
             continue
         if isinstance(value, dict):
             return json.dumps(value, ensure_ascii=False), None
-        error = "not an object"
-        break
     return None, error
 
 
@@ -86,24 +95,60 @@ def explode_skips(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.select(*keys, F.inline(skips))
 
 
-def markdown_to_html(x: Column) -> Column:
-    """Fences, inline code, bold, italic, quotes, bullet and numbered lists, paragraphs."""
-    r = F.regexp_replace
-    y = r(x, r"(?s)```(\w*)\n?(.*?)```", "<pre><code>$2</code></pre>")
-    y = r(y, "`([^`\n]+)`", "<code>$1</code>")
-    y = r(y, r"\*\*([^*\n]+)\*\*", "<b>$1</b>")
-    y = r(y, r"(?<![*\w])\*([^*\n]+)\*(?![*\w])", "<i>$1</i>")
-    y = r(y, r"(?m)^> ?(.*)$", "<blockquote>$1</blockquote>")
-    y = r(y, r"(?m)^[-*] (.+)$", "<ul><li>$1</li></ul>")
-    y = r(y, r"(?m)^\d+\. (.+)$", "<ol><li>$1</li></ol>")
-    y = r(r(y, "</ul>\n<ul>", ""), "</ol>\n<ol>", "")
-    y = r(y, r"\n{2,}", "<br><br>")
-    return r(y, "\n", "<br>")
+#: What is kept from conversion, in this order.
+FORMULAS = [r"(?s)\\\[.*?\\\]", r"(?s)\\\(.*?\\\)", r"(?s)\$\$.*?\$\$", r"\$[^$\n]+\$"]
+
+
+def _marked(text: Column, formulas: Column, pattern: str) -> tuple[Column, Column]:
+    """text with a numbered mark for each match, and the formulas with the matches behind them."""
+    found, parts, before = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern), F.size(formulas)
+    mark = lambda i: F.concat(F.lit("__LATEX_"), (before + i).cast("string"), F.lit("__"))
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i < F.size(parts) - 1, F.concat(p, mark(i))).otherwise(p)), ""), F.concat(formulas, found)
+
+
+def with_html(df: DataFrame, column: str, out: str) -> DataFrame:
+    """df with the Markdown of column as HTML: fences, inline code, bold, italic, quotes, lists, line ends and paragraphs; formulas stay as they are. Empty texts stay empty, null ones null."""
+    r, own = F.regexp_replace, f"{out}__"
+    df = df.withColumns({f"{own}x": F.col(column), f"{own}f": F.array().cast("array<string>")})
+    for pattern in FORMULAS:
+        text, formulas = _marked(F.col(f"{own}x"), F.col(f"{own}f"), pattern)
+        df = df.withColumns({f"{own}x": text, f"{own}f": formulas})
+    y = r(r(F.col(f"{own}x"), r"(?s)```(\w*)\n?(.*?)```", "<pre>$2</pre>"), "`([^`]+)`", "<code>$1</code>")
+    y = r(r(y, r"\*\*([^*]+)\*\*", "<b>$1</b>"), r"(?U)(?<![*\w])\*([^*]+)\*(?![*\w])", "<i>$1</i>")
+    y = r(y, r"(?mdU)^>\s*(.+)$", "<blockquote>$1</blockquote>")
+    bullet, number = r"(?U)^[-*+]\s+(.+)$", r"(?U)^\d+\.\s+(.+)$"
+
+    def line(l: Column) -> Column:
+        bare = strip(l)
+        kind = F.when(bare.rlike(bullet), "ul").when(bare.rlike(number), "ol").otherwise("")
+        item = lambda pattern: F.concat(F.lit("<li>"), F.regexp_extract(bare, pattern, 1), F.lit("</li>"))
+        shown = F.when(kind == "ul", item(bullet)).when(kind == "ol", item(number)).when(bare != "", F.concat(l, F.lit("<br>"))).otherwise("")
+        return F.struct(kind.alias("kind"), shown.alias("shown"))
+
+    df = df.withColumn(f"{own}l", F.transform(F.split(y, "\n"), line))
+    rows = F.col(f"{own}l")
+    tag = lambda form, kind: F.when(kind != "", F.format_string(form, kind))
+
+    def pieces(x: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(rows, i - 1)["kind"]).otherwise("")
+        turns = x["kind"] != before
+        return F.filter(F.array(F.when(turns, tag("</%s>", before)), F.when(turns, tag("<%s>", x["kind"])), x["shown"]), lambda p: p.isNotNull())
+
+    last = F.filter(F.array(tag("</%s>", F.element_at(rows, -1)["kind"])), lambda p: p.isNotNull())
+    y = F.array_join(F.concat(F.flatten(F.transform(rows, pieces)), last), "\n")
+    y = r(r(y, r"\n\n+", "</p><p>"), r"\n", "")
+    y = r(r(y, "<br>(</?(?:ul|ol|li|p|pre|blockquote)>)", "$1"), "<br>$", "")
+    df = df.withColumn(f"{own}x", F.when(y.contains("</p><p>"), F.concat(F.lit("<p>"), y, F.lit("</p>"))).otherwise(y))
+    numbered = F.transform(f"{own}f", lambda x, i: F.struct(F.concat(F.lit("__LATEX_"), i.cast("string"), F.lit("__")).alias("mark"), x.alias("x")))
+    back = F.aggregate(numbered, F.col(f"{own}x"), lambda text, f: F.replace(text, f["mark"], f["x"]))
+    return df.withColumn(out, F.when(F.coalesce(F.col(column), F.lit("")) == "", F.col(column)).otherwise(back)).drop(f"{own}x", f"{own}f", f"{own}l")
 
 
 def build_notes(cards: DataFrame) -> DataFrame:
     """card_id, deck, model and fields: Cloze where either side has a cloze mark, else Basic."""
-    front, back = markdown_to_html(F.coalesce("front", F.lit(""))), markdown_to_html(F.coalesce("back", F.lit("")))
+    sides = {c: F.coalesce(c, F.lit("")) for c in ("front", "back")}
+    cards = with_html(with_html(cards.withColumns(sides), "front", "front_html"), "back", "back_html")
+    front, back = F.col("front_html"), F.col("back_html")
     cloze = F.col("front").rlike(r"\{\{c\d+::") | F.coalesce(F.col("back").rlike(r"\{\{c\d+::"), F.lit(False))
     text = F.when(F.trim(F.coalesce("back", F.lit(""))) != "", F.concat(front, F.lit("<br><br>"), back)).otherwise(front)
     return cards.select(

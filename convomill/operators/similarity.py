@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-GATE = 0.6
+GATE, MATCHES = 0.6, 3
 BLOCK = 10_000
 
 
@@ -23,21 +23,28 @@ def distinct_texts(rows: DataFrame, key: str, text: Column) -> DataFrame:
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """left_id, right_id, jaccard of distinct texts (rep, norm) whose word sets reach the threshold.
 
-    Words are ordered rarest first; two sets that reach the threshold share a
-    word among the first n - ceil(t n) + 1 of each, so frequent words make no
-    candidates. Candidates are then compared by their whole word sets.
+    Words are ordered rarest first. Two sets of x and y words that reach the
+    threshold share o = ceil(t / (1 + t) (x + y)) words, so at least m of them
+    lie among the first x - o + m and y - o + m, for any m up to o. A meeting
+    at a later place makes no row, and a pair is compared by its whole word
+    sets (as hashes) only where it meets MATCHES times (o, if that is less).
     """
     def words(df: DataFrame, side: str) -> DataFrame:
-        return df.select(F.lit(side).alias("side"), F.col("rep").alias("id"), F.array_distinct(F.split("norm", " ")).alias("words"))
+        return df.select(F.lit(side).alias("side"), F.col("rep").alias("id"), F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("words"))
 
+    least = F.lit(threshold / (1 + threshold))
     both = words(left, "l").unionByName(words(right, "r")).withColumn("n", F.size("words"))
     entries = both.select("side", "id", "n", F.explode("words").alias("word"))
-    frequency = entries.groupBy("word").agg(F.count("*").alias("df"))
+    sides = entries.groupBy("word").agg(F.count("*").alias("df"), F.countDistinct("side").alias("sides"))
     rank = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "word"))
-    prefix = entries.join(frequency, "word").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    a, b = (prefix.where(F.col("side") == s).select("word", F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n")) for s in "lr")
-    near = (F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9)
-    pairs = a.join(b, "word").where(near).select("l_id", "r_id").distinct()
+    prefix = entries.join(sides, "word").withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + MATCHES) & (F.col("sides") == 2))
+    a, b = (prefix.where(F.col("side") == s).select("word", F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("rank").alias(f"{s}_rank")) for s in "lr")
+    near = F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9
+    overlap = F.greatest(F.lit(1), F.ceil(least * (F.col("l_n") + F.col("r_n")) - 1e-9))
+    needed = F.least(F.lit(MATCHES), overlap)
+    early = (F.col("l_rank") <= F.col("l_n") - overlap + needed) & (F.col("r_rank") <= F.col("r_n") - overlap + needed)
+    met = a.join(b, (a["word"] == b["word"]) & near & early).groupBy("l_id", "r_id").agg(F.count("*").alias("met"), F.min(needed).alias("needed"))
+    pairs = met.where("met >= needed").select("l_id", "r_id")
     lw, rw = (both.where(F.col("side") == s).select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "lr")
     same = F.size(F.array_intersect("l_words", "r_words"))
     score = same / (F.size("l_words") + F.size("r_words") - same)
@@ -66,16 +73,56 @@ def string_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.82
     return texts.select("left_id", "right_id", sequence_ratio("x", "y", F.lit(threshold)).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
+SIDES = (("prompt", "front"), ("answer", "back"))
+
+
+def lexical_join(turns: DataFrame, cards: DataFrame, threshold: float, ratio: float | None = None) -> DataFrame:
+    """turn_id, card_id, side and score (word Jaccard; with ratio the matching-blocks ratio) of distinct texts on both sides.
+
+    turns (turn_id, prompt, answer) and cards (card_id, front, back) hold
+    normalised texts; a prompt is held against fronts, an answer against
+    backs. Identifiers are the smallest of an equal text. Null and empty
+    texts meet nothing.
+    """
+    found = []
+    for mine, theirs in SIDES:
+        left, right = distinct_texts(turns, "turn_id", F.col(mine)), distinct_texts(cards, "card_id", F.col(theirs))
+        pairs = jaccard_join(left, right, threshold) if ratio is None else string_duplicates(left, right, ratio)
+        found.append(pairs.toDF("turn_id", "card_id", "score").withColumn("side", F.lit(theirs)))
+    return found[0].unionByName(found[1])
+
+
+def lexical_duplicates(turns: DataFrame, cards: DataFrame, threshold: float = 0.82) -> DataFrame:
+    """turn_id, is_duplicate and card_id (the smallest that it repeats, else null) for every turn: prompt like a front, or answer like a back."""
+    hits = lexical_join(turns, cards, GATE * threshold, threshold).groupBy("turn_id", "side").agg(F.min("card_id").alias("card_id"))
+    found = []
+    for mine, theirs in SIDES:
+        texts = turns.select("turn_id", F.col(mine).alias("norm")).where("norm != ''")
+        own = hits.where(F.col("side") == theirs).select(F.col("turn_id").alias("rep"), "card_id")
+        found.append(texts.join(distinct_texts(turns, "turn_id", F.col(mine)).join(own, "rep").select("norm", "card_id"), "norm").select("turn_id", "card_id"))
+    least = found[0].unionByName(found[1]).groupBy("turn_id").agg(F.min("card_id").alias("card_id"))
+    return turns.select("turn_id").join(least, "turn_id", "left").select("turn_id", F.col("card_id").isNotNull().alias("is_duplicate"), "card_id")
+
+
+def finite_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
+    """key and v (doubles) of the rows with a usable vector: not null, not zero, every component a finite number, of the commonest length."""
+    v = F.col(column).cast("array<double>")
+    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = df.select(F.col(key).cast("long").alias(key), v.alias("v")).where(F.col("v").isNotNull()).where(~bad & F.exists("v", lambda x: x != 0))
+    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    return rows.where(F.size("v") == (size["n"] if size else 0))
+
+
 def top_matches(queries: DataFrame, cards: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, card_id, score: the k cards of the highest cosine for each query, ties to the smaller id.
 
     Both sides are cut in blocks; a task multiplies one block of queries with
-    one of cards and keeps k of each query. Zero and null vectors match
-    nothing.
+    one of cards and keeps k of each query. Rows that finite_vectors() leaves
+    out, and cards of another length than the queries', match nothing.
     """
     def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
         n = 1 + df.count() // BLOCK
-        rows = df.where(F.col(column).isNotNull()).select(F.col(key).cast("long").alias(name), F.col(column).cast("array<double>").alias("v"))
+        rows = finite_vectors(df, key, column).withColumnRenamed(key, name)
         return rows.withColumn(f"{name[0]}b", F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), n
 
     (q, nq), (c, nc) = blocks(queries, "query_id"), blocks(cards, "card_id")
@@ -85,16 +132,17 @@ def top_matches(queries: DataFrame, cards: DataFrame, k: int, key: str = "vec_id
     def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         ids = np.asarray(t.column(0))
         v = np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-        norm = np.sqrt((v * v).sum(1))
-        return ids[norm > 0], v[norm > 0] / norm[norm > 0, None]
+        return ids, v / np.sqrt((v * v).sum(1))[:, None]
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         (qi, qv), (ci, cv) = unit(left.select(["query_id", "v"])), unit(right.select(["card_id", "v"]))
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(qi) and len(ci):
-            for i, row in zip(qi, qv @ cv.T, strict=True):
-                best = np.lexsort((ci, -row))[:k]
-                out.append((np.full(len(best), i), ci[best], row[best]))
+        if len(qi) and len(ci) and qv.shape[1] == cv.shape[1]:
+            for at in range(0, len(qi), 256):
+                for i, row in zip(qi[at : at + 256], qv[at : at + 256] @ cv.T, strict=True):
+                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                    best = near[np.lexsort((ci[near], -row[near]))[:k]]
+                    out.append((np.full(len(best), i), ci[best], row[best]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0)] * 3
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "card_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
@@ -108,12 +156,30 @@ def semantic_duplicates(queries: DataFrame, cards: DataFrame, threshold: float =
     return top_matches(queries, cards, 1, **names).select("query_id", "card_id", "score", (F.col("score") >= threshold).alias("is_duplicate"))
 
 
-def hybrid_duplicates(string_hits: DataFrame, rest: DataFrame, cards: DataFrame, threshold: float) -> DataFrame:
-    """query_id and method; vectors are compared only for those that no text has caught."""
-    caught = string_hits.select(F.col("left_id").alias("query_id")).distinct()
-    left = rest.join(caught, rest["vec_id"] == caught["query_id"], "left_anti")
-    vectors = semantic_duplicates(left, cards, threshold).where("is_duplicate").select("query_id", F.lit("semantic").alias("method"))
-    return caught.withColumn("method", F.lit("string")).unionByName(vectors)
+def duplicate_turns(turns: DataFrame, cards: DataFrame, method: str = "string", string_threshold: float = 0.82, vector_threshold: float = 0.85) -> DataFrame:
+    """turn_id and method (string or semantic) of the turns that repeat a card.
+
+    turns: turn_id, prompt, answer and, but for string, embedding; cards:
+    card_id, front, back and embedding. hybrid compares vectors only for
+    those that no text has caught.
+    """
+    if method not in ("string", "semantic", "hybrid"):
+        raise ValueError(f"unknown method {method}")
+    caught, rest = None, turns
+    if method != "semantic":
+        caught = lexical_duplicates(turns, cards, string_threshold).where("is_duplicate").select("turn_id", F.lit("string").alias("method"))
+        rest = turns.join(caught, "turn_id", "left_anti")
+    if method == "string":
+        return caught
+    named = lambda df, key: df.select(F.col(key).alias("vec_id"), "embedding")
+    by_vector = semantic_duplicates(named(rest, "turn_id"), named(cards, "card_id"), vector_threshold).where("is_duplicate").select(F.col("query_id").alias("turn_id"), F.lit("semantic").alias("method"))
+    return by_vector if caught is None else caught.unionByName(by_vector)
+
+
+def prune_turns(turns: DataFrame, cards: DataFrame, method: str = "string", string_threshold: float = 0.82, vector_threshold: float = 0.85) -> DataFrame:
+    """turns (with score) that repeat no card, best score first, ties by turn_id."""
+    found = duplicate_turns(turns, cards, method, string_threshold, vector_threshold).select("turn_id")
+    return turns.join(found, "turn_id", "left_anti").orderBy(F.desc("score"), "turn_id")
 
 
 def prune_conversations(turns: DataFrame, key: str = "conversation_id") -> DataFrame:

@@ -72,11 +72,13 @@ DAY = "substring(path, 1, 10)"
 
 @query()
 def scan_transcripts(spark, sf_dir):
+    """Writes a file for each conversation, twice, and scans the folder."""
     out = shared_path(spark)
     rendered = transcripts.render_transcripts(messages_of(spark, sf_dir))
-    rendered.select("value").repartition(8).write.option("lineSep", "\n\0\n").mode("overwrite").text(out + "/all.md")
-    files = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).load(out)
-    return files.select(F.explode(F.split("value", "\n\0\n")).alias("value")).where("value != ''").select(F.sha2("value", 256).alias("content"), F.length("value").alias("chars"))
+    for _ in range(2):
+        transcripts.write_markdown(rendered, out).write.format("noop").mode("overwrite").save()
+    found = transcripts.scan_transcripts(spark, out)
+    return found.select(F.regexp_extract("path", r"\d{4}/\d{2}/\d{2}/[^/]+$", 0).alias("path"), F.sha2("value", 256).alias("content"), F.length("value").alias("chars"))
 
 
 def messages_of(spark, sf_dir):
@@ -84,47 +86,72 @@ def messages_of(spark, sf_dir):
     return e.select(F.col("conv_id").alias("conversation_id"), F.concat(F.lit("Conv "), F.col("conv_id").cast("string")).alias("title"), "pos", "role", "ts_raw", "text")
 
 
-@query(sql("SELECT 'c' || conv_id::VARCHAR AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, role, ts_raw, text FROM T WHERE trim(text) <> ''", "T"))
+TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
+MAPPED = f"""SELECT conv_id, pos, role, ts_raw, CASE pos % 4 WHEN 0 THEN {TRIMMED} WHEN 1 THEN {TRIMMED.replace("text", "text || chr(10) || chr(10) || 'so $x_1$ and $$y$$'")} WHEN 2 THEN {TRIMMED} || CASE WHEN {TRIMMED} = '' THEN '' ELSE chr(10) END || chr(10) || '[image asset: file://' || conv_id::VARCHAR || ']' || chr(10)
+    ELSE '{{"content_type":"code","language":"x","text":"n"}}' END AS said FROM T"""
+
+
+@query(sql("SELECT 'c' || conv_id::VARCHAR AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, role, ts_raw, said AS text FROM M WHERE said <> ''", "T", M=MAPPED))
 def load_export_mapping(spark, sf_dir):
+    """Contents: plain with a citation, two parts with formulas, with an image, of another kind; and hidden, empty and missing messages."""
     e = fx.entries(spark, sf_dir)
-    node = F.struct(
-        F.struct(
-            F.lpad(F.col("pos").cast("string"), 9, "0").alias("id"), F.struct("role").alias("author"), F.unix_timestamp("ts_raw").cast("double").alias("create_time"),
-            F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content"),
-        ).alias("message")
-    )
-    records = e.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos").cast("string").alias("k"), node.alias("v")))).alias("mapping"))
-    text = records.select(F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "mapping")).alias("j"))
-    back = text.select(F.from_json("j", exports.MAPPING).alias("r")).select("r.*")
-    return exports.mapping_messages(back).drop("title")
-
-
-@query(sql("SELECT 'c' || conv_id::VARCHAR AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, role, ts_raw, CASE WHEN pos % 3 = 1 THEN '**[Tool Use: calc]** run' || chr(10) || text ELSE text END || CASE WHEN pos % 3 = 2 THEN chr(10) || chr(10) || '**[Attachment: a.txt]** (txt, 5 bytes)' || chr(10) || chr(10) || '<details>' || chr(10) || '<summary>Attachment content</summary>' || chr(10) || chr(10) || '```' || chr(10) || substring(text, 1, 1000) || CASE WHEN length(text) > 1000 THEN chr(10) || '... (truncated)' ELSE '' END || chr(10) || '```' || chr(10) || '</details>' ELSE '' END AS text FROM T", "T"))
+    content = lambda kind, *parts: F.to_json(F.struct(F.lit(kind).alias("content_type"), F.array(*parts).alias("parts")))
+    image = F.format_string('{"content_type":"image_asset","asset_pointer":"file://%d"}', "conv_id")
+    raw = (
+        F.when(F.col("pos") % 4 == 0, content("text", F.concat("text", F.lit("\ue200cite\ue202turn\ue201"))))
+        .when(F.col("pos") % 4 == 1, content("text", F.col("text"), F.lit("so \\( x_1 \\) and \\[ y\n\\]")))
+        .when(F.col("pos") % 4 == 2, F.replace(content("multimodal_text", F.col("text"), F.lit("@image@")), F.lit('"@image@"'), image))
+        .otherwise('{"content_type":"code","language":"x","text":"n"}')
+    )
+    message = lambda id, raw, hidden: F.concat(F.lit('{"message":{"id":"'), id, F.lit('","author":{"role":"'), "role", F.lit('"},"create_time":'), F.unix_timestamp("ts_raw").cast("string"), F.lit(',"content":'), raw, F.lit(f',"metadata":{{"is_visually_hidden_from_conversation":{hidden}}}}}}}'))
+    key = F.lpad(F.col("pos").cast("string"), 9, "0")
+    node = lambda id, value: F.concat(F.lit('"'), id, F.lit('":'), value)
+    extra = F.concat(key, F.lit("h"))
+    nodes = F.concat_ws(",", node(key, message(key, raw, "false")), node(extra, message(extra, F.lit('{"content_type":"text","parts":["secret"]}'), "true")), node(F.concat(key, F.lit("e")), message(F.concat(key, F.lit("e")), F.lit('{"content_type":"text","parts":[" ",null]}'), "false")), node(F.concat(key, F.lit("n")), F.lit('{"message":null}')))
+    records = e.groupBy("conv_id").agg(F.concat(F.lit('{"id":"c'), F.col("conv_id").cast("string"), F.lit('","mapping":{'), F.array_join(F.collect_list(nodes), ","), F.lit("}}")).alias("j"))
+    back = records.select(F.from_json("j", exports.MAPPING).alias("r")).select("r.*")
+    return exports.mapping_messages(back).select("conversation_id", "pos", "role", "ts_raw", "text")
+
+
+BLOCKS = f"""SELECT 'c' || conv_id::VARCHAR AS conversation_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, role, ts_raw, CASE pos % 3
+    WHEN 0 THEN concat_ws(chr(10), '<details>', '<summary>Thinking</summary>', '', 'hm $y$', '', '</details>', '**[Tool Result: calc]**', '42', nullif({TRIMMED}, ''))
+    WHEN 1 THEN concat_ws(chr(10), '**[Tool Use: calc]** run', nullif({TRIMMED}, ''))
+    ELSE concat_ws(chr(10), nullif({TRIMMED}, ''), '', '**[Attachment: a.txt]** (txt, 5 bytes)', '', '<details>', '<summary>Attachment content</summary>', '', '```', substring(text, 1, 1000) || CASE WHEN length(text) > 1000 THEN chr(10) || '... (truncated)' ELSE '' END, '```', '</details>') END AS text FROM T"""
+
+
+@query(sql(BLOCKS, "T"))
 def load_export_messages(spark, sf_dir):
+    """Blocks of text with a citation, thinking with a formula, tool use, tool results and attachments."""
     e = fx.entries(spark, sf_dir)
-    none = F.lit(None).cast("string")
-    block = lambda kind, text=none, name=none, message=none: F.struct(F.lit(kind).alias("type"), text.alias("text"), name.alias("name"), message.alias("message"))
-    tool = F.when(F.col("pos") % 3 == 1, F.array(block("tool_use", name=F.lit("calc"), message=F.lit("run")))).otherwise(F.array().cast("array<struct<type:string,text:string,name:string,message:string>>"))
+    none, inner = F.lit(None).cast("string"), "array<struct<type:string,text:string>>"
+
+    def block(kind, text=none, thinking=none, name=none, message=none, content=None):
+        return F.struct(F.lit(kind).alias("type"), text.alias("text"), thinking.alias("thinking"), name.alias("name"), message.alias("message"), (F.lit(None) if content is None else content).cast(inner).alias("content"))
+
+    said = block("text", F.concat("text", F.lit("\ue200cite\ue201")))
+    thought = block("thinking", thinking=F.lit(" hm \\( y \\)\n"))
+    found = block("tool_result", name=F.lit("calc"), content=F.array(F.struct(F.lit("text"), F.lit(" 42 \ue200c\ue201")), F.struct(F.lit("image"), F.lit("no")), F.struct(F.lit("text"), F.lit(" "))))
+    blocks = F.when(F.col("pos") % 3 == 0, F.array(thought, found, block("tool_result", name=F.lit("void"), content=F.array()), said)).when(F.col("pos") % 3 == 1, F.array(block("tool_use", name=F.lit("calc"), message=F.lit("run")), said)).otherwise(F.array(said))
     attach = F.when(F.col("pos") % 3 == 2, F.array(F.struct(F.lit("a.txt").alias("file_name"), F.lit("txt").alias("file_type"), F.lit(5).alias("file_size"), F.col("text").alias("extracted_content"))))
-    m = F.struct(F.col("role").alias("sender"), F.concat(F.replace("ts_raw", F.lit(" "), F.lit("T")), F.lit("Z")).alias("created_at"), F.concat(tool, F.array(block("text", F.col("text")))).alias("content"), attach.alias("attachments"))
+    m = F.struct(F.col("role").alias("sender"), F.concat(F.replace("ts_raw", F.lit(" "), F.lit("T")), F.lit("Z")).alias("created_at"), blocks.alias("content"), attach.alias("attachments"))
     records = e.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", m.alias("m")))), lambda r: r["m"]).alias("chat_messages"))
     text = records.select(F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("uuid"), "chat_messages")).alias("j"))
     back = text.select(F.from_json("j", exports.MESSAGES).alias("r")).select("r.*")
-    rows = exports.chat_messages(back).drop("title")
-    order = Window.partitionBy("conversation_id").orderBy("pos")
-    return rows.withColumn("text", F.when(F.col("text") == "", " ").otherwise(F.col("text"))).withColumn("pos", F.row_number().over(order) - 1)
-
+    return exports.chat_messages(back).select("conversation_id", F.col("pos").cast("long").alias("pos"), "role", "ts_raw", "text")
 
-ORACLES["load_export_messages"] = sql("SELECT * FROM M WHERE trim(text) <> ''", M=ORACLES["load_export_messages"])
 
-RENDER = """SELECT conv_id AS conversation_id, min(substring(ts_raw, 1, 10)) AS day, min(replace(substring(ts_raw, 1, 10), '-', '/') || '/' || substring(ts_raw, 1, 10) || '_conv-' || conv_id::VARCHAR || '.md') AS path,
-    sha256('# Conv ' || conv_id::VARCHAR || chr(10) || chr(10) || '- Created: ' || min(ts_raw) || chr(10) || '- Updated: ' || max(ts_raw) || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-    || string_agg('[' || ts_raw || '] ' || role || ':' || chr(10) || text || chr(10), chr(10) ORDER BY pos)) AS content FROM T GROUP BY conv_id"""
+RENDERED = """SELECT conv_id AS conversation_id, min(substring(ts_raw, 1, 10)) AS day, min(replace(substring(ts_raw, 1, 10), '-', '/') || '/' || substring(ts_raw, 1, 10) || '_conv-' || conv_id::VARCHAR || '.md') AS path,
+    regexp_replace('# Conv ' || conv_id::VARCHAR || chr(10) || chr(10) || {link}'- Created: ' || min(ts_raw) || chr(10) || '- Updated: ' || max(ts_raw) || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+    || string_agg('[' || ts_raw || '] ' || role || ':' || CASE WHEN trim(text) = '' THEN '' ELSE chr(10) || text END || chr(10), chr(10) ORDER BY pos), '\\s+$', '') || chr(10) AS value FROM T GROUP BY conv_id"""
+LINK = "'- URL: https://chat.example/c/' || conv_id::VARCHAR || chr(10) || "
 
 
-@query(sql(RENDER, "T"))
+@query(sql("SELECT conversation_id, day, path, sha256(value) AS content FROM R", "T", R=RENDERED.format(link=LINK)))
 def render_transcripts(spark, sf_dir):
-    return transcripts.render_transcripts(messages_of(spark, sf_dir)).select("conversation_id", "day", "path", F.sha2("value", 256).alias("content"))
+    return transcripts.render_transcripts(messages_of(spark, sf_dir), "https://chat.example/c/").select("conversation_id", "day", "path", F.sha2("value", 256).alias("content"))
+
+
+ORACLES["scan_transcripts"] = sql("SELECT path, sha256(value) AS content, length(value) AS chars FROM R", "T", R=RENDERED.format(link=""))
 
 
 @query(sql("SELECT path, CASE WHEN conv_id % 3 = 0 THEN 'written' WHEN conv_id % 3 = 1 THEN 'skipped' ELSE 'updated' END AS status FROM FILES", "FILES"))
@@ -134,12 +161,12 @@ def upsert_status(spark, sf_dir):
     return transcripts.upsert_status(new.select("path", "value"), old)
 
 
-NOTES = "SELECT doc_id AS note_id, source AS deck, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE substring(text, 1, 80) END AS front, CASE WHEN doc_id % 20 = 0 THEN '' ELSE lang END AS back FROM documents"
+NOTES = "SELECT doc_id AS note_id, source AS deck, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS front, CASE WHEN doc_id % 20 = 0 THEN '' ELSE lang END AS back FROM documents"
 
 
 def notes_of(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("note_id"), F.col("source").alias("deck"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.substring("text", 1, 80)).alias("front"), F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.col("lang")).alias("back"))
+    return d.select(F.col("doc_id").alias("note_id"), F.col("source").alias("deck"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("front"), F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.col("lang")).alias("back"))
 
 
 @query(sql("SELECT note_id, deck, CASE deck WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END::BIGINT AS deck_order, trim(regexp_replace(lower(front), '[^a-z0-9]+', ' ', 'g')) AS front_norm, trim(regexp_replace(lower(back), '[^a-z0-9]+', ' ', 'g')) AS back_norm FROM NOTES WHERE deck IN ('src3', 'src1', 'src2') AND NOT (trim(front) = '' AND trim(back) = '')", NOTES=NOTES))
@@ -174,11 +201,15 @@ def migrate_turns(spark, sf_dir):
     return state.migrate_turns(x.withColumnRenamed("path", "source_path").withColumn("context_id", F.lit("")))
 
 
-@query(sql("SELECT card_id, deck, CASE WHEN card_id % 6 = 0 THEN 'Cloze' ELSE 'Basic' END AS model, CASE WHEN card_id % 6 = 0 THEN '{{c1::x}} <b>' || front || '</b><br><br>line<br>next' ELSE '<b>' || front || '</b>' END AS field_1, CASE WHEN card_id % 6 = 0 THEN '' ELSE 'line<br>next' END AS field_2 FROM CARDS", "CARDS"))
+HTML = r"'<p>line</p><p><ul><li>a <i>b</i></li><li>c</li></ul><ol><li>d</li></ol>use \(x*y*z\) and <code>k</code></p>'"
+
+
+@query(sql(f"SELECT card_id, deck, CASE WHEN card_id % 6 = 0 THEN 'Cloze' ELSE 'Basic' END AS model, CASE WHEN card_id % 6 = 0 THEN '{{{{c1::x}}}} <b>' || front || '</b><br><br>' || {HTML} ELSE '<b>' || front || '</b>' END AS field_1, CASE WHEN card_id % 6 = 0 THEN '' ELSE {HTML} END AS field_2 FROM CARDS", "CARDS"))
 def build_notes(spark, sf_dir):
     c = fx.cards(spark, sf_dir)
     bold = F.concat(F.lit("**"), "front", F.lit("**"))
-    return payloads.build_notes(c.select("card_id", "deck", F.when(F.col("card_id") % 6 == 0, F.concat(F.lit("{{c1::x}} "), bold)).otherwise(bold).alias("front"), F.lit("line\nnext").alias("back")))
+    back = F.lit("line\n\n- a *b*\n  + c\n1. d\nuse \\(x*y*z\\) and `k`")
+    return payloads.build_notes(c.select("card_id", "deck", F.when(F.col("card_id") % 6 == 0, F.concat(F.lit("{{c1::x}} "), bold)).otherwise(bold).alias("front"), back.alias("back")))
 
 
 # --- filters -----------------------------------------------------------------
@@ -278,10 +309,9 @@ def key_terms(spark, sf_dir):
     return features.ranked_terms(turns_of(spark, sf_dir), ["path", "turn_index"], F.concat("prompt", F.lit(" "), "answer"), 6).withColumnRenamed("terms", "key_terms")
 
 
-@query(sql("SELECT path, turn_index, CASE WHEN contains(answer, '- first point') AND contains(answer, '### Details') THEN NULL ELSE array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(answer, chr(10)), lambda l: trim(l)), lambda l: regexp_matches(l, '^[#*-]')), lambda l: trim(regexp_replace(l, '^[#*0-9. -]+', ''))), lambda l: l <> '')[1:4], ',') END AS points FROM TURNS WHERE NOT (contains(answer, '- first point') AND contains(answer, '### Details'))", "TURNS"))
+@query(sql("SELECT path, turn_index, array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(answer, chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: regexp_matches(l, '^[#*-]')), lambda l: trim(regexp_replace(l, '^[#*0-9. -]+', ''))), lambda l: l <> '')[1:4], ',') AS points FROM TURNS", "TURNS"))
 def key_points(spark, sf_dir):
-    x = turns_of(spark, sf_dir).where(~(F.col("answer").contains("- first point") & F.col("answer").contains("### Details")))
-    return x.select("path", "turn_index", t.key_points(F.col("answer")).alias("points"))
+    return turns_of(spark, sf_dir).select("path", "turn_index", t.key_points(F.col("answer")).alias("points"))
 
 
 BUILT = "SELECT path, turn_index, sha256(path || ':' || coalesce(first_value(user_ts) OVER (PARTITION BY path ORDER BY turn_index), '')) AS conversation_id, sha256(path || ':' || coalesce(user_ts, '') || prompt || answer) AS context_id, user_ts, assistant_ts, prompt, substring(answer, 1, 2000) AS answer, length(answer)::BIGINT AS answer_chars FROM TURNS"
@@ -305,10 +335,11 @@ def jaccard_pairs(spark, sf_dir):
     return d.join(b, "doc_id").select("doc_id", F.round(t.jaccard(F.col("text"), F.col("next")), 6).alias("similarity"))
 
 
-@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS parsed, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, NULL::VARCHAR AS none FROM events")
+@query("""SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS parsed, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS day, NULL::VARCHAR AS none, strftime(date_trunc('second', ts) - INTERVAL 150 MINUTE, '%Y-%m-%d %H:%M:%S') AS shifted,
+    strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS minute FROM events""")
 def parse_user_ts(spark, sf_dir):
-    e = fx.table(spark, sf_dir, "events")
-    return e.select("event_id", t.parse_user_time(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("parsed"), t.parse_user_time(F.date_format("ts", "yyyy-MM-dd")).alias("day"), t.parse_user_time(F.col("event_type")).alias("none"))
+    e, at = fx.table(spark, sf_dir, "events"), lambda form: t.parse_user_time(F.date_format("ts", form))
+    return e.select("event_id", at("yyyy-MM-dd'T'HH:mm:ss'Z'").alias("parsed"), at("yyyy-MM-dd").alias("day"), t.parse_user_time(F.col("event_type")).alias("none"), at("' 'yyyy-MM-dd HH:mm:ss.SSS'+02:30'").alias("shifted"), at("yyyy-MM-dd HH:mm").alias("minute"))
 
 
 @query(sql("SELECT card_id, CASE WHEN coalesce(is_likely_duplicate, false) THEN CASE WHEN similarity_score >= 0.95::DOUBLE THEN 'VERY HIGH' WHEN similarity_score >= 0.9::DOUBLE THEN 'HIGH' ELSE 'MODERATE' END END AS severity FROM CARDS", "CARDS"))
@@ -329,7 +360,7 @@ def transcript_metadata(spark, sf_dir):
     return turns.transcript_metadata(rendered_parts(spark, sf_dir))
 
 
-@query()
+@query(sql(f"SELECT replace(substring(first, 1, 10), '-', '/') || '/' || substring(first, 1, 10) || '_conv-' || conv_id::VARCHAR || '.md' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS entry, role, ts_raw, {TRIMMED} AS text FROM E WHERE role IN ('user', 'assistant')", "T", E="SELECT *, min(ts_raw) OVER (PARTITION BY conv_id) AS first FROM T"))
 def parse_entries(spark, sf_dir):
     return turns.parse_entries(rendered_parts(spark, sf_dir))
 
@@ -502,9 +533,37 @@ def jaccard_join(spark, sf_dir):
     return similarity.jaccard_join(*sides(spark, sf_dir), 0.492).withColumn("jaccard", F.round("jaccard", 6))
 
 
+def turn_card_sides(spark, sf_dir):
+    """Every second document is a turn, with its text in the prompt, the answer or both; the others are cards likewise. Vectors are those of the same number."""
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", t.normalize_text(F.col("text")).alias("norm"))
+    e = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    shown = lambda when, name, other: F.when(F.expr(when), F.col("norm")).otherwise(F.concat(F.lit(other), "source") if other else "").alias(name)
+    t_, c = (d.where(F.col("doc_id") % 2 == k).join(e, "doc_id", "left") for k in (0, 1))
+    return t_.select(F.col("doc_id").alias("turn_id"), shown("doc_id % 3 != 0", "prompt", "question "), shown("doc_id % 3 != 1", "answer", "answer "), F.col("n_chars").alias("score"), "embedding"), c.select(F.col("doc_id").alias("card_id"), shown("doc_id % 5 < 3", "front", ""), shown("doc_id % 5 > 1", "back", ""), "embedding")
+
+
+LEXICAL = """WITH N AS (SELECT doc_id, source, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM documents), V AS (
+    SELECT 'front' AS side, 0 AS card, doc_id, CASE WHEN doc_id % 3 <> 0 THEN norm ELSE 'question ' || source END AS norm FROM N WHERE doc_id % 2 = 0 UNION ALL SELECT 'front', 1, doc_id, CASE WHEN doc_id % 5 < 3 THEN norm ELSE '' END FROM N WHERE doc_id % 2 = 1 UNION ALL
+    SELECT 'back', 0, doc_id, CASE WHEN doc_id % 3 <> 1 THEN norm ELSE 'answer ' || source END FROM N WHERE doc_id % 2 = 0 UNION ALL SELECT 'back', 1, doc_id, CASE WHEN doc_id % 5 > 1 THEN norm ELSE '' END FROM N WHERE doc_id % 2 = 1),
+    R AS (SELECT side, card, norm, min(doc_id) AS id FROM V WHERE norm <> '' GROUP BY ALL), W AS (SELECT DISTINCT side, card, id, unnest(string_split(norm, ' ')) AS word FROM R), S AS (SELECT side, card, id, count(*) AS n FROM W GROUP BY ALL),
+    P AS (SELECT a.side, a.id AS l, b.id AS r, count(*) AS c FROM W a JOIN W b ON a.side = b.side AND a.word = b.word AND a.card = 0 AND b.card = 1 GROUP BY ALL)
+    SELECT P.side, l AS turn_id, r AS card_id, round(c::DOUBLE / (x.n + y.n - c), 6) AS score FROM P JOIN S x ON x.side = P.side AND x.card = 0 AND x.id = l JOIN S y ON y.side = P.side AND y.card = 1 AND y.id = r WHERE c::DOUBLE / (x.n + y.n - c) >= 0.492::DOUBLE"""
+
+
+@query(LEXICAL)
+def lexical_join(spark, sf_dir):
+    """The word gate on both sides: prompts against fronts, answers against backs."""
+    return similarity.lexical_join(*turn_card_sides(spark, sf_dir), 0.492).withColumn("score", F.round("score", 6))
+
+
 @query()
 def string_dedup(spark, sf_dir):
-    return similarity.string_duplicates(*sides(spark, sf_dir), 0.82).withColumn("ratio", F.round("ratio", 6))
+    return similarity.lexical_join(*turn_card_sides(spark, sf_dir), 0.492, 0.82).withColumn("score", F.round("score", 6))
+
+
+@query()
+def lexical_dedup(spark, sf_dir):
+    return similarity.lexical_duplicates(*turn_card_sides(spark, sf_dir), 0.82)
 
 
 def vectors(spark, sf_dir):
@@ -528,15 +587,17 @@ def semantic_dedup(spark, sf_dir):
 
 @query()
 def hybrid_dedup(spark, sf_dir):
-    return similarity.hybrid_duplicates(similarity.string_duplicates(*sides(spark, sf_dir), 0.82), *vectors(spark, sf_dir), 0.3)
+    return similarity.duplicate_turns(*turn_card_sides(spark, sf_dir), "hybrid", 0.82, 0.3)
 
 
 @query()
 def prune_turns(spark, sf_dir):
-    hits = similarity.string_duplicates(*sides(spark, sf_dir), 0.82)
-    d = fx.table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "n_chars", t.normalize_text(F.col("text")).alias("norm"))
-    caught = hits.join(sides(spark, sf_dir)[0], hits["left_id"] == F.col("rep")).select("norm").distinct()
-    return d.join(caught, "norm", "left_anti").select("doc_id", "n_chars").orderBy(F.desc("n_chars"), "doc_id")
+    return similarity.prune_turns(*turn_card_sides(spark, sf_dir), "hybrid", 0.82, 0.3).select("turn_id", "score")
+
+
+@query(f"""SELECT t.doc_id AS turn_id, t.n_chars AS score FROM documents t LEFT JOIN ({KNN.format(k=1).replace("embeddings", "(SELECT * FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))")}) k ON k.query_id = t.doc_id WHERE t.doc_id % 2 = 0 AND coalesce(k.score < 0.3::DOUBLE, true)""")
+def prune_turns_semantic(spark, sf_dir):
+    return similarity.prune_turns(*turn_card_sides(spark, sf_dir), "semantic", vector_threshold=0.3).select("turn_id", "score")
 
 
 @query(f"""SELECT query_id % 25 AS conversation_id, count(*) AS turn_count, coalesce(string_agg(query_id::VARCHAR, ',' ORDER BY query_id) FILTER (score >= 0.3::DOUBLE), '') AS duplicate_turns,
@@ -713,9 +774,10 @@ def responses_of(spark, sf_dir):
     return fx.table(spark, sf_dir, "events").withColumn("j", d).select("event_id", "user_id", kinds.alias("response"))
 
 
-@query("SELECT event_id, event_id % 5 <> 4 AS ok FROM events")
+@query(r"""SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN '{"cards": [{"conversation_id": "c' || user_id::VARCHAR || '", "turn_index": 1, "deck": "d", "front": ' || CASE WHEN event_id % 5 = 3 THEN '"\\alpha"' ELSE '"f"' END
+    || ', "back": "b", "tags": ["x"], "confidence": 0.5, "extra": 1}, {"front": "second"}], "skipped_conversations": []}' END AS parsed FROM events""")
 def parse_responses(spark, sf_dir):
-    return payloads.parse_responses(responses_of(spark, sf_dir)).select("event_id", F.col("parsed").isNotNull().alias("ok"))
+    return payloads.parse_responses(responses_of(spark, sf_dir)).select("event_id", "parsed")
 
 
 @query("SELECT event_id, i AS card_index, CASE WHEN i = 0 THEN 'c' || user_id::VARCHAR END AS conversation_id, CASE WHEN i = 1 THEN 'second' WHEN event_id % 5 = 3 THEN chr(92) || 'alpha' ELSE 'f' END AS front, CASE WHEN i = 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN i = 0 THEN '1' END AS extra FROM events, range(2) r(i) WHERE event_id % 5 <> 4")

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import format_iso, format_unix, strip
+from ..functions.text import convert_latex, format_iso, format_unix, strip, strip_citations
 
 MAPPING = """
     id string, conversation_id string, title string, create_time double, update_time double,
     mapping map<string, struct<message: struct<id: string, author: struct<role: string>, create_time: double,
-        content: struct<content_type: string, parts: array<string>>, metadata: struct<is_visually_hidden_from_conversation: boolean>>>>
+        content: string, metadata: struct<is_visually_hidden_from_conversation: boolean>>>>
 """
 MESSAGES = """
     uuid string, name string, created_at string, updated_at string,
@@ -18,7 +18,9 @@ MESSAGES = """
         content: array<struct<type: string, text: string, thinking: string, name: string, message: string, content: array<struct<type: string, text: string>>>>,
         attachments: array<struct<file_name: string, file_type: string, file_size: long, extracted_content: string>>>>
 """
+CONTENT = "content_type string, parts array<string>"
 ATTACHMENT_LIMIT = 1000
+MESSAGE = ["conversation_id", "title", "created", "updated", "pos", "role", "ts_raw", "text"]
 
 
 def detect_format(records: DataFrame) -> str:
@@ -35,30 +37,49 @@ def read_export(spark: SparkSession, path: str, schema: str | None = None) -> Da
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def content_text(content: Column) -> Column:
-    """Text parts joined by a blank line; image parts (JSON objects with a pointer) as pointers; other contents as JSON."""
-    pointer = lambda p: F.get_json_object(p, "$.asset_pointer")
-    part = lambda p: F.when(pointer(p).isNotNull(), F.concat(F.lit("[image: "), pointer(p), F.lit("]"))).otherwise(p)
-    texts = F.array_join(F.filter(F.transform(content["parts"], part), lambda p: p.isNotNull()), "\n\n")
-    return F.when(content["content_type"].isin("text", "multimodal_text"), texts).otherwise(F.to_json(content))
+def cleaned(text: Column) -> Column:
+    """Without citation marks, formulas in dollar signs, without white space around."""
+    return strip(convert_latex(strip_citations(text)))
 
 
-def mapping_messages(records: DataFrame) -> DataFrame:
-    """conversation_id, title, pos, role, ts_raw, text: all nodes by time and id, without hidden and empty messages."""
-    m = records.select(F.coalesce("conversation_id", "id").alias("conversation_id"), "title", F.explode(F.map_values("mapping")).alias("node")).select("conversation_id", "title", "node.message.*").where("author is not null")
-    m = m.where(~F.coalesce(F.col("metadata.is_visually_hidden_from_conversation"), F.lit(False))).withColumn("text", content_text(F.col("content")))
-    m = m.where(strip(F.coalesce("text", F.lit(""))) != "")
-    order = Window.partitionBy("conversation_id").orderBy(F.coalesce("create_time", F.lit(0.0)), F.coalesce("id", F.lit("")))
-    return m.select("conversation_id", "title", (F.row_number().over(order) - 1).alias("pos"), F.col("author.role").alias("role"), format_unix(F.col("create_time")).alias("ts_raw"), "text")
+def lines_of(*parts: Column) -> Column:
+    """Arrays of lines as one text, without nulls."""
+    return F.array_join(F.filter(F.concat(*parts), lambda x: x.isNotNull()), "\n")
+
 
+def content_text(raw: Column, content: Column) -> Column:
+    """Text parts joined by a blank line and cleaned, each image after them as a pointer; contents of other kinds as their JSON. raw: the content's JSON; content: the same, parsed."""
+    kind = lambda p: F.get_json_object(p, "$.content_type")
+    parts = F.coalesce(content["parts"], F.array().cast("array<string>"))
+    body = cleaned(F.array_join(F.filter(parts, lambda p: p.isNotNull() & kind(p).isNull()), "\n\n"))
+    images = F.transform(parts, lambda p: F.when(kind(p) == "image_asset", F.concat(F.lit("\n[image asset: "), F.get_json_object(p, "$.asset_pointer"), F.lit("]\n"))))
+    both = lines_of(F.array(F.nullif(body, F.lit(""))), images)
+    return F.when(content["content_type"] == "text", body).when(content["content_type"] == "multimodal_text", both).otherwise(F.coalesce(raw, F.lit("{}")))
 
-def block_text(b: Column) -> Column:
-    inner = F.array_join(F.transform(F.filter(b["content"], lambda c: c["type"] == "text"), lambda c: c["text"]), "\n")
+
+def mapping_messages(records: DataFrame) -> DataFrame:
+    """MESSAGE columns: all nodes by time and id, without hidden and empty messages. created and updated are the conversation's own times."""
+    m = records.select(
+        F.coalesce("id", "conversation_id").alias("conversation_id"), "title", format_unix(F.col("create_time")).alias("created"), format_unix(F.col("update_time")).alias("updated"), F.explode(F.map_values("mapping")).alias("node")
+    ).select("conversation_id", "title", "created", "updated", F.col("node.message").alias("m"))
+    m = m.where("m is not null").where(~F.coalesce(F.col("m.metadata.is_visually_hidden_from_conversation"), F.lit(False)))
+    m = m.withColumn("content", F.from_json("m.content", CONTENT)).withColumn("text", content_text(F.col("m.content"), F.col("content")))
+    m = m.where(strip(F.col("text")) != "")
+    order = Window.partitionBy("conversation_id").orderBy(F.coalesce("m.create_time", F.lit(0.0)), F.coalesce("m.id", F.lit("")))
+    role = F.coalesce(F.nullif(strip(F.col("m.author.role")), F.lit("")), F.lit("unknown"))
+    return m.select("conversation_id", "title", "created", "updated", (F.row_number().over(order) - 1).alias("pos"), role.alias("role"), format_unix(F.col("m.create_time")).alias("ts_raw"), "text")
+
+
+def block_lines(b: Column) -> Column:
+    """A block's lines; null where it says nothing."""
+    said, thought = F.nullif(cleaned(b["text"]), F.lit("")), F.nullif(cleaned(b["thinking"]), F.lit(""))
+    name, inner = F.coalesce(b["name"], F.lit("unknown")), F.filter(b["content"], lambda c: c["type"] == "text")
+    result = lines_of(F.array(F.concat(F.lit("**[Tool Result: "), name, F.lit("]**"))), F.transform(inner, lambda c: F.nullif(cleaned(c["text"]), F.lit(""))))
     return (
-        F.when(b["type"] == "text", b["text"])
-        .when(b["type"] == "thinking", F.concat(F.lit("<details>\n<summary>Thinking</summary>\n\n"), b["thinking"], F.lit("\n\n</details>")))
-        .when(b["type"] == "tool_use", F.concat(F.lit("**[Tool Use: "), b["name"], F.lit("]** "), F.coalesce(b["message"], F.lit(""))))
-        .when(b["type"] == "tool_result", inner)
+        F.when(b["type"] == "text", said)
+        .when(b["type"] == "thinking", F.concat(F.lit("<details>\n<summary>Thinking</summary>\n\n"), thought, F.lit("\n\n</details>")))
+        .when(b["type"] == "tool_use", F.concat(F.lit("**[Tool Use: "), name, F.lit("]** "), F.coalesce(b["message"], F.lit(""))))
+        .when((b["type"] == "tool_result") & (F.size(b["content"]) > 0), result)
     )
 
 
@@ -71,9 +92,11 @@ def attachment_text(a: Column) -> Column:
 
 
 def chat_messages(records: DataFrame) -> DataFrame:
-    """conversation_id, title, pos, role, ts_raw, text: messages in their order, blocks joined by line, attachments after them."""
-    m = records.select(F.col("uuid").alias("conversation_id"), F.col("name").alias("title"), F.posexplode("chat_messages").alias("pos", "m"))
-    blocks = F.filter(F.transform("m.content", block_text), lambda t: t.isNotNull() & (t != ""))
-    attach = F.transform("m.attachments", attachment_text)
-    text = F.array_join(F.concat(F.coalesce(blocks, F.array().cast("array<string>")), F.coalesce(attach, F.array().cast("array<string>"))), "\n")
-    return m.select("conversation_id", "title", "pos", F.col("m.sender").alias("role"), format_iso(F.col("m.created_at")).alias("ts_raw"), text.alias("text")).where(strip(F.col("text")) != "")
+    """MESSAGE columns: messages in their order, blocks joined by line, attachments after them. A message without any content stays, with an empty text."""
+    m = records.select(
+        F.col("uuid").alias("conversation_id"), F.col("name").alias("title"), format_iso(F.col("created_at")).alias("created"), format_iso(F.col("updated_at")).alias("updated"), F.posexplode("chat_messages").alias("pos", "m")
+    )
+    none = F.array().cast("array<string>")
+    text = lines_of(F.coalesce(F.transform("m.content", block_lines), none), F.coalesce(F.transform("m.attachments", attachment_text), none))
+    role = F.coalesce(F.nullif(F.col("m.sender"), F.lit("")), F.lit("unknown"))
+    return m.select("conversation_id", "title", "created", "updated", "pos", role.alias("role"), format_iso(F.col("m.created_at")).alias("ts_raw"), text.alias("text"))

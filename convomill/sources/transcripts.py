@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import slugify
+from ..functions.text import slugify, strip
 
 
 def scan_transcripts(spark: SparkSession, root: str) -> DataFrame:
@@ -14,18 +19,30 @@ def scan_transcripts(spark: SparkSession, root: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("mtime"), "value")
 
 
-def render_transcripts(messages: DataFrame) -> DataFrame:
-    """conversation_id, day, path and value of each conversation from message rows (title, pos, role, ts_raw, text)."""
-    stamp = F.when(F.coalesce("ts_raw", F.lit("")) != "", F.concat(F.lit("["), "ts_raw", F.lit("] "))).otherwise("")
-    block = F.concat(stamp, F.col("role"), F.lit(":\n"), "text", F.lit("\n"))
+def render_transcripts(messages: DataFrame, base_url: str = "") -> DataFrame:
+    """conversation_id, day, path and value of each conversation from message rows (title, pos, role, ts_raw, text, and created and updated where the export has them; else the messages' own times count).
+
+    With base_url the header links to the conversation. A conversation
+    without a title is named by its identifier in its path.
+    """
+    empty = F.lit("")
+    stamp = F.when(F.coalesce("ts_raw", empty) != "", F.concat(F.lit("["), "ts_raw", F.lit("] "))).otherwise("")
+    said = F.when(strip(F.coalesce("text", empty)) != "", F.concat(F.lit("\n"), "text")).otherwise("")
+    block = F.concat(stamp, F.col("role"), F.lit(":"), said, F.lit("\n"))
     blocks = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("block")))), lambda b: b["block"]), "\n")
-    g = messages.groupBy("conversation_id").agg(F.max("title").alias("title"), F.min(F.nullif("ts_raw", F.lit(""))).alias("created"), F.max(F.nullif("ts_raw", F.lit(""))).alias("updated"), blocks.alias("blocks"))
-    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.concat(F.lit("chat-"), F.col("conversation_id").cast("string")))
-    day = F.substring("created", 1, 10)
-    name = F.concat(slugify(title), F.lit(".md"))
+    own = {"created", "updated"} <= set(messages.columns)
+    first, last = (F.max("created"), F.max("updated")) if own else (F.min(F.nullif("ts_raw", empty)), F.max(F.nullif("ts_raw", empty)))
+    g = messages.groupBy("conversation_id").agg(F.max("title").alias("title"), F.nullif(first, empty).alias("created"), F.nullif(last, empty).alias("updated"), blocks.alias("blocks"))
+    named = F.nullif(F.col("title"), empty)
+    day = F.substring(F.coalesce("created", "updated"), 1, 10)
+    day = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
+    name = F.concat(slugify(F.coalesce(named, F.concat(F.lit("chat-"), F.col("conversation_id").cast("string")))), F.lit(".md"))
     path = F.when(day.isNotNull(), F.concat(F.replace(day, F.lit("-"), F.lit("/")), F.lit("/"), day, F.lit("_"), name)).otherwise(F.concat(F.lit("undated/"), name))
-    head = F.concat(F.lit("# "), title, F.lit("\n\n- Created: "), F.coalesce("created", F.lit("")), F.lit("\n- Updated: "), F.coalesce("updated", F.lit("")), F.lit("\n\n---\n\n"))
-    return g.select("conversation_id", day.alias("day"), path.alias("path"), F.concat(head, "blocks").alias("value"))
+    link = F.concat(F.lit(f"- URL: {base_url}"), F.col("conversation_id").cast("string")) if base_url else F.lit(None).cast("string")
+    facts = F.filter(F.array(link, F.concat(F.lit("- Created: "), "created"), F.concat(F.lit("- Updated: "), "updated")), lambda x: x.isNotNull())
+    meta = F.when(F.size(facts) > 0, F.concat(F.array_join(facts, "\n"), F.lit("\n\n"))).otherwise("")
+    value = F.concat(F.lit("# "), F.coalesce(named, F.lit("Untitled Chat")), F.lit("\n\n"), meta, F.lit("---\n\n"), "blocks")
+    return g.select("conversation_id", day.alias("day"), path.alias("path"), F.concat(F.regexp_replace(value, r"(?U)\s+$", ""), F.lit("\n")).alias("value"))
 
 
 def write_transcripts(rendered: DataFrame, out: str) -> None:
@@ -34,6 +51,33 @@ def write_transcripts(rendered: DataFrame, out: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(out)
 
 
+def write_markdown(rendered: DataFrame, root: str) -> DataFrame:
+    """Writes each transcript (path, value) as a file of its own below root, where its text is new or another; path and status of each.
+
+    Files are read and written by the tasks. A file is written beside its
+    place and then moved there, so a task that runs twice leaves it whole.
+    """
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, top = pafs.FileSystem.from_uri(root)
+        for batch in batches:
+            status = []
+            for path, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                place, new, old = f"{top}/{path}", value.encode(), None
+                if files.get_file_info(place).type == pafs.FileType.File:
+                    with files.open_input_file(place) as f:
+                        old = f.read()
+                if old != new:
+                    files.create_dir(place.rpartition("/")[0], recursive=True)
+                    draft = f"{place}.{TaskContext.get().taskAttemptId()}"
+                    with files.open_output_stream(draft) as f:
+                        f.write(new)
+                    files.move(draft, place)
+                status.append("skipped" if old == new else "written" if old is None else "updated")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string())], ["path", "status"])
+
+    return rendered.select("path", "value").mapInArrow(put, "path string, status string")
+
+
 def upsert_status(new: DataFrame, existing: DataFrame) -> DataFrame:
     """path and status of each new text: written, skipped (equal bytes) or updated."""
     old = existing.select("path", F.col("value").alias("old"))

@@ -1,6 +1,11 @@
 from difflib import SequenceMatcher
 
+import pytest
+
 from convomill.operators import similarity
+from convomill.plans import catalog
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_jaccard_join_equals_brute_force(spark):
@@ -31,3 +36,35 @@ def test_vectors_flags_and_pruning(spark):
     turns = spark.createDataFrame([("a", 0, True), ("a", 1, False), ("b", 0, True), ("c", 0, None)], "conversation_id string, turn_index int, is_duplicate boolean")
     pruned = {r.conversation_id: r for r in similarity.prune_conversations(turns).collect()}
     assert pruned["b"].dropped and not pruned["a"].dropped and pruned["a"].duplicate_turns == [0] and pruned["c"].non_duplicate_turns == [0]
+
+
+def test_unequal_and_broken_vectors(spark):
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 2.0, 3.0]), (3, [None, 1.0]), (5, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    c = spark.createDataFrame([(10, [2.0, 0.0]), (11, [float("nan"), 1.0]), (12, [float("inf"), 1.0]), (13, [])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.card_id) for r in similarity.top_matches(q, c, 2).collect()} == {(1, 10), (5, 10)}
+    assert similarity.top_matches(q, c.limit(0), 2).count() == 0
+
+
+def brute(turns, cards, threshold):
+    """By the written rules: the word gate, then the matching-blocks ratio, on either side."""
+    def like(a, b):
+        x, y = set(a.split()), set(b.split())
+        return bool(x and y) and len(x & y) / len(x | y) >= 0.6 * threshold and SequenceMatcher(None, a, b).ratio() >= threshold
+
+    return {t.turn_id: min((c.card_id for c in cards if like(t.prompt, c.front) or like(t.answer, c.back)), default=None) for t in turns}
+
+
+def test_duplicates_on_whole_tables_equal_brute_force(spark):
+    turns, cards = catalog.turn_card_sides(spark, SF)
+    want = brute(turns.collect(), cards.collect(), 0.82)
+    got = catalog.QUERIES["lexical_dedup"](spark, SF).collect()
+    assert {r.turn_id: r.card_id for r in got} == want and all(r.is_duplicate == (want[r.turn_id] is not None) for r in got) and len(got) == len(want)
+    assert 0 < sum(v is not None for v in want.values()) < len(want)
+    vectors = {r.query_id: r.is_duplicate for r in similarity.semantic_duplicates(turns.withColumnRenamed("turn_id", "vec_id"), cards.withColumnRenamed("card_id", "vec_id"), 0.3).collect()}
+    hybrid = {k: "string" if v is not None else "semantic" for k, v in want.items() if v is not None or vectors.get(k)}
+    assert {r.turn_id: r.method for r in catalog.QUERIES["hybrid_dedup"](spark, SF).collect()} == hybrid and set(hybrid.values()) == {"string", "semantic"}
+    kept = catalog.QUERIES["prune_turns"](spark, SF).collect()
+    assert {r.turn_id for r in kept} == set(want) - set(hybrid) and [(-r.score, r.turn_id) for r in kept] == sorted((-r.score, r.turn_id) for r in kept)
+    assert similarity.prune_turns(turns, cards, "string").count() == sum(v is None for v in want.values())
+    with pytest.raises(ValueError, match="unknown"):
+        similarity.duplicate_turns(turns, cards, "other")

@@ -1,3 +1,5 @@
+import json
+
 from datetime import date, datetime
 
 from pyspark.sql import functions as F
@@ -69,11 +71,11 @@ def test_exports_round_trip(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"uuid": "u", "name": "N", "chat_messages": [{"sender": "human", "created_at": "2025-01-01T00:00:00Z", "content": [{"type": "thinking", "thinking": "hm"}, {"type": "tool_result", "content": [{"type": "text", "text": "r"}, {"type": "image"}]}]}]}]')
     b = exports.read_export(spark, str(tmp_path / "b.json"), exports.MESSAGES)
     m = exports.chat_messages(b).first()
-    assert exports.detect_format(b) == "messages" and m.text.endswith("</details>\nr") and m.ts_raw == "2025-01-01 00:00:00"
+    assert exports.detect_format(b) == "messages" and m.text.endswith("</details>\n**[Tool Result: unknown]**\nr") and m.ts_raw == "2025-01-01 00:00:00"
 
 
 def test_scan_render_and_status(spark, tmp_path):
-    rows = [(1, "My Chat", 0, "user", "2025-01-02 03:04:05", "hi"), (2, " ", 0, "user", "", "x")]
+    rows = [(1, "My Chat", 0, "user", "2025-01-02 03:04:05", "hi"), (2, None, 0, "user", "", "x")]
     r = transcripts.render_transcripts(spark.createDataFrame(rows, "conversation_id int, title string, pos int, role string, ts_raw string, text string"))
     got = {x.conversation_id: x for x in r.collect()}
     assert got[1].path == "2025/01/02/2025-01-02_my-chat.md" and got[2].path == "undated/chat-2.md" and "[2025-01-02 03:04:05] user:\nhi" in got[1].value
@@ -86,3 +88,40 @@ def test_scan_render_and_status(spark, tmp_path):
     assert {x.status for x in transcripts.upsert_status(r, old).collect()} == {"updated", "written"}
     transcripts.write_transcripts(r, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("year") == "2025").count() == 1
+
+
+MAPPED = """[{"id": "conv-1", "title": "Chat", "create_time": 1700000000.0, "mapping": {
+ "a": {"message": {"id": "a", "author": {"role": "user"}, "create_time": 1.0, "content": {"content_type": "text", "parts": ["Hello \\ue200cite\\ue202turn0\\ue201 world", "so \\\\( x^2 \\\\) and \\\\[ E = mc^2 \\\\]"]}}},
+ "b": {"message": {"id": "b", "author": {"role": " "}, "create_time": 2.0, "content": {"content_type": "multimodal_text", "parts": [{"content_type": "image_asset", "asset_pointer": "file://p"}, "look", {"content_type": "audio"}]}}},
+ "c": {"message": {"id": "c", "author": {"role": "tool"}, "create_time": 3.0, "content": {"content_type": "code", "language": "py", "text": "x"}}},
+ "d": {"message": {"id": "d", "author": {"role": "tool"}, "create_time": 4.0, "content": {"content_type": "text", "parts": ["", null]}}}}},
+ {"title": null, "mapping": {"a": {"message": {"id": "a", "author": {"role": "user"}, "content": {"content_type": "text", "parts": ["hi"]}}}}}]"""
+
+
+def test_mapping_contents_and_header(spark, tmp_path):
+    (tmp_path / "a.json").write_text(MAPPED)
+    m = exports.mapping_messages(exports.read_export(spark, str(tmp_path / "a.json"), exports.MAPPING))
+    got = {(r.conversation_id, r.pos): r for r in m.collect()}
+    assert got["conv-1", 0].text == "Hello  world\n\nso $x^2$ and $$E = mc^2$$"
+    assert (got["conv-1", 1].role, got["conv-1", 1].text) == ("unknown", "look\n\n[image asset: file://p]\n")
+    assert got["conv-1", 2].text == '{"content_type": "code", "language": "py", "text": "x"}' and ("conv-1", 3) not in got
+    files = {r.conversation_id: r for r in transcripts.render_transcripts(m, "https://custom.example/c/").collect()}
+    assert files["conv-1"].value.startswith("# Chat\n\n- URL: https://custom.example/c/conv-1\n- Created: 2023-11-14 22:13:20\n\n---\n\n[1970-01-01 00:00:01] user:\nHello")
+    assert files["conv-1"].path == "2023/11/14/2023-11-14_chat.md" and "look\n\n[image asset: file://p]\n\n\n[1970" in files["conv-1"].value
+    assert files[None].value == "# Untitled Chat\n\n---\n\nuser:\nhi\n"
+
+
+def test_message_blocks_and_files(spark, tmp_path):
+    blocks = [{"type": "thinking", "thinking": " \\( y \\)"}, {"type": "text", "text": "a\ue200x\ue201 "}, {"type": "tool_use", "name": "search", "message": "go"}, {"type": "tool_result", "name": "search", "content": []}, {"type": "tool_result", "name": "find", "content": [{"type": "text", "text": " r "}, {"type": "image"}]}]
+    record = {"uuid": "abc", "name": "Talk", "created_at": "2025-01-15T10:30:00Z", "updated_at": "2025-01-16T10:30:00+02:00", "chat_messages": [{"sender": "human", "content": []}, {"sender": "assistant", "created_at": "2025-01-15T10:31:00Z", "content": blocks}]}
+    (tmp_path / "b.json").write_text(json.dumps([record]))
+    m = exports.chat_messages(exports.read_export(spark, str(tmp_path / "b.json"), exports.MESSAGES))
+    texts = {r.pos: r.text for r in m.collect()}
+    assert texts == {0: "", 1: "<details>\n<summary>Thinking</summary>\n\n$y$\n\n</details>\na\n**[Tool Use: search]** go\n**[Tool Result: find]**\nr"}
+    r = transcripts.render_transcripts(m)
+    assert r.first().value.startswith("# Talk\n\n- Created: 2025-01-15 10:30:00\n- Updated: 2025-01-16 10:30:00\n\n---\n\nhuman:\n\n[2025-01-15 10:31:00] assistant:\n<details>")
+    root = (tmp_path / "md").as_uri()
+    status = lambda df: [x.status for x in transcripts.write_markdown(df, root).collect()]
+    assert status(r) == ["written"] and status(r) == ["skipped"] and status(r.withColumn("value", F.lit("new"))) == ["updated"]
+    assert (tmp_path / "md/2025/01/15/2025-01-15_talk.md").read_text() == "new"
+    assert len([x for x in (tmp_path / "md").rglob("*") if x.is_file()]) == 1

@@ -48,6 +48,23 @@ def test_dates_and_globs(spark):
     assert [r.path for r in state.filter_exclude_glob(files, ["*_[!b].md", "n?ne.md"]).collect()] == ["d/2025-11-01_b.md"]
 
 
-@pytest.mark.parametrize(("text", "ok"), [('{"a": 1}', True), ('```json\n{"a": 1}\n```', True), ('x {"a": 1} y', True), ("[1, 2]", False), ("", False), (None, False), ('{"a": "\\alpha"}', True)])
+@pytest.mark.parametrize(("text", "ok"), [('{"a": 1}', True), ('```json\n{"a": 1}\n```', True), ('x {"a": 1} y', True), ("[1, 2]", False), ("", False), (None, False), ('{"a": "\\alpha"}', True), ('[1] {"a": 1}', False), ('```\n{"a": 1}', True), ('```python {"a": 1}```', True), ('x {"a": "\\alpha"}', False)])
 def test_responses(text, ok):
     assert (payloads.first_object(text)[0] is not None) == ok
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("p\n\nq", "<p>p</p><p>q</p>"), ("- x\n- y\n1. z\nend", "<ul><li>x</li><li>y</li></ul><ol><li>z</li></ol>end"), ("+ a\n  * b", "<ul><li>a</li><li>b</li></ul>"), ("a\nb", "a<br>b"),
+    ("**b** *i* 2*3*4 `c*d*`", "<b>b</b> <i>i</i> 2*3*4 <code>c*d*</code>"), ("```py\nk = 1\n```", "<pre>k = 1</pre>"), ("> q\n> r", "<blockquote>q</blockquote><blockquote>r</blockquote>"),
+    ("\\(a*b*c\\) and \\[x\n*y*\\] and $a*b*$ *i*", "\\(a*b*c\\) and \\[x\n*y*\\] and $a*b*$ <i>i</i>"), ("", ""), (None, None),
+])
+def test_markdown(spark, text, want):
+    assert payloads.with_html(spark.createDataFrame([(text,)], "x string"), "x", "h").first()["h"] == want
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("2025-01-02", "2025-01-02 00:00:00"), ("2025-01-02 03:04", "2025-01-02 03:04:00"), (" 2025-01-02T03:04:05.25+02:30 ", "2025-01-02 00:34:05.250000"), ("2025-01-02 03:04:05-0130", "2025-01-02 04:34:05"), ("2025-01-02T03:04+02", "2025-01-02 01:04:00"), ("2025-13-02", None), ("2025", None), ("", None),
+])
+def test_user_times(spark, text, want):
+    got = one(spark, t.parse_user_time, text)
+    assert (got and str(got)) == want
