@@ -29,7 +29,7 @@ from .storage import written
 
 SAMPLE, SUBSPACES, CODES, RERANK = 20_000, 16, 256, 200
 AIM, LEAST_ROWS = 0.98, 400
-BLOCK_ROWS, BLOCK_QUERIES = 20_000, 5_000
+BLOCK_ROWS, BLOCK_QUERIES, SLICE = 20_000, 5_000, 1 << 21
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -45,13 +45,19 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
+def nearest_centre(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """In slices, so that the matrix of distances stays small."""
+    step = max(1, SLICE // max(1, len(centres)))
+    return np.concatenate([squared_distances(x[at : at + step], centres).argmin(1) for at in range(0, len(x), step)]) if len(x) else np.empty(0, int)
+
+
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     """Centroids by Lloyd's iterations from distinct rows of x; an empty cluster keeps its centroid."""
     distinct = np.unique(x, axis=0)
     rng = np.random.default_rng(seed)
     centres = distinct[rng.permutation(len(distinct))[:k]].astype(float)
     for _ in range(rounds):
-        near = squared_distances(x, centres).argmin(1)
+        near = nearest_centre(x, centres)
         n = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -70,7 +76,7 @@ class Quantiser:
     def fit(cls, x: np.ndarray, cells: int, k: int) -> Quantiser:
         cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         centres = k_means(x, cells)
-        residual = x - centres[squared_distances(x, centres).argmin(1)]
+        residual = x - centres[nearest_centre(x, centres)]
         books = [k_means(residual[:, a:b], CODES, rounds=8) for a, b in zip(cuts, cuts[1:], strict=False)]
         out = cls(centres, books, cuts)
         out.probes = out._probes_for(x, k)
@@ -80,16 +86,20 @@ class Quantiser:
         """The fewest cells in which AIM of the sample's own nearest rows lie, for every hundredth row as a query."""
         queries = x[:: max(1, len(x) // 200)]
         near = np.argsort(squared_distances(queries, x), axis=1)[:, : k + 1]
-        cell = squared_distances(x, self.centres).argmin(1)
+        cell = nearest_centre(x, self.centres)
         rank = np.argsort(np.argsort(squared_distances(queries, self.centres), axis=1), axis=1)
         needed = np.sort(np.take_along_axis(rank, cell[near], 1).ravel())
         return int(needed[min(len(needed) - 1, int(np.ceil(AIM * len(needed))))]) + 1
 
-    def cell_and_codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = squared_distances(x, self.centres).argmin(1)
+    def cell_and_codes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells, codes, and the distance of each row from what its codes stand for."""
+        cell = nearest_centre(x, self.centres)
         residual = x - self.centres[cell]
-        codes = [squared_distances(residual[:, a:b], book).argmin(1) for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False)]
-        return cell, np.stack(codes, 1).astype(np.uint8)
+        codes, error = [], np.zeros(len(x))
+        for a, b, book in zip(self.cuts, self.cuts[1:], self.books, strict=False):
+            codes.append(nearest_centre(residual[:, a:b], book))
+            error += ((residual[:, a:b] - book[codes[-1]]) ** 2).sum(1)
+        return cell, np.stack(codes, 1).astype(np.uint8), np.sqrt(error)
 
     def tables(self, query: np.ndarray, cell: int) -> np.ndarray:
         """Asymmetric distances of one query to each part's codebook, within a cell."""
@@ -122,10 +132,10 @@ def indexed(rows: DataFrame, quantiser: Quantiser) -> DataFrame:
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                cell, codes = shared.value.cell_and_codes(_matrix(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "cell", "codes"])
+                cell, codes, error = shared.value.cell_and_codes(_matrix(batch.column(1)))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["vec_id", "v", "cell", "codes", "error"])
 
-    return rows.select("vec_id", "v").mapInArrow(index, "vec_id long, v array<double>, cell int, codes binary")
+    return rows.select("vec_id", "v").mapInArrow(index, "vec_id long, v array<double>, cell int, codes binary, error double")
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -173,15 +183,21 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
         if left.num_rows and right.num_rows:
             quantiser, _ = shared.value
             ids, v = np.asarray(right.column("vec_id")), _matrix(right.column("v"))
-            codes = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+            codes, error = np.frombuffer(b"".join(right.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1), np.asarray(right.column("error"))
             parts = np.arange(codes.shape[1])
             cell = left.column("cell")[0].as_py()
             for query, q in zip(left.column("query_id").to_pylist(), _matrix(left.column("q")), strict=True):
                 estimate = quantiser.tables(q, cell)[parts, codes].sum(1)
                 estimate[ids == query] = np.inf
-                best = np.lexsort((ids, estimate))[:RERANK] if len(ids) > RERANK else np.arange(len(ids))
+                best = np.argpartition(estimate, RERANK)[:RERANK] if len(ids) > RERANK else np.arange(len(ids))
                 best = best[np.isfinite(estimate[best])]
                 exact = np.sqrt(((v[best] - q) ** 2).sum(1))
+                if len(best) >= k:  # a row is no nearer than its code less its error
+                    slack = 1e-6 * (np.sqrt((q * q).sum()) + error)  # of rounding
+                    left = np.isfinite(estimate) & (np.sqrt(np.maximum(estimate, 0)) - error - slack <= np.partition(exact, k - 1)[k - 1])
+                    left[best] = False
+                    more = np.flatnonzero(left)
+                    best, exact = np.concatenate([best, more]), np.concatenate([exact, np.sqrt(((v[more] - q) ** 2).sum(1))])
                 for i in np.lexsort((ids[best], exact))[:k]:
                     out.append((query, int(ids[best[i]]), float(exact[i])))
         cols = list(zip(*out, strict=True)) or [(), (), ()]

@@ -2,8 +2,8 @@
 
 P(w | h) = a2 c(h w) / c(h) + a1 c(w) / N + a0 / (V + 1), where the weights
 depend on the bucket (power of two) of the context's frequency c(h) and come
-from expectation-maximisation on a fold of the training documents, each of
-whose tokens is deleted from the counts it is predicted by. A text's words are
+from expectation-maximisation on a fold of the training documents, which is
+deleted as a whole from the counts that predict it. A text's words are
 followed by one end token; its first token's context is a start mark.
 
 The plan. Documents are gathered in chunks of tokens, written once: a chunk
@@ -125,15 +125,15 @@ def asked(chunks: DataFrame, parts: int) -> DataFrame:
                 n_words = np.bincount(tokens, minlength=len(words))
                 cells = [np.split(a, _split(h, parts)) for h, a in ((words, words), (words, n_words), (pairs, pairs), (pairs, n_pairs))]
                 train = fold != HELD_OUT
-                rows = [(p, chunk, _packed_sorted(w), _packed(nw.astype("<u4") * train), _packed_sorted(b), _packed(nb.astype("<u4") * train)) for p, (w, nw, b, nb) in enumerate(zip(*cells, strict=True)) if len(w) or len(b)]
-                types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "chunk", "words", "n_words", "pairs", "n_pairs"])
+                rows = [(p, chunk, fold == WEIGHING, _packed_sorted(w), _packed(nw.astype("<u4") * train), _packed_sorted(b), _packed(nb.astype("<u4") * train)) for p, (w, nw, b, nb) in enumerate(zip(*cells, strict=True)) if len(w) or len(b)]
+                types = [pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "chunk", "weighing", "words", "n_words", "pairs", "n_pairs"])
 
-    return chunks.select("chunk", "fold", "lengths", "words", "tokens").mapInArrow(ask, "part int, chunk long, words binary, n_words binary, pairs binary, n_pairs binary")
+    return chunks.select("chunk", "fold", "lengths", "words", "tokens").mapInArrow(ask, "part int, chunk long, weighing boolean, words binary, n_words binary, pairs binary, n_pairs binary")
 
 
 def answered(questions: DataFrame) -> DataFrame:
-    """For each question the counts over all chunks, in its order; new_words: in one row of a part its number of words that training has."""
+    """For each question the counts over all chunks, in its order, and over all but the weighing ones (rest_, for a weighing chunk only); new_words: in one row of a part its number of words that training has."""
 
     def answer(table: pa.Table) -> pa.Table:
         cols = {c: table.column(c).to_pylist() for c in table.column_names}
@@ -142,12 +142,18 @@ def answered(questions: DataFrame) -> DataFrame:
             hashes = [_unpacked_sorted(x) for x in cols[what]]
             counts = np.concatenate([_unpacked(x, "<u4") for x in cols["n_" + what]])
             unique, place = np.unique(np.concatenate(hashes), return_inverse=True)
+            lengths = [len(h) for h in hashes]
+            weighing = np.repeat(cols["weighing"], lengths)
             total = np.bincount(place, counts, len(unique)).astype("<u8")
-            out[what] = [_packed(x) for x in np.split(total[place], np.cumsum([len(h) for h in hashes])[:-1])]
+            rest = total - np.bincount(place, counts * weighing, len(unique)).astype("<u8")
+            cuts = np.cumsum(lengths)[:-1]
+            out[what] = [_packed(x) for x in np.split(total[place], cuts)]
+            out["rest_" + what] = [_packed(x) if own else None for x, own in zip(np.split(rest[place], cuts), cols["weighing"], strict=True)]
             new = int((total > 0).sum()) if what == "words" else new
-        return pa.table({"chunk": cols["chunk"], "part": pa.array(cols["part"], pa.int32()), "c_words": out["words"], "c_pairs": out["pairs"], "new_words": [new] + [0] * (table.num_rows - 1)})
+        binary = {f"{c}_{what}": pa.array(out[("rest_" if c == "rest" else "") + what], pa.binary()) for c in ("c", "rest") for what in ("words", "pairs")}
+        return pa.table({"chunk": cols["chunk"], "part": pa.array(cols["part"], pa.int32()), **binary, "new_words": [new] + [0] * (table.num_rows - 1)})
 
-    return questions.groupBy("part").applyInArrow(answer, "chunk long, part int, c_words binary, c_pairs binary, new_words long")
+    return questions.groupBy("part").applyInArrow(answer, "chunk long, part int, c_words binary, c_pairs binary, rest_words binary, rest_pairs binary, new_words long")
 
 
 @dataclass
@@ -168,12 +174,13 @@ class Counts:
     pair: np.ndarray
 
 
-def _counts(row: tuple, totals: Totals) -> Counts:
+def _counts(row: tuple, totals: Totals, kind: str = "c") -> Counts:
+    """kind: c for the counts of all training documents, rest without the weighing ones; totals are those of the same documents."""
     _, _, doc_ids, lengths, words, tokens, parts = row
     lengths, words, tokens = np.array(lengths), _unpacked_sorted(words), _unpacked(tokens, "<u4").astype(np.int64)
     parts = sorted(parts, key=lambda p: p["part"])
-    c_words = np.concatenate([_unpacked(p["c_words"], "<u8") for p in parts]).astype(float)
-    c_pairs = np.concatenate([_unpacked(p["c_pairs"], "<u8") for p in parts]).astype(float)
+    c_words = np.concatenate([_unpacked(p[f"{kind}_words"], "<u8") for p in parts]).astype(float)
+    c_pairs = np.concatenate([_unpacked(p[f"{kind}_pairs"], "<u8") for p in parts]).astype(float)
     pairs, first = _pairs(words, tokens, lengths)
     _, place = np.unique(pairs, return_inverse=True)
     word = c_words[tokens]
@@ -224,23 +231,24 @@ def score_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     chunks = written(chunked(docs, text, key))
     sums = chunks.agg(
-        F.sum("n_tokens").alias("all"), F.sum(F.when(F.col("fold") != HELD_OUT, F.col("n_tokens"))).alias("tokens"), F.sum(F.when(F.col("fold") != HELD_OUT, F.col("n_docs"))).alias("docs")
-    ).first()
+        F.sum("n_tokens").alias("all"), F.sum(F.when(F.col("fold") != HELD_OUT, F.col("n_tokens"))).alias("tokens"), F.sum(F.when(F.col("fold") != HELD_OUT, F.col("n_docs"))).alias("docs"),
+        F.sum(F.when(~F.col("fold").isin(HELD_OUT, WEIGHING), F.col("n_tokens"))).alias("rest_tokens"), F.sum(F.when(~F.col("fold").isin(HELD_OUT, WEIGHING), F.col("n_docs"))).alias("rest_docs"),
+    ).first()
     parts = 1 + (sums["all"] or 0) // PART_ENTRIES
     answers = written(answered(asked(chunks, parts)))
     totals = Totals(sums["tokens"] or 0, answers.agg(F.sum("new_words")).first()[0] or 0, sums["docs"] or 0)
-    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "c_words", "c_pairs")).alias("parts"))
+    rest = Totals(sums["rest_tokens"] or 0, totals.words, sums["rest_docs"] or 0)
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "c_words", "c_pairs", "rest_words", "rest_pairs")).alias("parts"))
     joined = chunks.select("chunk", "fold", "doc_ids", "lengths", "words", "tokens").join(by_chunk, "chunk")
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                c = _counts(tuple(col[i].as_py() for col in batch.columns), totals)
-                context = c.context - 1
-                f2, f1 = _estimates(c.pair - 1, context, c.word - 1, totals.tokens - 1)
+                c = _counts(tuple(col[i].as_py() for col in batch.columns), rest, "rest")
+                f2, f1 = _estimates(c.pair, c.context, c.word, rest.tokens)
                 with np.errstate(divide="ignore"):
                     q = [np.where(f > 0, np.round(BINS * np.log2(f)), -999).astype(int) for f in (f2, f1)]
-                rows, n = np.unique(np.stack([_bucket(context), *q], 1), axis=0, return_counts=True)
+                rows, n = np.unique(np.stack([_bucket(c.context), *q], 1), axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int32()) for x in rows.T], pa.array(n, pa.int64())], ["bucket", "q2", "q1", "n"])
 
     histogram = joined.where(F.col("fold") == WEIGHING).mapInArrow(estimate, "bucket int, q2 int, q1 int, n long").groupBy("bucket", "q2", "q1").agg(F.sum("n").alias("n")).collect()

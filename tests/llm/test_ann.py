@@ -37,3 +37,19 @@ def test_ties_few_rows_and_unusable(spark):
     few = ann.nearest(spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (7, [3.0, 1.0])], "vec_id long, embedding array<float>")).collect()
     assert [(r["rank"], r.vec_id) for r in few] == [(1, 1), (2, 7)]
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_hot_vector_and_long_cells(spark):
+    """Cells of more rows than are reranked first, one vector of a third of all rows: nothing is lost inside the probed cells."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16)).astype(np.float32)
+    x[::3] = x[0]
+    x[1::3] = x[1::3] * 0.05 + x[1]
+    ids = np.arange(6000)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>")).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    want = brute(ids, x.astype(float), 100, 10)
+    hot = [q for q in want if q % 3 == 0]
+    assert all([i for _, i in sorted(got[q])] == [i for i, _ in want[q]] for q in hot)
+    assert np.mean([i in dict(want[q]) for q, g in got.items() for _, i in g]) >= 0.9

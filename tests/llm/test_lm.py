@@ -29,6 +29,24 @@ def test_against_plain_counts(spark, monkeypatch):
     known = Counter({**c, "<s>": len(train)})
     h = [d for d in held if held[d]]
     assert sum(got[d].score for d in h) > sum(got[d].base_score for d in h)
+    # the model written out: counts without the weighing fold give the weights, all counts the scores
+    fold = {d: lm.fold_of(d) for d, _ in rows}
+    rest = [words(t) for d, t in rows if fold[d] not in (lm.HELD_OUT, lm.WEIGHING)]
+    rest_c, rest_pair = Counter({**Counter(w for t in rest for w in t), "<s>": len(rest)}), Counter(p for t in rest for p in zip(["<s>", *t], t, strict=False))
+    rest_n, bins = sum(len(t) for t in rest), Counter()
+    bucket = lambda x: min(int(math.log2(x)) + 1 if x else 0, lm.BUCKETS - 1)
+    level = lambda f: round(lm.BINS * math.log2(f)) if f else -999
+    for d, t in rows:
+        if fold[d] == lm.WEIGHING:
+            for a, b in zip(["<s>", *words(t)], words(t), strict=False):
+                bins[bucket(rest_c[a]), level(rest_pair[a, b] / rest_c[a] if rest_c[a] else 0), level(rest_c[b] / rest_n)] += 1
+    learned = lm.weights([(*k, x) for k, x in bins.items()], lm.Totals(n, v, len(train)))
+    for d, t in rows:
+        total = 0.0
+        for a, b in zip(["<s>", *words(t)], words(t), strict=False):
+            w = learned[bucket(known[a])]
+            total += math.log10(w[0] * (pair[a, b] / known[a] if known[a] else 0) + w[1] * c[b] / n + w[2] / (v + 1))
+        assert got[d].score == pytest.approx(total, rel=1e-6), d
     # the model's probabilities of all words after a context sum to one: with the weights of its bucket
     mix = lm.weights([(3, -2, -8, 10), (3, -999, -9, 5)], lm.Totals(n, v, len(train)))
     assert mix.sum(1) == pytest.approx([1] * lm.BUCKETS)
