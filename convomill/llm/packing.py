@@ -144,8 +144,8 @@ def patterns_of(lengths: list[int], demand: list[int], room: int) -> list[tuple[
 def pack_pieces(pieces: DataFrame, seq_len: int) -> DataFrame:
     """pieces with sequence_id and offset, gapless from 0 in each sequence.
 
-    Pieces of one length are ranked in parts of about PART_ROWS rows by their
-    document's hash, so a length that many pieces share is no hot task. An
+    Pieces of one length are ranked in parts of about PART_ROWS rows by their text's and
+    document's hash, so a length or an identifier that many pieces share is no hot task. An
     empty table gives an empty result.
     """
     spark = pieces.sparkSession
@@ -162,7 +162,7 @@ def pack_pieces(pieces: DataFrame, seq_len: int) -> DataFrame:
         first_id += count
     table = spark.createDataFrame(slots, "len int, lo long, hi long, each int, base int, first_id long")  # bounded by the number of lengths, squared
     parts_of = F.broadcast(spark.createDataFrame([(x, 1 + n // PART_ROWS) for x, n in counts.items()], "length long, parts int"))
-    rows = pieces.join(parts_of, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")))
+    rows = pieces.join(parts_of, "length").withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("parts")))
     parts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("length", "part", before.alias("before"))
@@ -182,6 +182,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: in
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """The packed sequences as training rows: sequence_id, input_ids, doc_ids. Needs pieces packed with_ids."""
+    """The packed sequences as training rows: sequence_id, input_ids, doc_ids. Needs pieces packed with_ids.
+
+    A null document identifier stays null in doc_ids, repeated documents each
+    have their pieces, an empty document has its end alone; of an empty table
+    there is no sequence.
+    """
     order = F.array_sort(F.collect_list(F.struct("offset", "ids", "doc_id")))
     return packed.groupBy("sequence_id").agg(order.alias("p")).select("sequence_id", F.flatten("p.ids").alias("input_ids"), F.col("p.doc_id").alias("doc_ids"))
