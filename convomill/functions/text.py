@@ -130,3 +130,8 @@ def week_label(start: Column) -> Column:
         .when(F.year(start) == F.year(end), F.concat_ws(" - ", F.date_format(start, "MMM dd"), F.date_format(end, "MMM dd")))
         .otherwise(F.concat_ws(" - ", F.date_format(start, "MMM dd, yyyy"), F.date_format(end, "MMM dd, yyyy")))
     )
+
+
+def clean_tags(x: Column) -> Column:
+    """The trimmed, non-empty tags of a comma-separated text."""
+    return F.filter(F.transform(F.split(F.coalesce(x, F.lit("")), ","), strip), lambda tag: tag != "")

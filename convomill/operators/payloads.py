@@ -10,28 +10,40 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip, truncate_prompt
+from ..functions.text import clean_tags, strip, truncate_prompt
 
-CARDS = "array<struct<conversation_id: string, turn_index: int, context_id: string, deck: string, card_style: string, front: string, back: string, tags: array<string>, confidence: double, notes: string>>"
+CARDS = "array<struct<conversation_id: string, turn_index: int, context_id: string, deck: string, card_style: string, front: string, back: string, tags: array<string>, confidence: double, notes: string, depends_on: array<string>>>"
+SKIPS = "array<struct<conversation_id: string, turn_index: int, reason: string>>"
+INSIGHTS = "array<struct<conversation_id: string, insight: string, misconceptions_corrected: array<string>>>"
+
+
+NO_DECKS = "- (No decks specified - use your best judgment)"
+
+
+def _batched(conversations: DataFrame, turns: DataFrame, of_turn: list[Column | str], of_conversation: list[Column | str]) -> DataFrame:
+    """batch and candidates: its conversations in order, each with its turns in order."""
+    t = turns.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", *of_turn))).alias("turns"))
+    x = conversations.join(t, "conversation_id").select("batch", F.struct("conversation_id", *of_conversation, "turns").alias("item"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col("item.conversation_id").alias("k"), "item"))), lambda i: i["item"])
+    return x.groupBy("batch").agg(items.alias("candidate_conversations"))
 
 
 def filter_payload(conversations: DataFrame, turns: DataFrame, instructions: str) -> DataFrame:
-    """batch and payload: instructions, then the batch's conversations as JSON."""
-    t = turns.groupBy("conversation_id").agg(F.array_sort(F.collect_list(F.struct("turn_index", truncate_prompt(F.col("prompt")).alias("user_prompt"), F.col("answer").alias("assistant_answer")))).alias("turns"))
-    x = conversations.join(t, "conversation_id")
-    item = F.struct("conversation_id", "title", "key_topics", F.size("turns").alias("turn_count"), "turns")
-    return x.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("conversations")).select("batch", F.concat(F.lit(instructions + "\n"), F.to_json(F.struct("conversations"))).alias("payload"))
+    """batch and payload: instructions, a blank line, then the batch's conversations as JSON; prompts are cut to their limit."""
+    x = _batched(conversations, turns, [truncate_prompt(F.col("prompt")).alias("user_prompt"), F.col("answer").alias("assistant_response")], [F.col("title").alias("source_title"), "key_topics", F.size("turns").alias("turn_count")])
+    return x.select("batch", F.concat(F.lit(instructions + "\n\n"), F.to_json(F.struct("candidate_conversations"))).alias("payload"))
 
 
-def generate_payload(conversations: DataFrame, turns: DataFrame, template: str, decks: list[str]) -> DataFrame:
-    """As filter_payload, with scores, and the deck list in place of {decks}; deck names are taken literally."""
-    listed = "\n".join(f"- {d}" for d in decks) or "No decks exist yet."
-    t = turns.groupBy("conversation_id").agg(
-        F.array_sort(F.collect_list(F.struct("turn_index", "context_id", truncate_prompt(F.col("prompt")).alias("user_prompt"), F.col("answer").alias("assistant_answer"), F.round("score", 3).alias("score")))).alias("turns")
-    )
-    item = F.struct("conversation_id", "title", "url", "key_topics", F.round("aggregate_score", 3).alias("aggregate_score"), "turns")
-    x = conversations.join(t, "conversation_id").groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("conversations"))
-    return x.select("batch", F.concat(F.replace(F.lit(template), F.lit("{decks}"), F.lit(listed)), F.lit("\n"), F.to_json(F.struct("conversations"))).alias("payload"))
+def generate_payload(conversations: DataFrame, turns: DataFrame, template: str, decks: list[str], signals: list[str] | None = None, aggregates: list[str] | None = None) -> DataFrame:
+    """As filter_payload, with scores, the turns' signals and the conversations' aggregates (columns by name), and the deck list in place of {decks}; deck names are taken literally."""
+    listed = "\n".join(f"- {d}" for d in decks) or NO_DECKS
+    named = lambda columns, name: [F.struct(*columns).alias(name)] if columns else []
+    of_turn = ["context_id", F.col("user_ts").alias("user_timestamp"), truncate_prompt(F.col("prompt")).alias("user_prompt"), F.col("answer").alias("assistant_answer"), F.round("score", 3).alias("score"), *named(signals, "signals")]
+    of_conversation = [F.col("title").alias("source_title"), F.col("url").alias("source_url"), "key_topics", F.round("aggregate_score", 3).alias("aggregate_score"), *named(aggregates, "aggregate_signals")]
+    x = _batched(conversations, turns, of_turn, of_conversation)
+    given = F.array(*map(F.lit, decks)) if decks else F.array().cast("array<string>")
+    body = F.to_json(F.struct(given.alias("available_decks"), "candidate_conversations"))
+    return x.select("batch", F.concat(F.replace(F.lit(template), F.lit("{decks}"), F.lit(listed)), F.lit("\n\n"), body).alias("payload"))
 
 
 def without_fence(text: str) -> str:
@@ -91,8 +103,14 @@ def explode_cards(parsed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def explode_skips(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    skips = F.from_json(F.get_json_object("parsed", "$.skipped_conversations"), "array<struct<conversation_id: string, reason: string>>")
-    return parsed.select(*keys, F.inline(skips))
+    """keys, kind (conversation or turn), conversation_id, turn_index (null for conversations) and reason of what was skipped."""
+    listed = lambda name, kind: F.transform(F.coalesce(F.from_json(F.get_json_object("parsed", f"$.{name}"), SKIPS), F.array().cast(SKIPS)), lambda x: F.struct(F.lit(kind).alias("kind"), x["conversation_id"].alias("conversation_id"), x["turn_index"].alias("turn_index"), x["reason"].alias("reason")))
+    return parsed.select(*keys, F.inline(F.concat(listed("skipped_conversations", "conversation"), listed("skipped_turns", "turn"))))
+
+
+def explode_insights(parsed: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, conversation_id, insight and misconceptions_corrected."""
+    return parsed.select(*keys, F.inline(F.from_json(F.get_json_object("parsed", "$.learning_insights"), INSIGHTS)))
 
 
 #: What is kept from conversion, in this order.
@@ -145,13 +163,14 @@ def with_html(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def build_notes(cards: DataFrame) -> DataFrame:
-    """card_id, deck, model and fields: Cloze where either side has a cloze mark, else Basic."""
+    """card_id, deck, model, fields and tags: Cloze where either side has a cloze mark, else Basic. Without a column tags there are none."""
     sides = {c: F.coalesce(c, F.lit("")) for c in ("front", "back")}
     cards = with_html(with_html(cards.withColumns(sides), "front", "front_html"), "back", "back_html")
     front, back = F.col("front_html"), F.col("back_html")
     cloze = F.col("front").rlike(r"\{\{c\d+::") | F.coalesce(F.col("back").rlike(r"\{\{c\d+::"), F.lit(False))
+    tags = clean_tags(F.concat_ws(",", "tags")) if "tags" in cards.columns else F.array().cast("array<string>")
     text = F.when(F.trim(F.coalesce("back", F.lit(""))) != "", F.concat(front, F.lit("<br><br>"), back)).otherwise(front)
     return cards.select(
         "card_id", F.coalesce("deck", F.lit("Default")).alias("deck"), F.when(cloze, "Cloze").otherwise("Basic").alias("model"),
-        F.when(cloze, text).otherwise(front).alias("field_1"), F.when(cloze, F.lit("")).otherwise(back).alias("field_2"),
+        F.when(cloze, text).otherwise(front).alias("field_1"), F.when(cloze, F.lit("")).otherwise(back).alias("field_2"), tags.alias("tags"),
     )

@@ -50,11 +50,12 @@ def pending_import(decisions: DataFrame) -> DataFrame:
 
 
 def acceptance_rate(cards: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Per deck and confidence band (tenths)."""
+    """Per deck and confidence band (tenths); duplicate_precision: of the cards flagged as likely duplicates, the share that was rejected (null: none flagged)."""
     x = cards.join(decisions.select("card_id", "action"), "card_id").withColumn("band", F.floor(F.col("confidence") * 10).cast("long"))
-    n = F.count("*")
+    n, flagged = F.count("*"), F.coalesce(F.col("is_likely_duplicate"), F.lit(False))
     rate = lambda a: F.round(F.count_if(F.col("action").isin(a)) / n, 6)
-    return x.groupBy("deck", "band").agg(n.alias("n"), rate(ACCEPTED).alias("acceptance_rate"), rate(["edit"]).alias("edit_rate"))
+    precision = F.round(F.try_divide(F.count_if(flagged & (F.col("action") == "reject")), F.count_if(flagged)), 6)
+    return x.groupBy("deck", "band").agg(n.alias("n"), rate(ACCEPTED).alias("acceptance_rate"), rate(["edit"]).alias("edit_rate"), precision.alias("duplicate_precision"))
 
 
 def import_counts(results: DataFrame) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOPIC_MARKERS, any_of
+from .features import assembled, conversation_signals, key_topics
 
 MAX_TURNS, MAX_CHARS, LOW_OVERLAP, MIN_GAP = 10, 8000, 0.2, 2
+DECK_PARTS, CUTS, RANGES = 64, 4096, 256
 
 
 def topic_shifts(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,6 +41,17 @@ def topic_segments(turns: DataFrame, keys: list[str], chars: Column) -> DataFram
     return x.withColumn("part_index", index).drop("base", "split", "n", "chars", "splits", "run")
 
 
+def segment_conversations(turns: DataFrame, keys: list[str], name: str = "conversation_id") -> DataFrame:
+    """Segments (turns with part and part_index, signals and key_terms) as conversations: turn_index anew, the identifier with its part, aggregates, topics and turns of each segment alone; the turns' context_id stays."""
+    part = F.coalesce("part", F.lit(0)).alias("part")
+    named = F.when(F.col("part").isNull(), F.col(name)).otherwise(F.concat(name, F.lit("_part"), F.col("part").cast("string"))).alias("segment_id")
+    x = turns.select(*keys, part, named, F.col("part_index").alias("turn_index"), *[c for c in turns.columns if c not in {*keys, "part", "part_index", "turn_index", "segment_id"}])
+    by = [*keys, "part", "segment_id"]
+    topics = key_topics(x, by).withColumnRenamed("terms", "key_topics")
+    whole = conversation_signals(x, by).join(topics, by, "left").join(assembled(x, by, ["context_id", "score"]), by)
+    return whole.withColumn("key_topics", F.coalesce("key_topics", F.array().cast("array<string>")))
+
+
 def newest_files(files: DataFrame, n: int = 300) -> DataFrame:
     return files.orderBy(F.desc("mtime"), "path").limit(n)
 
@@ -57,26 +70,40 @@ def top_turns_per_file(turns: DataFrame, min_score: float = 1.2, per_file: int =
 
 
 def stratified_cards(cards: DataFrame, limit: int, order: str = "note_id", deck: str = "deck") -> DataFrame:
-    """All cards if few; else the first of each deck, filled up in order."""
-    totals = cards.agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.floor(F.lit(limit) / F.countDistinct(deck))).alias("per"))
-    x = cards.withColumn("deck_rank", F.row_number().over(Window.partitionBy(deck).orderBy(order)))
-    first = F.min(order).over(Window.partitionBy(deck))
-    x = x.withColumn("deck_first", first).crossJoin(F.broadcast(totals))  # one row
+    """All cards if few; else the first of each deck, filled up in order.
+
+    No more than the first limit of a deck can be among them. They are found
+    in two steps, in hash parts of a deck and then over the parts' first ones,
+    so that a deck of a third of all cards is no single task.
+    """
+    per_deck = cards.groupBy(deck).agg(F.count("*").alias("deck_n"), F.min(order).alias("deck_first"))
+    totals = per_deck.agg(F.sum("deck_n").alias("n"), F.greatest(F.lit(1), F.floor(F.lit(limit) / F.count("*"))).alias("per"))
+    x = cards.withColumn("deck_part", F.pmod(F.xxhash64(order), F.lit(DECK_PARTS)))
+    for by in ([deck, "deck_part"], [deck]):
+        x = x.withColumn("deck_rank", F.row_number().over(Window.partitionBy(*by).orderBy(order))).where(F.col("deck_rank") <= limit)
+    own, first = x[deck].eqNullSafe(per_deck[deck]), [*[x[c] for c in cards.columns], x["deck_rank"], per_deck["deck_first"]]
+    x = x.join(per_deck, own).select(*first).crossJoin(F.broadcast(totals))  # one row
     chosen = (F.col("deck_rank") <= F.col("per")) & (F.col("n") > limit)
     tier = F.when(F.col("n") <= limit, 1).when(chosen, 0).otherwise(1)
     return x.withColumn("tier", tier).orderBy("tier", F.when(F.col("tier") == 0, F.col("deck_first")), order).limit(limit).select(*cards.columns)
 
 
 def make_batches(conversations: DataFrame, size: int = 8, key: str = "conversation_id") -> DataFrame:
-    """Numbered blocks in descending order of score, from 1.
+    """Numbered blocks in descending order of score, ties by key, from 1.
 
-    The global rank is a sum of two: of rows in their score's group, and of
-    the groups, so only distinct scores meet in one task.
+    The rank is a sum of three: of the scores above, of the ranges of keys
+    before within the score, and within the range. Ranges are cut at the keys'
+    quantiles, so that neither a common score nor the order of all is one task.
     """
-    groups = conversations.groupBy("aggregate_score").agg(F.count("*").alias("n"))
-    above = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("aggregate_score")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    groups = groups.select("aggregate_score", above.alias("above"))
-    rank = F.row_number().over(Window.partitionBy("aggregate_score").orderBy(key)) - 1
-    x = conversations.withColumn("in_group", rank).join(groups, "aggregate_score")
-    place = F.col("above") + F.col("in_group")
-    return x.withColumns({"batch": (F.floor(place / size) + 1).cast("long"), "place": place}).drop("above", "in_group")
+    cuts = [r[0] for r in conversations.where(F.pmod(F.xxhash64(key), F.lit(64)) == 0).select(key).orderBy(F.xxhash64(key)).limit(CUTS).sort(key).collect()][:: max(1, CUTS // RANGES)]  # where to cut only: any keys do
+    place_of = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, cut: n + (F.col(key) >= cut).cast("int")) if cuts else F.lit(0)
+    x = conversations.withColumn("key_range", place_of)
+    groups = x.groupBy("aggregate_score", "key_range").agg(F.count("*").alias("n"))
+    scores = groups.groupBy("aggregate_score").agg(F.sum("n").alias("n"))
+    running = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scores = scores.select("aggregate_score", running(Window.orderBy(F.desc("aggregate_score"))).alias("above"))  # a row per score
+    groups = groups.select("aggregate_score", "key_range", running(Window.partitionBy("aggregate_score").orderBy("key_range")).alias("before")).join(scores, "aggregate_score")
+    rank = F.row_number().over(Window.partitionBy("aggregate_score", "key_range").orderBy(key)) - 1
+    x = x.withColumn("in_range", rank).join(groups, ["aggregate_score", "key_range"])
+    place = F.col("above") + F.col("before") + F.col("in_range")
+    return x.withColumns({"batch": (F.floor(place / size) + 1).cast("long"), "place": place}).drop("above", "before", "in_range", "key_range")

@@ -139,10 +139,29 @@ def months_with_work(files: DataFrame) -> DataFrame:
     return files.withColumn("month", month).where("month != ''").groupBy("month").agg(F.count("*").alias("n_files")).orderBy(F.desc("month"))
 
 
-def reconcile_seen(files: DataFrame, processed: DataFrame, seen: DataFrame) -> DataFrame:
-    """Unprocessed files (path, conversation_id) whose identifier is a seen one, the last _part suffix aside."""
+def reconcile_seen(files: DataFrame, processed: DataFrame, seen: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """Unprocessed files (path, conversation_id) that no pattern excludes and whose identifier is a seen one, the last _part suffix aside."""
     base = seen.select(F.regexp_replace("conversation_id", "^(.*)_part.*$", "$1").alias("conversation_id")).distinct()
-    return filter_unprocessed(files, processed).join(base, "conversation_id", "left_semi").select("path", F.lit("reconciled").alias("status"))
+    left = filter_exclude_glob(filter_unprocessed(files, processed), exclude or [])
+    return left.join(base, "conversation_id", "left_semi").select("path", F.lit("reconciled").alias("status"))
+
+
+def reconcile_stubs(files: DataFrame, processed: DataFrame, turns: DataFrame, exclude: list[str] | None = None) -> DataFrame:
+    """Unprocessed files that no pattern excludes and that have no turn."""
+    left = filter_exclude_glob(filter_unprocessed(files, processed), exclude or [])
+    return find_stubs(left, turns).select("path", F.lit("stub_file").alias("status"))
+
+
+def book_files(processed: DataFrame, conversations: DataFrame, cards: DataFrame, at: Column) -> DataFrame:
+    """processed (path, cards_generated, processed_at, status) with the files of a run's conversations (path, conversation_id), each with the number of its cards, unless it has a row already."""
+    new = cards_per_file(filter_unprocessed(conversations, processed), cards)
+    return processed.select("path", "cards_generated", "processed_at", "status").unionByName(new.select("path", F.col("cards").alias("cards_generated"), at.alias("processed_at"), F.lit("generated").alias("status")))
+
+
+def run_record(conversations: DataFrame, run_dir: str, at: Column) -> DataFrame:
+    """The row that a run adds to the history."""
+    n = F.countDistinct("conversation_id")
+    return conversations.agg(n.alias("contexts_sent"), n.alias("conversations_sent")).select(F.lit(run_dir).alias("run_dir"), at.alias("timestamp"), "contexts_sent", "conversations_sent")
 
 
 def cards_per_file(conversations: DataFrame, cards: DataFrame) -> DataFrame:
@@ -161,12 +180,19 @@ def load_cards(notes: DataFrame, decks: list[str]) -> DataFrame:
     return x.withColumns({"deck_order": place, "front_norm": normalize_text(F.coalesce("front", F.lit(""))), "back_norm": normalize_text(F.coalesce("back", F.lit("")))})
 
 
-def card_context(cards: DataFrame, turns: DataFrame) -> DataFrame:
-    """The context of each card: by context_id, else by conversation and turn."""
-    by_id = turns.select(F.col("context_id").alias("c"), F.col("path").alias("path_1"), F.col("prompt").alias("prompt_1"))
-    by_turn = turns.select(F.col("conversation_id").alias("v"), F.col("turn_index").alias("i"), F.col("path").alias("path_2"), F.col("prompt").alias("prompt_2"))
-    x = cards.join(by_id, F.col("context_id") == F.col("c"), "left").join(by_turn, (F.col("conversation_id") == F.col("v")) & (F.col("turn_index") == F.col("i")), "left")
-    return x.select(*[cards[k] for k in cards.columns], F.coalesce("path_1", "path_2").alias("path"), F.coalesce("prompt_1", "prompt_2").alias("prompt"))
+def card_context(cards: DataFrame, turns: DataFrame, conversations: DataFrame | None = None) -> DataFrame:
+    """cards with the path and prompt of their turn: by context_id, else by conversation and turn. conversations (conversation_id, title, url, key_topics, turn_count) adds what the turn's conversation has."""
+    kept = {"path": "path", "prompt": "prompt", "found_in": "conversation_id"}
+
+    def side(n: int, **keys: str) -> DataFrame:
+        return turns.select(*[F.col(c).alias(k) for k, c in keys.items()], *[F.col(c).alias(f"{k}_{n}") for k, c in kept.items()])
+
+    x = cards.join(side(1, c="context_id").dropDuplicates(["c"]), F.col("context_id") == F.col("c"), "left").join(side(2, v="conversation_id", i="turn_index"), (F.col("conversation_id") == F.col("v")) & (F.col("turn_index") == F.col("i")), "left")
+    x = x.select(*[cards[k] for k in cards.columns], *[F.coalesce(f"{k}_1", f"{k}_2").alias(k) for k in kept])
+    if conversations is None:
+        return x.drop("found_in")
+    about = conversations.select(F.col("conversation_id").alias("found_in"), *[F.col(c).alias(f"conversation_{c}") for c in ("title", "url", "key_topics", "turn_count")])
+    return x.join(about, "found_in", "left").drop("found_in")
 
 
 def apply_decisions(conversations: DataFrame, decisions: DataFrame, strict: bool = False) -> DataFrame:

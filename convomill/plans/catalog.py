@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import features, payloads, progress, review, segments, similarity, state, turns
-from ..sources import exports, transcripts
+from ..sources import exports, store, transcripts
 from ..streaming import harvest
 from . import fixtures as fx
 from .fixtures import sql
@@ -204,12 +204,12 @@ def migrate_turns(spark, sf_dir):
 HTML = r"'<p>line</p><p><ul><li>a <i>b</i></li><li>c</li></ul><ol><li>d</li></ol>use \(x*y*z\) and <code>k</code></p>'"
 
 
-@query(sql(f"SELECT card_id, deck, CASE WHEN card_id % 6 = 0 THEN 'Cloze' ELSE 'Basic' END AS model, CASE WHEN card_id % 6 = 0 THEN '{{{{c1::x}}}} <b>' || front || '</b><br><br>' || {HTML} ELSE '<b>' || front || '</b>' END AS field_1, CASE WHEN card_id % 6 = 0 THEN '' ELSE {HTML} END AS field_2 FROM CARDS", "CARDS"))
+@query(sql(f"SELECT card_id, deck, CASE WHEN card_id % 6 = 0 THEN 'Cloze' ELSE 'Basic' END AS model, CASE WHEN card_id % 6 = 0 THEN '{{{{c1::x}}}} <b>' || front || '</b><br><br>' || {HTML} ELSE '<b>' || front || '</b>' END AS field_1, CASE WHEN card_id % 6 = 0 THEN '' ELSE {HTML} END AS field_2, 'a,b c' AS tags FROM CARDS", "CARDS"))
 def build_notes(spark, sf_dir):
     c = fx.cards(spark, sf_dir)
     bold = F.concat(F.lit("**"), "front", F.lit("**"))
     back = F.lit("line\n\n- a *b*\n  + c\n1. d\nuse \\(x*y*z\\) and `k`")
-    return payloads.build_notes(c.select("card_id", "deck", F.when(F.col("card_id") % 6 == 0, F.concat(F.lit("{{c1::x}} "), bold)).otherwise(bold).alias("front"), back.alias("back")))
+    return payloads.build_notes(c.select("card_id", "deck", F.when(F.col("card_id") % 6 == 0, F.concat(F.lit("{{c1::x}} "), bold)).otherwise(bold).alias("front"), back.alias("back"), F.when(F.col("card_id") % 2 == 0, F.array(F.lit(" a, b c "), F.lit(""))).otherwise(F.array(F.lit("a"), F.lit("b c"))).alias("tags")))
 
 
 # --- filters -----------------------------------------------------------------
@@ -432,12 +432,24 @@ SPLITS = SHIFTS | {
 }
 
 
-@query(sql("SELECT s.path, coalesce(part, 0) AS part, count(*) AS turn_count, min(s.turn_index) AS first_turn, round(sum(g.score::DECIMAL(10,4))::DOUBLE, 3) AS total_score, count(*) FILTER (g.question_like) AS question_turns FROM B6 s JOIN L_SIG g USING (path, turn_index) GROUP BY s.path, coalesce(part, 0)", "L_TURNS", "L_TERMS", "L_SIG", **SPLITS))
+SEGMENTS = SPLITS | {
+    "B7": "SELECT *, row_number() OVER (PARTITION BY path, part ORDER BY turn_index) - 1 AS nth FROM B6",
+    "Y0": "SELECT b.path, coalesce(b.part, 0) AS part, b.nth, unnest(k.key_terms) AS word, generate_subscripts(k.key_terms, 1) AS p FROM B7 b JOIN L_TERMS k USING (path, turn_index)",
+    "Y1": "SELECT path, part, word, count(*) AS n, min(nth * 100 + p) AS o FROM Y0 GROUP BY ALL",
+    "Y2": "SELECT *, row_number() OVER (PARTITION BY path, part ORDER BY n DESC, o) AS rank FROM Y1",
+    "Y3": "SELECT path, part, string_agg(word, ',' ORDER BY rank) AS key_topics FROM Y2 WHERE rank <= 8 GROUP BY path, part",
+    "Y4": """SELECT s.path, coalesce(s.part, 0) AS part, CASE WHEN any_value(s.part) IS NULL THEN 'id ' || s.path ELSE 'id ' || s.path || '_part' || any_value(s.part)::VARCHAR END AS segment_id, count(*) AS turn_count, min(s.turn_index) AS first_turn, round(sum(g.score::DECIMAL(10,4))::DOUBLE, 3) AS total_score, count(*) FILTER (g.question_like) AS question_turns,
+        string_agg(s.nth::VARCHAR || ':' || s.path || s.turn_index::VARCHAR, ',' ORDER BY s.nth) AS turns FROM B7 s JOIN L_SIG g USING (path, turn_index) GROUP BY s.path, coalesce(s.part, 0)""",
+}
+
+
+@query(sql("SELECT y.*, coalesce(k.key_topics, '') AS key_topics FROM Y4 y LEFT JOIN Y3 k USING (path, part)", "L_TURNS", "L_TERMS", "L_SIG", **SEGMENTS))
 def topic_segments(spark, sf_dir):
     x = segments.topic_segments(segments.topic_shifts(long_terms(spark, sf_dir), ["path"]), ["path"], F.length("prompt") + F.length("answer"))
-    first = x.groupBy("path", F.coalesce("part", F.lit(0)).alias("part")).agg(F.min("turn_index").alias("first_turn"))
-    s = features.conversation_signals(x.withColumn("part", F.coalesce("part", F.lit(0))), ["path", "part"], order="part_index")
-    return s.join(first, ["path", "part"]).select("path", "part", "turn_count", "first_turn", "total_score", "question_turns")
+    x = x.withColumns({"conversation_id": F.concat(F.lit("id "), "path"), "context_id": F.concat("path", F.col("turn_index").cast("string"))})
+    shown = F.transform("turns", lambda r: F.concat_ws(":", r["turn_index"].cast("string"), r["context_id"]))
+    s = segments.segment_conversations(x, ["path"])
+    return s.select("path", "part", "segment_id", "turn_count", F.array_min(F.transform("turns", lambda r: F.replace(r["context_id"], F.col("path"), F.lit("")).cast("long"))).alias("first_turn"), "total_score", "question_turns", shown.alias("turns"), "key_topics")
 
 
 @query(sql("SELECT path, mtime FROM FILES ORDER BY mtime DESC, path LIMIT 300", "FILES"))
@@ -491,6 +503,36 @@ def reconcile_seen(spark, sf_dir):
     return state.reconcile_seen(fx.files(spark, sf_dir), fx.processed(spark, sf_dir), fx.seen(spark, sf_dir))
 
 
+@query(sql("SELECT path, 'stub_file' AS status FROM FILES WHERE path NOT IN (SELECT path FROM PROCESSED) AND path NOT IN (SELECT path FROM TURNS) AND NOT path GLOB '2024-04-*'", "PROCESSED", "TURNS"))
+def reconcile_stubs(spark, sf_dir):
+    return state.reconcile_stubs(fx.files(spark, sf_dir), fx.processed(spark, sf_dir), turns_of(spark, sf_dir), ["2024-04-*"])
+
+
+@query(sql("""SELECT path, cards_generated, strftime(processed_at, '%Y-%m-%d') AS processed_at, 'before' AS status FROM PROCESSED UNION ALL
+    SELECT path, (SELECT count(*) FROM events e WHERE e.user_id = f.conv_id), '2024-06-01', 'generated' FROM FILES f WHERE path NOT IN (SELECT path FROM PROCESSED)""", "PROCESSED"))
+def book_files(spark, sf_dir):
+    """A run over all files: those that have a row keep it."""
+    f = fx.files(spark, sf_dir)
+    e = fx.table(spark, sf_dir, "events").join(f.select(F.col("conv_id").alias("user_id"), "conversation_id"), "user_id")
+    return state.book_files(fx.processed(spark, sf_dir).withColumn("status", F.lit("before")), f, e, F.lit("2024-06-01").cast("date"))
+
+
+@query(sql("""SELECT 'files' AS name, count(*) AS n, sum(cards_generated)::BIGINT AS total FROM (SELECT path, CASE WHEN cards_generated = 0 THEN 7 ELSE cards_generated END AS cards_generated FROM PROCESSED)
+    UNION ALL SELECT 'seen', count(*), 0 FROM (SELECT conversation_id FROM SEEN UNION SELECT conversation_id FROM FILES WHERE conv_id % 2 = 0) UNION ALL SELECT 'history', 2, (SELECT count(*) FROM SEEN) + (SELECT count(*) FROM FILES WHERE conv_id % 2 = 0)""", "PROCESSED", "SEEN"))
+def state_store(spark, sf_dir):
+    """Two runs write to the stored state, the second one twice; then it is read."""
+    kept = store.StateStore(spark, shared_path(spark))
+    p, at = fx.processed(spark, sf_dir).withColumn("status", F.lit("generated")), F.lit("2024-06-01").cast("timestamp")
+    again, fresh = p.where("cards_generated = 0").withColumn("cards_generated", F.lit(7)), fx.files(spark, sf_dir).where("conv_id % 2 = 0")
+    for version, files, seen in ((1, p, fx.seen(spark, sf_dir)), (2, again, fresh), (2, again, fresh)):
+        kept.append("processed_files", files, version)
+        kept.append("seen_conversations", seen, version)
+        kept.append("run_history", state.run_record(seen, f"run-{version}", at), version)
+    whole = lambda name, df, total: df.agg(F.count("*").alias("n"), total.alias("total")).select(F.lit(name).alias("name"), "n", "total")
+    parts = [whole("files", kept.read("processed_files"), F.sum("cards_generated")), whole("seen", kept.read("seen_conversations"), F.lit(0).cast("long")), whole("history", kept.read("run_history"), F.sum("conversations_sent"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(sql("SELECT f.path, count(e.event_id) AS cards FROM FILES f LEFT JOIN events e ON e.user_id = f.conv_id GROUP BY f.path", "FILES"))
 def cards_per_file(spark, sf_dir):
     f = fx.files(spark, sf_dir)
@@ -503,11 +545,15 @@ def missing_decks(spark, sf_dir):
     return state.missing_decks(fx.cards(spark, sf_dir), spark.createDataFrame([("deck0",), ("deck5",)], "deck string"))
 
 
-@query(sql("SELECT path, turn_index, CASE WHEN turn_index % 3 <> 2 THEN prompt END AS prompt FROM B", "TURNS", B=BUILT))
+@query(sql("""SELECT path, turn_index, CASE WHEN turn_index % 3 <> 2 THEN prompt END AS prompt, CASE WHEN turn_index % 3 <> 2 THEN 'Title ' || path END AS title, CASE WHEN turn_index % 3 <> 2 THEN 'https://chat.example/' || path END AS url,
+    CASE WHEN turn_index % 3 <> 2 THEN coalesce(key_topics, '') END AS key_topics, CASE WHEN turn_index % 3 <> 2 THEN count(*) OVER (PARTITION BY path) END AS turn_count FROM B LEFT JOIN K3 USING (path)""", "TURNS", "TERMS", B=BUILT, **TOPICS, K3="SELECT path, string_agg(word, ',' ORDER BY rank) AS key_topics FROM K2 WHERE rank <= 8 GROUP BY path"))
 def card_context(spark, sf_dir):
     b = turns.build_turns(turns_of(spark, sf_dir))
     c = b.select(F.col("path").alias("p"), F.when(F.col("turn_index") % 3 == 0, F.col("context_id")).otherwise("none").alias("context_id"), F.when(F.col("turn_index") % 3 == 1, F.col("conversation_id")).alias("conversation_id"), "turn_index")
-    return state.card_context(c, b).select(F.col("p").alias("path"), "turn_index", "prompt")
+    topics = features.key_topics(features.with_key_terms(turns_of(spark, sf_dir), ["path", "turn_index"]), ["path"]).withColumnRenamed("terms", "key_topics")
+    about = b.groupBy("path", "conversation_id").agg(F.count("*").alias("turn_count")).join(topics, "path", "left").select("conversation_id", F.concat(F.lit("Title "), "path").alias("title"), F.concat(F.lit("https://chat.example/"), "path").alias("url"), F.coalesce("key_topics", F.array().cast("array<string>")).alias("key_topics"), "turn_count")
+    x = state.card_context(c, b, about)
+    return x.select(F.col("p").alias("path"), "turn_index", "prompt", *[F.col(f"conversation_{n}").alias(n) for n in ("title", "url", "key_topics", "turn_count")])
 
 
 @query(sql("SELECT path, batch FROM (SELECT *, bool_or(place % 3 = 0 AND batch % 2 = 0) OVER (PARTITION BY batch) AS any_kept FROM B) WHERE NOT any_kept OR (place % 3 = 0 AND batch % 2 = 0)", B=BATCHES))
@@ -683,17 +729,23 @@ def throughput_eta(spark, sf_dir):
     return progress.throughput(log.select(F.to_timestamp(part(1)).alias("at"), part(2).cast("long").alias("done"), part(3).cast("long").alias("total")))
 
 
-RUN_TIMES = sql("SELECT run_id, min(made_at) AS first_at, max(made_at) AS last_at, trunc(quantile_cont(epoch_us(made_at), 0.5))::BIGINT AS median_micros, count(made_at) AS n_timed, count(*) AS n_cards FROM CARDS GROUP BY run_id", "CARDS")
+TIMED = "SELECT *, CASE WHEN substring(run_id, 12, 1) <> '2' THEN made_at END AS card_at FROM CARDS"
+RUN_TIMES = sql("SELECT run_id, min(card_at) AS first_at, max(card_at) AS last_at, trunc(quantile_cont(epoch_us(card_at), 0.5))::BIGINT AS median_micros, count(card_at) AS n_timed, count(*) AS n_cards FROM TIMED GROUP BY run_id", "CARDS", TIMED=TIMED)
+
+
+def timed_cards(spark, sf_dir):
+    """The cards of some runs have no time."""
+    return fx.cards(spark, sf_dir).withColumn("at", F.when(F.substring("run_id", 12, 1) != "2", F.col("at")))
 
 
 @query(f"SELECT run_id, strftime(date_trunc('second', first_at), '%Y-%m-%d %H:%M:%S') AS first_at, strftime(date_trunc('second', last_at), '%Y-%m-%d %H:%M:%S') AS last_at, median_micros, n_timed, n_cards FROM ({RUN_TIMES})")
 def run_time_stats(spark, sf_dir):
-    return progress.run_time_stats(fx.cards(spark, sf_dir))
+    return progress.run_time_stats(timed_cards(spark, sf_dir))
 
 
-@query(f"SELECT run_id, median_micros AS sort_micros FROM ({RUN_TIMES}) ORDER BY 2 DESC, 1 LIMIT 20")
+@query(f"SELECT run_id, coalesce(median_micros, epoch_us(strptime(substring(run_id, 5), '%Y%m%d-%H%M%S'))) AS sort_micros FROM ({RUN_TIMES}) ORDER BY 2 DESC, 1 LIMIT 20")
 def run_order(spark, sf_dir):
-    return progress.run_order(progress.run_time_stats(fx.cards(spark, sf_dir)), 20).select("run_id", "sort_micros")
+    return progress.run_order(progress.run_time_stats(timed_cards(spark, sf_dir)), 20).select("run_id", "sort_micros")
 
 
 # --- review ------------------------------------------------------------------
@@ -738,7 +790,7 @@ def latest_decision(spark, sf_dir):
     return state.latest_per_key(e, "card_id", "decided_at")
 
 
-@query(sql("SELECT deck, floor(confidence * 10)::BIGINT AS band, count(*) AS n, round(count(*) FILTER (action IN ('accept', 'edit'))::DOUBLE / count(*), 6) AS acceptance_rate, round(count(*) FILTER (action = 'edit')::DOUBLE / count(*), 6) AS edit_rate FROM CARDS JOIN DECISIONS USING (card_id) GROUP BY 1, 2", "DECISIONS"))
+@query(sql("SELECT deck, floor(confidence * 10)::BIGINT AS band, count(*) AS n, round(count(*) FILTER (action IN ('accept', 'edit'))::DOUBLE / count(*), 6) AS acceptance_rate, round(count(*) FILTER (action = 'edit')::DOUBLE / count(*), 6) AS edit_rate, round(count(*) FILTER (is_likely_duplicate AND action = 'reject')::DOUBLE / nullif(count(*) FILTER (is_likely_duplicate), 0), 6) AS duplicate_precision FROM CARDS JOIN DECISIONS USING (card_id) GROUP BY 1, 2", "DECISIONS"))
 def acceptance_rate(spark, sf_dir):
     return review.acceptance_rate(fx.cards(spark, sf_dir), fx.decisions(spark, sf_dir))
 
@@ -754,36 +806,57 @@ def import_counts(spark, sf_dir):
 def payload_parts(spark, sf_dir):
     x = features.turn_signals(turns_of(spark, sf_dir))
     topics = features.key_topics(features.with_key_terms(x, ["path", "turn_index"]), ["path"]).withColumnRenamed("terms", "key_topics")
-    c = batches_of(spark, sf_dir).join(topics, "path", "left").select(F.col("path").alias("conversation_id"), "batch", F.col("path").alias("title"), F.lit(None).cast("string").alias("url"), "key_topics", "aggregate_score")
+    c = batches_of(spark, sf_dir).join(topics, "path", "left").select(F.col("path").alias("conversation_id"), "batch", F.col("path").alias("title"), F.concat(F.lit("https://chat.example/"), "path").alias("url"), "key_topics", "aggregate_score", "turn_count", "question_turns")
     return c, x.withColumn("conversation_id", F.col("path")).withColumn("context_id", F.sha2("path", 256))
 
 
-@query()
+PAYLOAD = {
+    "K3": "SELECT path, list(word ORDER BY rank) AS key_topics FROM K2 WHERE rank <= 8 GROUP BY path",
+    "B": BATCHES,
+    "P": "SELECT path, turn_index, CASE WHEN length(prompt) > 4000 THEN substring(prompt, 1, 2800) || chr(10) || chr(10) || '[TRUNCATED: ' || format('{:,}', length(prompt) - 3600) || ' characters removed]' || chr(10) || chr(10) || right(prompt, 800) ELSE prompt END AS prompt, answer, user_ts, score, question_like, bullet_count FROM SIG",
+    "F1": "SELECT path, list({'turn_index': turn_index, 'user_prompt': prompt, 'assistant_response': answer} ORDER BY turn_index) AS turns FROM P GROUP BY path",
+    "F2": "SELECT batch, list({'conversation_id': path, 'source_title': path, 'key_topics': key_topics, 'turn_count': len(turns), 'turns': turns} ORDER BY path) AS candidate_conversations FROM B JOIN F1 USING (path) JOIN K3 USING (path) GROUP BY batch",
+    "G1": "SELECT path, list({'turn_index': turn_index, 'context_id': sha256(path), 'user_timestamp': user_ts, 'user_prompt': prompt, 'assistant_answer': answer, 'score': round(score, 3), 'signals': {'question_like': question_like, 'bullet_count': bullet_count}} ORDER BY turn_index) AS turns FROM P GROUP BY path",
+    "G2": f"SELECT batch, list({{'conversation_id': path, 'source_title': path, 'source_url': 'https://chat.example/' || path, 'key_topics': key_topics, 'aggregate_score': round(c.aggregate_score, 3), 'aggregate_signals': {{'turn_count': c.turn_count, 'question_turns': c.question_turns}}, 'turns': turns}} ORDER BY path) AS candidate_conversations FROM B JOIN G1 USING (path) JOIN K3 USING (path) JOIN ({CONVS}) c USING (path) GROUP BY batch",
+}
+
+
+@query(sql("SELECT batch, 'Decide which conversations to keep.' || chr(10) || chr(10) || to_json({'candidate_conversations': candidate_conversations}) AS payload FROM F2", "SIG", "TERMS", **TOPICS, **PAYLOAD))
 def filter_payload(spark, sf_dir):
     return payloads.filter_payload(*payload_parts(spark, sf_dir), "Decide which conversations to keep.")
 
 
-@query()
+@query(sql("SELECT batch, 'Write cards for these decks:' || chr(10) || '- A $deck' || chr(10) || '- B {x}' || chr(10) || chr(10) || to_json({'available_decks': ['A $deck', 'B {x}'], 'candidate_conversations': candidate_conversations}) AS payload FROM G2", "SIG", "TERMS", **TOPICS, **PAYLOAD))
 def generate_payload(spark, sf_dir):
-    return payloads.generate_payload(*payload_parts(spark, sf_dir), "Write cards for these decks:\n{decks}", ["A $deck", "B {x}"])
+    return payloads.generate_payload(*payload_parts(spark, sf_dir), "Write cards for these decks:\n{decks}", ["A $deck", "B {x}"], ["question_like", "bullet_count"], ["turn_count", "question_turns"])
 
 
 def responses_of(spark, sf_dir):
-    d = F.concat(F.lit('{"cards": [{"conversation_id": "c'), F.col("user_id").cast("string"), F.lit('", "turn_index": 1, "deck": "d", "front": "f", "back": "b", "tags": ["x"], "confidence": 0.5, "extra": 1}, {"front": "second"}], "skipped_conversations": []}'))
+    d = F.concat(F.lit('{"cards": [{"conversation_id": "c'), F.col("user_id").cast("string"), F.lit('", "turn_index": 1, "deck": "d", "front": "f", "back": "b", "tags": ["x"], "confidence": 0.5, "extra": 1}, {"front": "second", "depends_on": ["x", "y"]}], "skipped_conversations": [{"conversation_id": "k", "reason": "thin"}], "skipped_turns": [{"conversation_id": "k", "turn_index": 2, "reason": "chat"}], "learning_insights": [{"conversation_id": "k", "insight": "i", "misconceptions_corrected": ["m", "n"]}]}'))
     kinds = F.expr("CASE event_id % 5 WHEN 0 THEN j WHEN 1 THEN concat('```json\\n', j, '\\n```') WHEN 2 THEN concat('Here you are: ', j, ' done') WHEN 3 THEN replace(j, '\"f\"', '\"\\\\\\\\alpha\"') ELSE 'no json' END")
     return fx.table(spark, sf_dir, "events").withColumn("j", d).select("event_id", "user_id", kinds.alias("response"))
 
 
 @query(r"""SELECT event_id, CASE WHEN event_id % 5 <> 4 THEN '{"cards": [{"conversation_id": "c' || user_id::VARCHAR || '", "turn_index": 1, "deck": "d", "front": ' || CASE WHEN event_id % 5 = 3 THEN '"\\alpha"' ELSE '"f"' END
-    || ', "back": "b", "tags": ["x"], "confidence": 0.5, "extra": 1}, {"front": "second"}], "skipped_conversations": []}' END AS parsed FROM events""")
+    || ', "back": "b", "tags": ["x"], "confidence": 0.5, "extra": 1}, {"front": "second", "depends_on": ["x", "y"]}], "skipped_conversations": [{"conversation_id": "k", "reason": "thin"}], "skipped_turns": [{"conversation_id": "k", "turn_index": 2, "reason": "chat"}], "learning_insights": [{"conversation_id": "k", "insight": "i", "misconceptions_corrected": ["m", "n"]}]}' END AS parsed FROM events""")
 def parse_responses(spark, sf_dir):
     return payloads.parse_responses(responses_of(spark, sf_dir)).select("event_id", "parsed")
 
 
-@query("SELECT event_id, i AS card_index, CASE WHEN i = 0 THEN 'c' || user_id::VARCHAR END AS conversation_id, CASE WHEN i = 1 THEN 'second' WHEN event_id % 5 = 3 THEN chr(92) || 'alpha' ELSE 'f' END AS front, CASE WHEN i = 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN i = 0 THEN '1' END AS extra FROM events, range(2) r(i) WHERE event_id % 5 <> 4")
+@query("SELECT event_id, i AS card_index, CASE WHEN i = 0 THEN 'c' || user_id::VARCHAR END AS conversation_id, CASE WHEN i = 1 THEN 'second' WHEN event_id % 5 = 3 THEN chr(92) || 'alpha' ELSE 'f' END AS front, CASE WHEN i = 0 THEN 0.5::DOUBLE END AS confidence, CASE WHEN i = 0 THEN '1' END AS extra, CASE WHEN i = 1 THEN 'x,y' END AS depends_on FROM events, range(2) r(i) WHERE event_id % 5 <> 4")
 def explode_cards(spark, sf_dir):
     c = payloads.explode_cards(payloads.parse_responses(responses_of(spark, sf_dir)), ["event_id"])
-    return c.select("event_id", "card_index", "conversation_id", "front", "confidence", F.get_json_object("raw", "$.extra").alias("extra"))
+    return c.select("event_id", "card_index", "conversation_id", "front", "confidence", F.get_json_object("raw", "$.extra").alias("extra"), "depends_on")
+
+
+@query("SELECT event_id, kind, 'k' AS conversation_id, CASE WHEN kind = 'turn' THEN 2 END::BIGINT AS turn_index, CASE WHEN kind = 'turn' THEN 'chat' ELSE 'thin' END AS reason FROM events, (VALUES ('turn'), ('conversation')) v(kind) WHERE event_id % 5 <> 4")
+def explode_skips(spark, sf_dir):
+    return payloads.explode_skips(payloads.parse_responses(responses_of(spark, sf_dir)), ["event_id"])
+
+
+@query("SELECT event_id, 'k' AS conversation_id, 'i' AS insight, 'm,n' AS misconceptions_corrected FROM events WHERE event_id % 5 <> 4")
+def explode_insights(spark, sf_dir):
+    return payloads.explode_insights(payloads.parse_responses(responses_of(spark, sf_dir)), ["event_id"])
 
 
 # --- streaming ---------------------------------------------------------------
