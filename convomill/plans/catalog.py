@@ -49,7 +49,12 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def shared_path(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="convomill-")
+    """A new folder in the one that all executors share; where none is set and all runs on this machine (tests), a folder of our own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="convomill-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -877,10 +882,13 @@ def stream_dedup_ids(spark, sf_dir):
 
 @query("SELECT strftime(date_trunc('week', ts), '%Y-%m-%d %H:%M:%S') AS week, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_weekly(spark, sf_dir):
-    return harvest.drained(harvest.weekly_activity(harvest.read_table(spark, f"{sf_dir}/events.parquet")), shared_path(spark), "complete")
+    return harvest.latest(harvest.weekly_activity(harvest.read_table(spark, f"{sf_dir}/events.parquet")), shared_path(spark), ["week", "event_type"])
 
 
 @query("""WITH L AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events), S AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM L)
     SELECT user_id, strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS started, count(*) AS n FROM S GROUP BY user_id, k""")
 def stream_sessions(spark, sf_dir):
-    return harvest.drained(harvest.sessions(harvest.read_table(spark, f"{sf_dir}/events.parquet")), shared_path(spark), "complete")
+    out = shared_path(spark)
+    harvest.write_end(spark, f"{out}/end", "user_id", "ts", "2100-01-01")
+    stream = harvest.read_table(spark, f"{sf_dir}/events.parquet").select("user_id", "ts").unionByName(harvest.read_table(spark, f"{out}/end"))
+    return harvest.drained(harvest.sessions(stream), out).where("user_id is not null")

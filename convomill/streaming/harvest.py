@@ -15,32 +15,43 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else stream
 
 
-def drained(stream: DataFrame, out: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns its output table. The checkpoint beside it lets a later run go on.
+def drained(stream: DataFrame, out: str) -> DataFrame:
+    """Runs a stream over what is there now, in append mode, and returns its output table. The checkpoint beside it lets a later run go on."""
+    writer = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
+    writer.format("parquet").option("path", f"{out}/data").start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data")
 
-    In complete mode each batch's whole result is kept under its number, and
-    the last one is read.
-    """
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True)
-    if mode == "append":
-        writer.format("parquet").option("path", f"{out}/data").start().awaitTermination()
-        return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data")
 
+def latest(stream: DataFrame, out: str, keys: list[str]) -> DataFrame:
+    """Runs a stream in update mode: a batch keeps the rows that it changed under its own number (a repeated batch replaces itself); of each key the last one counts."""
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/data/batch={number}")
 
-    writer.foreachBatch(keep).start().awaitTermination()
-    rows = stream.sparkSession.read.parquet(f"{out}/data")
-    return rows.join(rows.agg(F.max("batch").alias("batch")), "batch", "left_semi").select(stream.columns)
+    stream.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = stream.sparkSession.read.parquet(f"{out}/data").groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("r"))
+    return rows.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest]).select(stream.columns)
+
+
+def write_end(spark: SparkSession, path: str, key: str, at: str, time: str) -> None:
+    """A row without a key at a time after all others: read as part of a stream, it moves the watermark on, so that what is open then ends."""
+    spark.range(1).select(F.lit(None).cast("long").alias(key), F.lit(time).cast("timestamp").alias(at)).write.mode("overwrite").parquet(path)
 
 
 def harvest(entries: DataFrame, out: str) -> DataFrame:
-    """Turns of streamed entries, batch by batch. A batch first keeps its entries under its own number, so that a repeated batch replaces itself; each path's turns come from all its entries so far."""
+    """Turns of streamed entries, batch by batch. A batch keeps its entries under its own number, so that a repeated batch replaces itself, and pairs anew only the paths it has entries of, from all their entries so far; of each path the last pairing counts."""
+    spark, names = entries.sparkSession, entries.columns
+
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/entries/batch={number}")
+        touched = spark.read.parquet(f"{out}/entries/batch={number}").select("path").distinct()
+        stored = spark.read.parquet(f"{out}/entries").where(F.col("batch") <= number).join(touched, "path", "left_semi")
+        pair_turns(stored.select(names)).write.mode("overwrite").parquet(f"{out}/turns/batch={number}")
 
     entries.writeStream.foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return pair_turns(entries.sparkSession.read.parquet(f"{out}/entries").select(entries.columns))
+    turns = spark.read.parquet(f"{out}/turns")
+    last = turns.groupBy("path").agg(F.max("batch").alias("batch"))
+    return turns.join(last, ["path", "batch"], "left_semi").drop("batch")
 
 
 def dedup_ids(events: DataFrame, key: str, at: str, within: str = "60 days") -> DataFrame:
@@ -54,5 +65,6 @@ def weekly_activity(events: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def sessions(events: DataFrame, gap: str = "6 hours", late: str = "1 day") -> DataFrame:
+    """Sessions of each user; in append mode a session is there when the watermark has passed its end. The row of write_end() closes all; its own session, without a user, is to be left out of the output, not of the stream."""
     s = F.session_window("ts", gap)
     return events.withWatermark("ts", late).groupBy(s.alias("s"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("started"), "n")
