@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +59,7 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii)}
 
 
 def _escaped_length(x: str) -> str:
