@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-GATE, MATCHES = 0.6, 3
+GATE, MATCHES = 0.6, 6
 BLOCK = 10_000
 
 
