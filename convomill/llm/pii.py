@@ -15,8 +15,8 @@ one each for equal and for similar candidates) maximise the conditional
 likelihood under the same message passing, with a Gaussian prior, on a bounded
 sample: the FITTED documents with rule matches and the FITTED others of the
 smallest hashes, of at most NODES candidates each. There a rule match is shown a
-second time, as it would look if it passed no rule, and its label is hidden;
-open candidates without a link to a rule match count as none, linked ones are
+second time, as it would look if it passed no rule: half of them linked to it,
+with its label hidden, half of them alone, as none; open candidates without a link to a rule match count as none, linked ones are
 left open. Occurrences of one key are linked each to the next, so a token
 repeated n times costs n edges.
 """
@@ -188,7 +188,7 @@ class Graph:
 
 
 def lesson(text: str) -> str | None:
-    """The graph of one text to learn from, with rule matches shown again in disguise; None if it has no candidate or too many."""
+    """The graph of one text to learn from, with rule matches shown again in disguise, linked or alone; None if it has no candidate or too many."""
     rules = rule_spans(text)
     nodes = Nodes(text, rules)
     n = len(nodes.spans)
@@ -200,11 +200,12 @@ def lesson(text: str) -> str | None:
     shapes, skip = list(nodes.shapes), list(nodes.skip)
     for i, (s, e, k) in enumerate(nodes.spans):
         draw = zlib.crc32(f"{i}:{text[s:e]}".encode("utf-8", "surrogatepass")) % 8
-        if nodes.fixed[i] and draw < 4:
-            skip.append((i, len(shapes), int(draw == 3 and LABELS[k] in ("email", "phone"))))
+        if nodes.fixed[i]:
+            if draw < 4:
+                skip.append((i, len(shapes), int(draw == 3 and LABELS[k] in ("email", "phone"))))
             shapes.append(shape_of(disguised(LABELS[k], text[s:e])))
             labels.append(-1)
-            known.append(k)
+            known.append(k if draw < 4 else 0)
     return json.dumps({"shapes": shapes, "labels": labels, "known": known, "chain": nodes.chain, "skip": skip})
 
 

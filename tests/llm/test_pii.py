@@ -95,6 +95,8 @@ def test_fitting_climbs_and_restores_disguised_matches():
     assert gap(field) < 0.3 * before
     got, hidden = np.array(field.labels(unseen)), (unseen.labels < 0) & (unseen.known > 0)
     assert hidden.sum() > 50 and (got[hidden] == unseen.known[hidden]).mean() > 0.9
+    alone = pii.Graph(["7", "11 ", "9.", "@", "24", "1 2"], *[np.full(6, -1)] * 2, np.empty((0, 2), int), np.empty((0, 3), int))
+    assert field.labels(alone) == [0] * 6
     clean = (unseen.labels < 0) & (unseen.known == 0)
     assert clean.sum() > 100 and (got[clean] == 0).mean() > 0.95
 
