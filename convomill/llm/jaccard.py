@@ -241,6 +241,8 @@ def block_pairs(held: DataFrame, num: int, den: int) -> DataFrame:
 def hot_links(hot: DataFrame, docs: DataFrame, num: int, den: int, text: str, key: str, k: int) -> DataFrame:
     """a and b of links that join the components of holders of frequent shingles (pivot.rep, rep, n, component)."""
     held = written(hot.select(F.col("pivot.rep").alias("p"), "rep", "n", "component").distinct())
+    if not held.take(1):
+        return held.select(F.col("p").alias("a"), F.col("rep").alias("b"))
     blocks = written(block_pairs(held, num, den))
     sets = written(candidate_sets(docs, blocks.select("rep").distinct(), text, key, k))
 

@@ -63,5 +63,13 @@ def test_expectation_maximisation_recovers_weights():
     assert w[5][0] == pytest.approx(0.75, abs=0.01) and w[5][1] == pytest.approx(0.25, abs=0.01)
 
 
+def test_repeated_rows_count_each(spark):
+    rows = [(i, f"a b w{i % 3}") for i in range(30)] + [(7, "a b w1")] * 3 + [(7, "other text of one number")]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    train = [words(t) for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    assert len(got) == len(rows) and {r.train_tokens for r in got} == {sum(map(len, train))}
+    assert len({(r.score, r.base_score) for r in got if r.doc_id == 7}) == 2
+
+
 def test_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0

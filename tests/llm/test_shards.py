@@ -45,3 +45,13 @@ def test_shards(spark):
 
 def test_empty(spark):
     assert shards.minimax_shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_very_long_texts_and_equal_rows(spark):
+    long = "é" * 1_500_000
+    rows = [(1, long), (2, long), (3, "a"), (3, "a"), (3, "a"), (4, None), (None, "b")]
+    out = shards.minimax_shards(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
+    assert sorted(r["size"] for r in out) == [1, 2, 2, 2, 2, 3_000_001, 3_000_001]
+    assert len({r.shard for r in out if r["size"] > 9}) == 1 and len({r.shard for r in out if r.doc_id == 3}) == 1
+    for k in {r.shard for r in out}:
+        assert sorted(r.slot for r in out if r.shard == k) == list(range(sum(r.shard == k for r in out)))
