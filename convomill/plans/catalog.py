@@ -72,6 +72,8 @@ def long_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DAY = "substring(path, 1, 10)"
 
+BUILT = "SELECT path, turn_index, sha256(path || ':' || coalesce(first_value(user_ts) OVER (PARTITION BY path ORDER BY turn_index), '')) AS conversation_id, sha256(path || ':' || coalesce(user_ts, '') || prompt || answer) AS context_id, user_ts, assistant_ts, prompt, substring(answer, 1, 2000) AS answer, length(answer)::BIGINT AS answer_chars FROM TURNS"
+
 # --- sources -----------------------------------------------------------------
 
 
@@ -179,13 +181,16 @@ def load_cards(spark, sf_dir):
     return state.load_cards(notes_of(spark, sf_dir), ["src3", "src1", "src2"]).select("note_id", "deck", "deck_order", "front_norm", "back_norm")
 
 
-@query(sql("SELECT sha256(path || ':' || coalesce(first_value(user_ts) OVER (PARTITION BY path ORDER BY turn_index), '')) AS conversation_id, turn_index, length(prompt)::BIGINT AS prompt_chars FROM TURNS", "TURNS"))
+@query(sql("SELECT CASE WHEN length(path) % 2 = 0 THEN 'run-1' ELSE 'run-0' END AS run_id, CASE WHEN length(path) % 2 = 0 THEN conversation_id END AS conversation_id, turn_index, length(prompt)::BIGINT AS prompt_chars FROM B", "TURNS", B=BUILT))
 def run_turn_lookup(spark, sf_dir):
-    stored = features.assembled(turns.build_turns(turns_of(spark, sf_dir)), ["conversation_id"], ["prompt"])
-    out = shared_path(spark)
-    stored.withColumn("run_id", F.lit("run-1")).write.partitionBy("run_id").json(out)
-    back = spark.read.schema("conversation_id string, turns array<struct<turn_index: int, prompt: string>>, run_id string").json(out)
-    return transcripts.run_turns(back).select("conversation_id", "turn_index", F.length("prompt").alias("prompt_chars"))
+    """One run of conversations, written twice, and single turns of the older layout, of that run and of another."""
+    out, b = shared_path(spark), turns.build_turns(turns_of(spark, sf_dir))
+    new = features.assembled(b.where("length(path) % 2 = 0"), ["conversation_id"], ["context_id", "prompt"]).withColumn("run_id", F.lit("run-1"))
+    for _ in range(2):
+        transcripts.write_run(new, fx.cards(spark, sf_dir).select("card_id", "run_id"), out)
+    older = F.when(F.expr("length(path) % 2 = 0"), "run-1").otherwise("run-0").alias("run_id")
+    b.select("turn_index", "context_id", "prompt", older).write.partitionBy("run_id").json(f"{out}/contexts")
+    return transcripts.read_run_turns(spark, out).select("run_id", "conversation_id", "turn_index", F.length("prompt").alias("prompt_chars"))
 
 
 @query(sql("SELECT path, max(cards_generated) AS cards_generated, '2024-06-01' AS processed_at, 'reconciled' AS status FROM PROCESSED WHERE cards_generated = 0 GROUP BY path UNION ALL SELECT path, cards_generated, strftime(processed_at, '%Y-%m-%d'), 'generated' FROM PROCESSED WHERE cards_generated <> 0", "PROCESSED"))
@@ -319,9 +324,6 @@ def key_points(spark, sf_dir):
     return turns_of(spark, sf_dir).select("path", "turn_index", t.key_points(F.col("answer")).alias("points"))
 
 
-BUILT = "SELECT path, turn_index, sha256(path || ':' || coalesce(first_value(user_ts) OVER (PARTITION BY path ORDER BY turn_index), '')) AS conversation_id, sha256(path || ':' || coalesce(user_ts, '') || prompt || answer) AS context_id, user_ts, assistant_ts, prompt, substring(answer, 1, 2000) AS answer, length(answer)::BIGINT AS answer_chars FROM TURNS"
-
-
 @query(sql(BUILT, "TURNS"))
 def build_turns(spark, sf_dir):
     return turns.build_turns(turns_of(spark, sf_dir)).drop("full_answer")

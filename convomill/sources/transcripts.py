@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify, strip
+from .store import exists
 
 
 def scan_transcripts(spark: SparkSession, root: str) -> DataFrame:
@@ -85,12 +86,26 @@ def upsert_status(new: DataFrame, existing: DataFrame) -> DataFrame:
     return new.join(old, "path", "left").select("path", status.alias("status"))
 
 
+RUN_TURN = "turn_index int, context_id string, prompt string"
+
+
 def write_run(conversations: DataFrame, cards: DataFrame, out: str) -> None:
-    conversations.write.mode("overwrite").partitionBy("run_id").json(f"{out}/conversations")
-    cards.write.mode("overwrite").partitionBy("run_id").json(f"{out}/cards")
+    """Both with run_id; a run that is written again replaces itself."""
+    for df, name in ((conversations, "conversations"), (cards, "cards")):
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").json(f"{out}/{name}")
 
 
 def run_turns(conversations: DataFrame) -> DataFrame:
     """The turns of stored conversations, one row each."""
-    return conversations.select("conversation_id", F.inline("turns"))
+    return conversations.select(*[c for c in ("run_id", "conversation_id") if c in conversations.columns], F.inline("turns"))
+
+
+def read_run_turns(spark: SparkSession, out: str) -> DataFrame:
+    """run_id, conversation_id and RUN_TURN of all runs' turns: from conversations, or of runs of the older layout, which have single turns (contexts) only, without a conversation_id."""
+    def stored(name: str, schema: str) -> DataFrame:
+        schema = f"{schema}, run_id string"
+        return spark.read.schema(schema).json(f"{out}/{name}") if exists(spark, f"{out}/{name}") else spark.createDataFrame([], schema)
 
+    whole = stored("conversations", f"conversation_id string, turns array<struct<{RUN_TURN.replace(' ', ': ').replace(',:', ',')}>>")
+    older = stored("contexts", RUN_TURN).join(whole.select("run_id").distinct(), "run_id", "left_anti")
+    return run_turns(whole).unionByName(older.withColumn("conversation_id", F.lit(None).cast("string")))
