@@ -97,11 +97,9 @@ class ShardWriter:
         shared = 0
         while shared < min(len(key), len(self._last)) and key[shared] == self._last[shared]:
             shared += 1
-        n, values = len(ids) // 4, np.frombuffer(ids, "<u4")
-        if n and int(values.max()) >= 1 << 8 * self._width:
-            raise ValueError(f"id {int(values.max())} does not fit in {self._width} bytes")
+        n = len(ids) // 4
         self._entries += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(n)
-        self._ids.append(values.astype(self._dtype).tobytes())
+        self._ids.append(ids)
         self._last, self._count, self._size = key, self._count + 1, self._size + n * self._width
         self._hashes.append(_hash_key(key))
         self.n_docs, self.n_tokens = self.n_docs + 1, self.n_tokens + n
@@ -115,7 +113,10 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self._count:
-            body = self._zip.compress(struct.pack("<I", len(self._entries)) + bytes(self._entries) + b"".join(self._ids))
+            ids = np.frombuffer(b"".join(self._ids), "<u4")
+            if len(ids) and int(ids.max()) >= 1 << 8 * self._width:
+                raise ValueError(f"id {int(ids.max())} does not fit in {self._width} bytes")
+            body = self._zip.compress(struct.pack("<I", len(self._entries)) + bytes(self._entries) + ids.astype(self._dtype).tobytes())
             self._index.append((self._last, *self._write(body), self._count))
             self._begin()
 

@@ -38,5 +38,7 @@ def test_empty(spark):
 
 
 def test_ids_that_do_not_fit():
+    writer = sstable.ShardWriter(io.BytesIO(), 2)
+    writer.add(sstable.key_bytes(1), np.array([70000], "<u4").tobytes())
     with pytest.raises(ValueError, match="does not fit"):
-        sstable.ShardWriter(io.BytesIO(), 2).add(sstable.key_bytes(1), np.array([70000], "<u4").tobytes())
+        writer.close()
