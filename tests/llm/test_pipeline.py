@@ -50,7 +50,8 @@ def test_classifier_row_by_row(spark, frames):
 
 def test_near_duplicates_equal_brute_force(frames):
     before = sorted(texts(frames[1]).items())
-    assert texts(frames[2]) == {d: t for d, t in before if components(before, 5, 80, 100)[d][1] == d}
+    first = components(before, 5, 80, 100)
+    assert texts(frames[2]) == {d: t for d, t in before if first[d][1] == d}
 
 
 def test_decontamination_between_two_bounds(spark, frames):
