@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, lm, packing, pii, quality, shards, sstable
+from . import ann, chat, decontam, jaccard, lm, packing, pii, quality, runs, shards, sstable
 from .storage import table, written
 
 
@@ -58,8 +58,20 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    d = d.withColumns({"h": h, "w": F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))})
+    d = d.withColumns({"n": F.size("w"), "g": F.floor(F.col("h") / 10)})
+    d = d.withColumn("a", (F.col("g") % F.greatest("n", F.lit(1))).cast("int"))
+    d = d.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    again = F.transform(F.sequence("a", F.col("n") - 1), lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text"))
+    return runs.run_digest(runs.periodic_runs(d.select("doc_id", text.alias("text"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii, op12_baier_runs)}
 
 
 def _escaped_length(x: str) -> str:
