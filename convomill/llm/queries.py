@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, lm, packing, pii, quality, runs, shards, sstable
+from . import ann, chat, decontam, jaccard, lm, packing, pii, quality, runs, shards, sstable, trie
 from .storage import table, written
 
 
@@ -70,8 +71,16 @@ def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.run_digest(runs.periodic_runs(d.select("doc_id", text.alias("text"))))
 
 
+def op13_splitter_skeleton_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = written(trie.conversation_paths(table(spark, sf_dir, "conversations")))
+    bases = paths.where(F.col("conv_id") % 20 == 0).select("conv_id", F.substring("path", 1, 3 * trie.SIZE).alias("path"), F.slice("words", 1, 3).alias("words"))
+    own = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4
+    x = paths.withColumns({"base": F.col("conv_id") - F.col("conv_id") % 20, "h": own.cast("int")})
+    return trie.prefix_trie(trie.headed(x, bases, "base", "h"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii, op12_baier_runs)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii, op12_baier_runs, op13_splitter_skeleton_trie)}
 
 
 def _escaped_length(x: str) -> str:
@@ -100,6 +109,30 @@ R(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT R.x, L.b FROM R JO
 SELECT d.doc_id, coalesce(N.n, 0) AS n_shingles, k.component_id FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id JOIN (SELECT x, min(y) AS component_id FROM R GROUP BY x) k ON k.x = d.doc_id"""
 
 
+#: crc32 four bits at a time: the remainders of the 16 values of half a byte.
+_HALVES = [reduce(lambda c, _: c >> 1 ^ 0xEDB88320 * (c & 1), range(4), i) for i in range(16)]
+
+
+def _crc32(x: str) -> str:
+    """SQL for the unsigned crc32 of an ASCII text."""
+    halves = f"flatten(list_transform(string_split({x}, ''), lambda s: [ascii(s) & 15, ascii(s) >> 4]))"
+    return f"xor(list_reduce({halves}, lambda c, b: xor(c >> 4, {_HALVES}[(xor(c, b) & 15) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+TRIE_SQL = f"""
+WITH O AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+H AS (SELECT *, {_crc32("conv_id::VARCHAR")} % 4 AS h FROM O),
+R AS (SELECT H.conv_id, list_concat(coalesce(b.t[1:H.h], []), H.t[H.h + 1:]) AS t FROM H LEFT JOIN O b ON b.conv_id = H.conv_id - H.conv_id % 20),
+P AS (SELECT conv_id, len(t) AS n, unnest(range(len(t) + 1)) AS depth, t FROM R),
+N AS (SELECT t[1:depth] AS p, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM P GROUP BY ALL),
+C AS (SELECT p[1:depth - 1] AS p, depth - 1 AS depth, count(*) AS n_children FROM N WHERE depth > 0 GROUP BY ALL),
+X AS (SELECT N.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN N.depth = 0 THEN 0 ELSE len(regexp_extract_all(N.p[N.depth].text, '[^\\x20\\x09-\\x0D]+')) END AS own FROM N LEFT JOIN C ON C.p = N.p AND C.depth = N.depth),
+U AS (SELECT p, n_children, own, unnest(range(depth + 1)) AS up FROM X),
+S AS (SELECT p[1:up] AS p, up AS depth, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens FROM U GROUP BY ALL)
+SELECT X.conv_id, X.depth, a.conv_id AS parent_conv_id, X.n_convs, X.n_children, S.n_leaves, S.saved_tokens, X.ends_sha256
+FROM X JOIN S ON S.p = X.p AND S.depth = X.depth LEFT JOIN X a ON X.depth > 0 AND a.p = X.p[1:X.depth - 1] AND a.depth = X.depth - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op3_prefix_target_chat": CHAT_SQL, "op7_adaptive_jaccard": JACCARD_SQL}
+    return {"op3_prefix_target_chat": CHAT_SQL, "op7_adaptive_jaccard": JACCARD_SQL, "op13_splitter_skeleton_trie": TRIE_SQL}
