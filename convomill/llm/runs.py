@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 LEAST = 12
 #: Words whose windows are named together; a longer stretch is named alone.
 TOGETHER = 1 << 20
+#: Texts that are taken apart at once.
+ROWS = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 Run = tuple[int, int, int]
@@ -214,7 +216,7 @@ def periodic_runs(documents: DataFrame, key: str = "doc_id", text: str = "text",
     run = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             words = [words_of(t) for t in batch.column(1).to_pylist()]
             found = text_runs(words, least)
             short = [b" ".join(collapsed(w, r)).decode("utf-8", "surrogatepass") for w, r in zip(words, found, strict=True)]
