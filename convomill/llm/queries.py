@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontam, jaccard, lm, packing, pii, quality, runs, shards, sstable, trie
+from . import ann, chat, decontam, jaccard, lm, packing, pii, quality, rules, runs, shards, sstable, trie
 from .storage import table, written
 
 
@@ -59,6 +59,11 @@ def op10_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_digest(pii.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op11_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = rules.quality_rules(table(spark, sf_dir, "documents"))
+    return x.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
 def op12_baier_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -80,7 +85,7 @@ def op13_splitter_skeleton_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii, op12_baier_runs, op13_splitter_skeleton_trie)}
+    return {f.__name__: f for f in (op1_template_decontamination, op2_column_generation_packing, op3_prefix_target_chat, op4_sstable_shards, op5_minimax_shards, op6_co_training_quality, op7_adaptive_jaccard, op8_ivf_pq_neighbours, op9_deleted_interpolation, op10_skip_chain_pii, op11_distribution_divergence, op12_baier_runs, op13_splitter_skeleton_trie)}
 
 
 def _escaped_length(x: str) -> str:
@@ -133,6 +138,64 @@ SELECT X.conv_id, X.depth, a.conv_id AS parent_conv_id, X.n_convs, X.n_children,
 FROM X JOIN S ON S.p = X.p AND S.depth = X.depth LEFT JOIN X a ON X.depth > 0 AND a.p = X.p[1:X.depth - 1] AND a.depth = X.depth - 1"""
 
 
+def _distance(p: str, q: str) -> str:
+    """SQL for the Jensen-Shannon distance of two lists of shares."""
+    term = lambda x, y: f"CASE WHEN {x}[i] > 0 THEN {x}[i] * log2(2 * {x}[i] / ({x}[i] + {y}[i])) ELSE 0 END"
+    bits = f"list_sum(list_transform(range(1, len({p}) + 1), lambda i: {term(p, q)} + {term(q, p)}))"
+    return f"CASE WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN sqrt(greatest(0.0::DOUBLE, {bits} / 2)) END"
+
+
+def _reference_sql(rows: str) -> str:
+    means = ", ".join(f"[{', '.join(f'avg({c}[{i}])' for i in range(1, n + 1))}] AS {c}_mean" for c, n in (("p_classes", len(rules.CLASSES)), ("p_common", rules.COMMON + 1)))
+    return f"(SELECT lang, {means} FROM {rows} WHERE {_LONG} GROUP BY lang)"
+
+
+def _distances_sql(rows: str, means: str) -> str:
+    nearest = f"list_min(list_transform((SELECT list(p_classes_mean) FROM {means}), lambda q: {_distance('p_classes', 'q')}))"
+    return f"""(SELECT x.*, CASE WHEN n_chars >= {rules.FEW_CHARS} THEN CASE WHEN m.lang IS NOT NULL THEN {_distance('p_classes', 'p_classes_mean')} ELSE {nearest} END END AS char_distance,
+    CASE WHEN n_words >= {rules.FEW_WORDS} THEN {_distance('p_common', 'p_common_mean')} END AS word_distance FROM {rows} x LEFT JOIN {means} m ON x.lang = m.lang)"""
+
+
+def _near_sql(wider: float = 1.0) -> str:
+    return f"(coalesce(char_distance, 0) <= {rules.FAR_CHARS * wider}::DOUBLE AND coalesce(word_distance, 0) <= {rules.FAR_WORDS * wider}::DOUBLE)"
+
+
+_LONG = f"p_common IS NOT NULL AND n_words >= {rules.FEW_WORDS} AND n_chars >= {rules.FEW_CHARS}"
+_K = len(rules.CLASSES)
+_COUNTED = {"lower": "[^a-z]", "upper": "[^A-Z]", "digit": "[^0-9]", "blank": r"[^\x20\x09-\x0D]", "stop": r"[^.,;:!?\x27\x22()-]", "wide": r"[\x00-\x7F]"}
+_COUNTS = ", ".join(f"length(regexp_replace(text, '{pattern}', '', 'g')) AS c_{name}" for name, pattern in _COUNTED.items())
+DIVERGENCE_SQL = f"""
+WITH D AS (SELECT doc_id, lang, text IS NOT NULL AS given, coalesce(text, '') AS text FROM documents),
+W AS (SELECT doc_id, lang, given, text, length(text) AS n_chars, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w, {_COUNTS} FROM D),
+V AS (SELECT *, list_transform(w, lambda x: trim(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '.,;:!?''"()-')) AS v FROM W),
+G0 AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) AS g FROM W WHERE len(w) > 5),
+G1 AS (SELECT doc_id, unnest(g) AS g, generate_subscripts(g, 1) AS i FROM G0),
+G2 AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM G1),
+G AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM G2, range(5) t(k) WHERE n > 1 GROUP BY doc_id),
+L0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM D),
+L AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM L0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+F0 AS (SELECT DISTINCT doc_id, lang, unnest(v) AS word FROM V WHERE lang IS NOT NULL AND given),
+F1 AS (SELECT lang, word, count(*) AS n FROM F0 WHERE word <> '' AND strlen(word) <= {rules.WORD_BYTES} GROUP BY ALL),
+F2 AS (SELECT lang FROM D WHERE lang IS NOT NULL AND given GROUP BY lang HAVING count(*) >= {rules.LEAST_DOCUMENTS} ORDER BY count(*) DESC, lang LIMIT {rules.LANGUAGES}),
+F3 AS (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM F1 WHERE lang IN (FROM F2)),
+F4 AS (SELECT lang, list(word ORDER BY r) AS top FROM F3 WHERE r <= {rules.COMMON} GROUP BY lang),
+H0 AS (SELECT V.doc_id, F4.lang, n_chars, len(w) AS n_words, n_chars - c_blank AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    [c_lower, c_upper, c_digit, c_blank, c_stop, n_chars - c_lower - c_upper - c_digit - c_blank - c_stop - c_wide, c_wide] AS classes,
+    CASE WHEN F4.lang IS NOT NULL THEN list_transform(range(1, {rules.COMMON + 1}), lambda i: len(list_filter(v, lambda x: x = top[i]))) END AS common
+    FROM V LEFT JOIN L USING (doc_id) LEFT JOIN G USING (doc_id) LEFT JOIN F4 ON F4.lang = V.lang),
+H AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.REPEATED} * n_words AS base_failed, CASE WHEN n_chars > 0 THEN list_transform(classes, lambda x: x / n_chars) END AS p_classes,
+    CASE WHEN n_words > 0 AND common IS NOT NULL THEN list_transform(list_append(common, n_words - list_sum(common)), lambda x: x / n_words) END AS p_common FROM H0),
+B AS (SELECT * FROM H WHERE NOT base_failed),
+M0 AS (SELECT lang, list_concat(p_classes, p_common) AS p FROM B WHERE {_LONG}), M1 AS (SELECT lang, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM M0),
+M2 AS (SELECT lang, i, floor(x * {rules.STEPS})::BIGINT AS step, count(*) AS n FROM M1 GROUP BY ALL),
+M3 AS (SELECT *, sum(n) OVER (PARTITION BY lang, i ORDER BY step) AS upto, sum(n) OVER (PARTITION BY lang, i) AS whole FROM M2),
+M4 AS (SELECT lang, i, min(step) AS step FROM M3 WHERE 2 * upto >= whole GROUP BY ALL), M5 AS (SELECT lang, list(step ORDER BY i) AS m FROM M4 GROUP BY lang),
+R1 AS (SELECT lang, list_transform(m[1:{_K}], lambda x: x / list_sum(m[1:{_K}])) AS p_classes_mean, list_transform(m[{_K + 1}:], lambda x: x / list_sum(m[{_K + 1}:])) AS p_common_mean FROM M5),
+X1 AS {_distances_sql("B", "R1")}, N1 AS (SELECT * FROM X1 WHERE {_near_sql(rules.LOOSE)}),
+R2 AS {_reference_sql("N1")}, X2 AS {_distances_sql("H", "R2")}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_near_sql()} AS kept, round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance FROM X2"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; tests hold the others against brute force."""
-    return {"op3_prefix_target_chat": CHAT_SQL, "op7_adaptive_jaccard": JACCARD_SQL, "op13_splitter_skeleton_trie": TRIE_SQL}
+    return {"op3_prefix_target_chat": CHAT_SQL, "op7_adaptive_jaccard": JACCARD_SQL, "op11_distribution_divergence": DIVERGENCE_SQL, "op13_splitter_skeleton_trie": TRIE_SQL}
