@@ -157,7 +157,7 @@ def _distances_sql(rows: str, means: str) -> str:
 
 
 def _near_sql(wider: float = 1.0) -> str:
-    return f"(coalesce(char_distance, 0) <= {rules.FAR_CHARS * wider}::DOUBLE AND coalesce(word_distance, 0) <= {rules.FAR_WORDS * wider}::DOUBLE)"
+    return f"(coalesce(char_distance, 0) <= {rules.FAR_CHARS * wider}::DOUBLE AND coalesce(word_distance, 0) <= sqrt({(rules.FAR_WORDS * wider) ** 2}::DOUBLE + {rules.NOISE}::DOUBLE / greatest(n_words, 1)))"
 
 
 _LONG = f"p_common IS NOT NULL AND n_words >= {rules.FEW_WORDS} AND n_chars >= {rules.FEW_CHARS}"

@@ -4,7 +4,8 @@ A text has two histograms: its characters by class, and its words by common
 word of its language (a class for all others). The reference of a language is
 the mean of its documents' histograms, each document with the same weight. The
 Jensen-Shannon distance (root of the divergence in bits, from 0 to 1) between
-text and reference decides, and only where the text is long enough for its
+text and reference decides (of words with an allowance for the noise of a
+sample of so many), and only where the text is long enough for its
 histogram to say something: FEW_CHARS characters, FEW_WORDS words.
 
 The common words of a language are the COMMON words of at most WORD_BYTES
@@ -20,6 +21,7 @@ reference of characters alone.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +37,9 @@ SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "stop", "symbol", "wide")
 COMMON, WORD_BYTES, LANGUAGES, LEAST_DOCUMENTS = 32, 8, 256, 10
 FEW_CHARS, FEW_WORDS = 300, 100
-FAR_CHARS, FAR_WORDS = 0.22, 0.33
+FAR_CHARS, FAR_WORDS = 0.28, 0.33
+#: Bits by which the words of a text stray from their own law: divided by their number.
+NOISE = COMMON / (8 * math.log(2))
 LOOSE, STEPS = 1.25, 1000
 MIN_WORDS, REPEATED, WINDOW = 10, 20, 5
 #: Words counted before they are sent on, texts taken apart at once.
@@ -211,7 +215,7 @@ def distances(measured: DataFrame, means: DataFrame) -> DataFrame:
 
 
 def _near(wider: float = 1.0) -> Column:
-    return (F.coalesce("char_distance", F.lit(0.0)) <= FAR_CHARS * wider) & (F.coalesce("word_distance", F.lit(0.0)) <= FAR_WORDS * wider)
+    return (F.coalesce("char_distance", F.lit(0.0)) <= FAR_CHARS * wider) & (F.coalesce("word_distance", F.lit(0.0)) <= F.sqrt((FAR_WORDS * wider) ** 2 + F.lit(NOISE) / F.greatest("n_words", F.lit(1))))
 
 
 def quality_rules(documents: DataFrame, key: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
