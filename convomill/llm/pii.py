@@ -50,7 +50,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 _DIGIT = re.compile(r"[0-9]")
 _SIGN = re.compile(r"[0-9@]")
-_NUMERIC = re.compile(r"(?<![0-9A-Za-z])[(+]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])")
+#: Digits with at most two separators between them, as many as there are.
+_RUN = re.compile(r"[0-9](?:[ ().-]{0,2}+[0-9])*+")
+_GAP = re.compile(r"[ ().-]++")
+LEAST_DIGITS = 7
 _HOST = re.compile(r"[A-Za-z0-9-]+")
 
 Span = tuple[str, int, int]
@@ -91,9 +94,30 @@ def rule_spans(text: str) -> list[Span]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _letter(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at].isascii() and text[at].isalnum()
+
+
+def numbers(text: str) -> Iterator[tuple[int, int]]:
+    """Runs of LEAST_DIGITS digits or more with separators, with an opening bracket or plus, that touch no letter. A run that starts at a letter starts after its first gap. Each run is looked at once."""
+    for m in _RUN.finditer(text):
+        s, e = m.span()
+        if _letter(text, e):
+            continue
+        if _letter(text, s - 1):
+            gap = _GAP.search(text, s, e)
+            if not gap:
+                continue
+            s = gap.end() - 1 if gap.end() - gap.start() == 2 and text[gap.end() - 1] == "(" else gap.end()
+        elif s and text[s - 1] in "(+" and not _letter(text, s - 2):
+            s -= 1
+        if sum(c.isdigit() for c in text[s:e]) >= LEAST_DIGITS:
+            yield s, e
+
+
 def open_candidates(text: str, rules: list[Span]) -> list[tuple[int, int]]:
-    """Spans outside the rules' that the random field decides on."""
-    found = [m.span() for m in _NUMERIC.finditer(text)]
+    """Spans outside the rules' that the random field decides on. They never overlap: of a number and the address that it begins, the address."""
+    found = list(numbers(text))
     at = text.find("@")
     while at >= 0:
         start = at
@@ -110,7 +134,11 @@ def open_candidates(text: str, rules: list[Span]) -> list[tuple[int, int]]:
             reach = max(reach, taken[i][1])
             i += 1
         if s >= reach:
-            out.append((s, e))
+            if out and s < out[-1][1]:
+                if e - s > out[-1][1] - out[-1][0]:
+                    out[-1] = (s, e)
+            else:
+                out.append((s, e))
     return out
 
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 
@@ -57,6 +58,28 @@ def test_long_runs_and_repeated_rows(spark):
     assert pii.redacted(docs).where("doc_id = 1").first().text == "x <IP> y"
 
 
+def test_numbers_equal_their_pattern():
+    """Also where a run touches a letter, and in time that grows with the text."""
+    pattern = re.compile(r"(?<![0-9A-Za-z])[(+]?[0-9](?:[ ().-]{0,2}[0-9]){6,}+(?![0-9A-Za-z])")
+    rng = random.Random(8)
+    for _ in range(60_000):
+        text = "".join(rng.choice("123456789012345678901234567890 ().-+ (a@é") for _ in range(rng.randint(0, 30)))
+        assert list(pii.numbers(text)) == [m.span() for m in pattern.finditer(text)], text
+    for text in ("1 " * 500_000 + "1a", "a1 " * 300_000, "1 " * 500_000 + "1"):
+        began = time.perf_counter()
+        list(pii.numbers(text))
+        assert time.perf_counter() - began < 1
+
+
+def test_candidates_do_not_overlap():
+    assert pii.open_candidates("12345678901@host", []) == [(0, 16)] and pii.open_candidates("call 1234567 x@y 7654321", []) == [(5, 12), (13, 16), (17, 24)]
+    rng = random.Random(9)
+    for _ in range(5000):
+        text = "".join(rng.choice("1234567890123456789 -.@@ab(") for _ in range(40))
+        found = pii.open_candidates(text, [])
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
 def chance(field, graph, labels):
     """Log weight of one labelling, written out."""
     w = field.weights
