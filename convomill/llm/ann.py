@@ -17,6 +17,7 @@ centroids, codebooks and cell sizes pass the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +33,18 @@ AIM, LEAST_ROWS = 0.98, 400
 BLOCK_ROWS, BLOCK_QUERIES, SLICE = 20_000, 5_000, 1 << 21
 
 
-def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """vec_id and v (doubles) of the rows that take part: not null, without null or non-finite components, not zero, of the commonest length."""
+def usable(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> tuple[DataFrame, float]:
+    """vec_id and v (doubles) of the rows that take part: not null, without null or non-finite components, not zero, of the commonest length. v is divided by a power of two, which comes second, where squares of the components would leave the range of doubles; else by 1."""
     v = F.col(column).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     ok = vectors.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and v is not null").where(~bad & F.exists("v", lambda x: x != 0))
-    size = ok.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return ok.where(F.size("v") == (size["n"] if size else 0))
+    most = F.max(F.array_max(F.transform("v", F.abs)))
+    size = ok.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("count"), most.alias("most")).orderBy(F.desc("count"), "n").first()
+    ok = ok.where(F.size("v") == (size["n"] if size else 0))
+    if not size or 1e-100 < size["most"] < 1e100:
+        return ok, 1.0
+    unit = 2.0 ** max(-1000, math.frexp(size["most"])[1] - 1)
+    return ok.select("vec_id", F.transform("v", lambda x: x / unit).alias("v")), unit
 
 
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -143,10 +149,11 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
 
     Candidates are all rows but those of the query's own key. Nearest first,
     ties to the smaller key; fewer than k if there are fewer rows. Rows that
-    usable() leaves out take no part. Rows that share a key each count. An
-    empty table gives an empty result. Other columns are not read.
+    usable() leaves out take no part. Rows that share a key are candidates
+    each; as a query they are one, of the smallest of their vectors. An empty
+    table gives an empty result. Other columns are not read.
     """
-    spark, rows = vectors.sparkSession, usable(vectors, key, column)
+    spark, (rows, unit) = vectors.sparkSession, usable(vectors, key, column)
     quantiser = fit(rows, k)
     schema = "query_id long, vec_id long, score double"
     if quantiser is None:
@@ -165,7 +172,8 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
                 cells = [o[:c].tolist() for o, c in zip(order, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "cells"])
 
-    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(probe, "query_id long, q array<double>, cells array<int>")
+    asking = index.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = asking.mapInArrow(probe, "query_id long, q array<double>, cells array<int>")
     probes = written(queries.select("query_id", "q", F.explode("cells").alias("cell")))
     asked = {r["cell"]: r["n"] for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     blocks = F.broadcast(spark.createDataFrame([(c, 1 + n // BLOCK_ROWS, 1 + asked.get(c, 0) // BLOCK_QUERIES) for c, n in sizes.items()], "cell int, row_blocks int, query_blocks int"))  # a row per cell
@@ -188,13 +196,14 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
             cell = left.column("cell")[0].as_py()
             for query, q in zip(left.column("query_id").to_pylist(), _matrix(left.column("q")), strict=True):
                 estimate = quantiser.tables(q, cell)[parts, codes].sum(1)
-                estimate[ids == query] = np.inf
+                others = ids != query
+                estimate[~others] = np.inf
                 best = np.argpartition(estimate, RERANK)[:RERANK] if len(ids) > RERANK else np.arange(len(ids))
-                best = best[np.isfinite(estimate[best])]
+                best = best[others[best]]
                 exact = np.sqrt(((v[best] - q) ** 2).sum(1))
                 if len(best) >= k:  # a row is no nearer than its code less its error
                     slack = 1e-6 * (np.sqrt((q * q).sum()) + error)  # of rounding
-                    left = np.isfinite(estimate) & (np.sqrt(np.maximum(estimate, 0)) - error - slack <= np.partition(exact, k - 1)[k - 1])
+                    left = others & (np.sqrt(np.maximum(estimate, 0)) - error - slack <= np.partition(exact, k - 1)[k - 1])
                     left[best] = False
                     more = np.flatnonzero(left)
                     best, exact = np.concatenate([best, more]), np.concatenate([exact, np.sqrt(((v[more] - q) ** 2).sum(1))])
@@ -206,4 +215,4 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, key: str = "vec_i
     keys = ["cell", "rb", "qb"]
     found = by_queries.groupBy(*keys).cogroup(by_rows.groupBy(*keys)).applyInArrow(search, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", (F.col("score") * unit).alias("score"))

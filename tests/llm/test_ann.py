@@ -39,6 +39,25 @@ def test_ties_few_rows_and_unusable(spark):
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_query_rows(spark):
+    """A key that stands twice is one query, of its smallest vector, and no candidate of its own."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(40)]
+    rows += [rows[0], (100, [1.0, 0.0, 0.0, 0.0]), (100, [0.0, 1.0, 0.0, 0.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for query, q in ((0, rows[0][1]), (100, rows[-1][1])):
+        d = sorted((float(np.linalg.norm(np.subtract(v, q))), i) for i, v in rows if i != query)[:10]
+        mine = sorted((r["rank"], r.score, r.vec_id) for r in got if r.query_id == query)
+        assert [r[0] for r in mine] == list(range(1, 11)) and [r[2] for r in mine] == [i for _, i in d] and np.allclose([r[1] for r in mine], [x for x, _ in d])
+
+
+def test_components_whose_squares_leave_the_range(spark):
+    for size in (1e200, 1e-200):
+        rows = [(0, [size, size]), (1, [2 * size, size]), (2, [-size, size]), (3, [size, 4 * size])]
+        got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == [1, 2, 3] and np.allclose([r.score / size for r in got], [1, 2, 3])
+
+
 def test_hot_vector_and_long_cells(spark):
     """Cells of more rows than are reranked first, one vector of a third of all rows: nothing is lost inside the probed cells."""
     rng = np.random.default_rng(3)
