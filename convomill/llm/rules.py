@@ -40,7 +40,7 @@ FEW_CHARS, FEW_WORDS = 300, 100
 FAR_CHARS, FAR_WORDS = 0.28, 0.33
 #: Bits by which the words of a text stray from their own law: divided by their number.
 NOISE = COMMON / (8 * math.log(2))
-LOOSE, STEPS = 1.25, 1000
+LOOSE, STEPS, PARTS = 1.25, 1000, 64
 MIN_WORDS, REPEATED, WINDOW = 10, 20, 5
 #: Words counted before they are sent on, texts taken apart at once.
 FLUSH, ROWS = 400_000, 256
@@ -125,8 +125,10 @@ def common_words(documents: DataFrame, lang: str = "lang", text: str = "text") -
     parts = documents.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text).cast("string")).mapInArrow(count, "lang string, word binary, n long")
     counts = written(parts.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     largest = counts.where((F.col("word") == F.lit(b"")) & (F.col("n") >= LEAST_DOCUMENTS)).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    return counts.where(F.col("word") != F.lit(b"")).join(F.broadcast(largest), "lang").withColumn("rank", rank - 1).where(F.col("rank") < COMMON).select("lang", "word", "rank")
+    rows = counts.where(F.col("word") != F.lit(b"")).join(F.broadcast(largest), "lang").withColumn("part", F.pmod(F.xxhash64("word"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):  # a large language in parts, then the parts' first words
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "word")) - 1).where(F.col("rank") < COMMON)
+    return rows.select("lang", "word", "rank")
 
 
 _FEATURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, classes array<long>, common array<long>"
