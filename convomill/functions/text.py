@@ -65,7 +65,7 @@ def format_iso(x: Column) -> Column:
 
 
 def parse_user_time(x: Column) -> Column:
-    """An ISO time: a day, with hours to fractions of a second, and an offset (else the session's zone); null for anything else."""
+    """An ISO time: a day, with hours to fractions of a second, and an offset (else the session's zone); or a day with minutes or seconds whose parts lack leading zeros; null for anything else."""
     time = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
     y = F.regexp_replace(strip(x), ",", ".")
     part = lambda i: F.regexp_extract(y, time, i)
@@ -73,7 +73,10 @@ def parse_user_time(x: Column) -> Column:
     clock = F.concat(F.substring(part(1), 1, 3), F.when(part(2) == "", ":00:00").when(part(3) == "", F.concat(part(2), F.lit(":00"))).otherwise(part(2)))
     offset = F.when(zone.endswith(":"), F.concat(zone, F.lit("00"))).otherwise(zone)
     full = F.concat(F.substring(y, 1, 10), F.when(part(1) == "", "").otherwise(F.concat(clock, offset)))
-    return F.when(y.rlike(time), full.try_cast("timestamp"))
+    short = r"^(\d{4})-(\d{1,2})-(\d{1,2})(?:\s+(\d{1,2}):(\d{1,2})(?::(\d{1,2}))?)?$"
+    two = lambda i: F.lpad(F.regexp_extract(y, short, i), 2, "0")
+    filled = F.concat(F.regexp_extract(y, short, 1), F.lit("-"), two(2), F.lit("-"), two(3), F.lit(" "), two(4), F.lit(":"), two(5), F.lit(":"), two(6))
+    return F.when(y.rlike(time), full.try_cast("timestamp")).when(y.rlike(short), filled.try_cast("timestamp"))
 
 
 def truncate_prompt(x: Column, limit: int = PROMPT_LIMIT) -> Column:

@@ -12,11 +12,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_tags, strip, truncate_prompt
 
-CARDS = "array<struct<conversation_id: string, turn_index: int, context_id: string, deck: string, card_style: string, front: string, back: string, tags: array<string>, confidence: double, notes: string, depends_on: array<string>>>"
+# A card's fields. Every field is read as text first, so that a number in quotes or a list as text costs no card.
+CARD = ["conversation_id", "turn_index", "context_id", "deck", "card_style", "front", "back", "tags", "confidence", "notes", "depends_on"]
+NUMBERS, LISTS = {"turn_index": "int", "confidence": "double"}, ["tags", "depends_on"]
 SKIPS = "array<struct<conversation_id: string, turn_index: int, reason: string>>"
 INSIGHTS = "array<struct<conversation_id: string, insight: string, misconceptions_corrected: array<string>>>"
 
 
+# Fixed value: a backslash that starts no escape.
+STRAY = r'\\(?!["\\/bfnrtu])'
 NO_DECKS = "- (No decks specified - use your best judgment)"
 
 
@@ -66,46 +70,89 @@ def embedded_value(text: str) -> object:
     raise last
 
 
+def as_text(value: dict) -> str:
+    """JSON with characters as they are; half of a surrogate pair, which no text can hold, stays an escape."""
+    text = json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        return json.dumps(value)
+    return text
+
+
 def first_object(text: str | None) -> tuple[str | None, str | None]:
-    """The first reading of a response that is a JSON object, else the last error: as it is, without its fence, with stray backslashes doubled, and the first value inside other text."""
+    """The first reading of a response that is a JSON object, else the last error: as it is, without its fence, with stray backslashes doubled, and the first value inside other text. A value too deep to be read is an error."""
     raw = (text or "").strip()
     plain = without_fence(raw)
     readings = [(json.loads, raw)] if raw[:1] in ("{", "[") else []
-    readings += [(json.loads, plain), (json.loads, re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", plain)), (embedded_value, plain)]
+    readings += [(json.loads, plain), (json.loads, re.sub(STRAY, r"\\\\", plain)), (embedded_value, plain)]
     error = "not an object"
     for read, body in readings:
         try:
             value = read(body)
-        except ValueError as e:
+            if isinstance(value, dict):
+                return as_text(value), None
+        except (ValueError, RecursionError) as e:
             error = str(e)
-            continue
-        if isinstance(value, dict):
-            return json.dumps(value, ensure_ascii=False), None
     return None, error
 
 
+def is_object(text: Column) -> Column:
+    """Whether a text is one JSON object and nothing else. The reader stops behind the first value; only what closes both a list and an object around it ends there."""
+    inside = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    return F.when(text.startswith("{") & text.endswith("}"), inside).otherwise(False)
+
+
+def plain_object(text: Column) -> Column:
+    """A response's JSON object as it stands there: as it is, without its fence, or with stray backslashes doubled; else null."""
+    raw = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    plain = F.regexp_replace(F.regexp_replace(raw, r"(?U)^```(json)?\s*", ""), r"(?U)\s*(```)?\s*$", "")
+    doubled = F.regexp_replace(plain, STRAY, r"\\\\")
+    return F.coalesce(*[F.when(is_object(x), x) for x in (raw, plain, doubled)])
+
+
 def parse_responses(responses: DataFrame, text: str = "response") -> DataFrame:
-    """responses with parsed (JSON text of an object, or null) and error."""
+    """responses with parsed (JSON text of an object, or null) and error (null where there is an object).
+
+    Well-formed responses are read by built-in functions and keep their own
+    spelling; only the others go to Python.
+    """
+    none = F.lit(None).cast("string")
+    x = responses.withColumn("parsed", plain_object(F.col(text)))
+
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [first_object(x) for x in frame[text]]
             yield frame.assign(parsed=[f[0] for f in found], error=[f[1] for f in found])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in responses.dtypes) + ", parsed string, error string"
-    return responses.mapInPandas(parse, schema)
+    odd = x.where("parsed is null").drop("parsed").mapInPandas(parse, schema)
+    return x.where("parsed is not null").withColumn("error", none).unionByName(odd)
+
+
+def listed(x: Column) -> Column:
+    """A list of texts from a JSON list or a comma-separated text; null stays null."""
+    return F.when(x.startswith("["), F.filter(F.transform(F.from_json(x, "array<string>"), strip), lambda t: t.isNotNull() & (t != ""))).when(x.isNotNull(), clean_tags(x))
 
 
 def explode_cards(parsed: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per card of the parsed objects; no cards: no row. raw keeps fields outside the contract."""
-    cards = F.from_json(F.get_json_object("parsed", "$.cards"), CARDS)
+    """One row per card of the parsed objects; no cards: no row. raw keeps fields outside the contract.
+
+    Every element of cards is read by itself: one that is no object gives no
+    row and costs no other (card_index counts it). Numbers may stand in
+    quotes, lists may be comma-separated texts; what is neither is null.
+    """
     raw = F.from_json(F.get_json_object("parsed", "$.cards"), "array<string>")
-    return parsed.select(*keys, F.posexplode(F.arrays_zip(cards.alias("c"), raw.alias("raw"))).alias("card_index", "x")).select(*keys, "card_index", "x.c.*", F.col("x.raw").alias("raw"))
+    x = parsed.select(*keys, F.posexplode(raw).alias("card_index", "raw")).where(F.coalesce(F.col("raw"), F.lit("")).startswith("{"))
+    c = x.withColumn("c", F.from_json("raw", ", ".join(f"{n} string" for n in CARD))).where("c is not null")
+    field = lambda n: F.col(f"c.{n}").try_cast(NUMBERS[n]) if n in NUMBERS else listed(F.col(f"c.{n}")) if n in LISTS else F.col(f"c.{n}")
+    return c.select(*keys, "card_index", *[field(n).alias(n) for n in CARD], "raw")
 
 
 def explode_skips(parsed: DataFrame, keys: list[str]) -> DataFrame:
     """keys, kind (conversation or turn), conversation_id, turn_index (null for conversations) and reason of what was skipped."""
-    listed = lambda name, kind: F.transform(F.coalesce(F.from_json(F.get_json_object("parsed", f"$.{name}"), SKIPS), F.array().cast(SKIPS)), lambda x: F.struct(F.lit(kind).alias("kind"), x["conversation_id"].alias("conversation_id"), x["turn_index"].alias("turn_index"), x["reason"].alias("reason")))
-    return parsed.select(*keys, F.inline(F.concat(listed("skipped_conversations", "conversation"), listed("skipped_turns", "turn"))))
+    found = lambda name, kind: F.transform(F.coalesce(F.from_json(F.get_json_object("parsed", f"$.{name}"), SKIPS), F.array().cast(SKIPS)), lambda x: F.struct(F.lit(kind).alias("kind"), x["conversation_id"].alias("conversation_id"), x["turn_index"].alias("turn_index"), x["reason"].alias("reason")))
+    return parsed.select(*keys, F.inline(F.concat(found("skipped_conversations", "conversation"), found("skipped_turns", "turn"))))
 
 
 def explode_insights(parsed: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,7 +160,7 @@ def explode_insights(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.select(*keys, F.inline(F.from_json(F.get_json_object("parsed", "$.learning_insights"), INSIGHTS)))
 
 
-#: What is kept from conversion, in this order.
+# What is kept from conversion, in this order, the mark in its place, and the patterns of the conversion.
 FORMULAS = [r"(?s)\\\[.*?\\\]", r"(?s)\\\(.*?\\\)", r"(?s)\$\$.*?\$\$", r"\$[^$\n]+\$"]
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOPIC_MARKERS, any_of
+from ..sources.shared import written
 from .features import assembled, conversation_signals, key_topics
 
 MAX_TURNS, MAX_CHARS, LOW_OVERLAP, MIN_GAP = 10, 8000, 0.2, 2
-DECK_PARTS, CUTS, RANGES = 64, 4096, 256
+DECK_PARTS = 64
 
 
 def topic_shifts(turns: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,21 +90,17 @@ def stratified_cards(cards: DataFrame, limit: int, order: str = "note_id", deck:
 
 
 def make_batches(conversations: DataFrame, size: int = 8, key: str = "conversation_id") -> DataFrame:
-    """Numbered blocks in descending order of score, ties by key, from 1.
+    """Numbered blocks in descending order of score (null last), ties by key (null first), from 1; every row is in one.
 
-    The rank is a sum of three: of the scores above, of the ranges of keys
-    before within the score, and within the range. Ranges are cut at the keys'
-    quantiles, so that neither a common score nor the order of all is one task.
+    The rows are sorted over ranges of score and key together, so that a
+    common score is spread over many tasks, and written; a row's place is the
+    number of rows in the ranges before plus its place in its own.
     """
-    cuts = [r[0] for r in conversations.where(F.pmod(F.xxhash64(key), F.lit(64)) == 0).select(key).orderBy(F.xxhash64(key)).limit(CUTS).sort(key).collect()][:: max(1, CUTS // RANGES)]  # where to cut only: any keys do
-    place_of = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda n, cut: n + (F.col(key) >= cut).cast("int")) if cuts else F.lit(0)
-    x = conversations.withColumn("key_range", place_of)
-    groups = x.groupBy("aggregate_score", "key_range").agg(F.count("*").alias("n"))
-    scores = groups.groupBy("aggregate_score").agg(F.sum("n").alias("n"))
-    running = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    scores = scores.select("aggregate_score", running(Window.orderBy(F.desc("aggregate_score"))).alias("above"))  # a row per score
-    groups = groups.select("aggregate_score", "key_range", running(Window.partitionBy("aggregate_score").orderBy("key_range")).alias("before")).join(scores, "aggregate_score")
-    rank = F.row_number().over(Window.partitionBy("aggregate_score", "key_range").orderBy(key)) - 1
-    x = x.withColumn("in_range", rank).join(groups, ["aggregate_score", "key_range"])
-    place = F.col("above") + F.col("before") + F.col("in_range")
-    return x.withColumns({"batch": (F.floor(place / size) + 1).cast("long"), "place": place}).drop("above", "before", "in_range", "key_range")
+    order, n = [F.desc("aggregate_score"), F.asc(key)], int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = written(conversations.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("own_place", F.monotonically_increasing_id()))
+    part = F.shiftright("own_place", 33)
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = x.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))  # a row for each range
+    place = F.col("before") + F.col("own_place").bitwiseAND((1 << 33) - 1)
+    x = x.withColumn("part", part).join(F.broadcast(offsets), "part").withColumn("place", place)
+    return x.select(*conversations.columns, (F.floor(F.col("place") / size) + 1).cast("long").alias("batch"), "place")

@@ -174,8 +174,8 @@ def missing_decks(cards: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def load_cards(notes: DataFrame, decks: list[str]) -> DataFrame:
-    """Notes of the chosen decks that have a front or a back, in the decks' order, with normalised sides."""
-    x = notes.where(F.col("deck").isin(decks)).where("not (trim(coalesce(front, '')) = '' and trim(coalesce(back, '')) = '')")
+    """Notes of the chosen decks that have a front or a back (if only of white space), in the decks' order, with normalised sides."""
+    x = notes.where(F.col("deck").isin(decks)).where("not (coalesce(front, '') = '' and coalesce(back, '') = '')")
     place = F.array_position(F.array(*map(F.lit, decks)), F.col("deck"))
     return x.withColumns({"deck_order": place, "front_norm": normalize_text(F.coalesce("front", F.lit(""))), "back_norm": normalize_text(F.coalesce("back", F.lit("")))})
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import features, payloads, progress, review, segments, similarity, state, turns
 from ..sources import exports, store, transcripts
+from ..sources.shared import shared_path
 from ..streaming import harvest
 from . import fixtures as fx
 from .fixtures import sql
@@ -48,16 +47,6 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new folder in the one that all executors share; where none is set and all runs on this machine (tests), a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="convomill-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def turns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.pair_turns(fx.entries(spark, sf_dir))
 
@@ -168,15 +157,15 @@ def upsert_status(spark, sf_dir):
     return transcripts.upsert_status(new.select("path", "value"), old)
 
 
-NOTES = "SELECT doc_id AS note_id, source AS deck, CASE WHEN doc_id % 10 = 0 THEN ' ' ELSE text END AS front, CASE WHEN doc_id % 20 = 0 THEN '' ELSE lang END AS back FROM documents"
+NOTES = "SELECT doc_id AS note_id, source AS deck, CASE WHEN doc_id % 10 = 0 THEN ' ' WHEN doc_id % 10 = 7 THEN '' ELSE text END AS front, CASE WHEN doc_id % 20 = 0 OR doc_id % 20 = 7 THEN '' ELSE lang END AS back FROM documents"
 
 
 def notes_of(spark, sf_dir):
     d = fx.table(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("note_id"), F.col("source").alias("deck"), F.when(F.col("doc_id") % 10 == 0, " ").otherwise(F.col("text")).alias("front"), F.when(F.col("doc_id") % 20 == 0, "").otherwise(F.col("lang")).alias("back"))
+    return d.select(F.col("doc_id").alias("note_id"), F.col("source").alias("deck"), F.when(F.col("doc_id") % 10 == 0, " ").when(F.col("doc_id") % 10 == 7, "").otherwise(F.col("text")).alias("front"), F.when((F.col("doc_id") % 20).isin(0, 7), "").otherwise(F.col("lang")).alias("back"))
 
 
-@query(sql("SELECT note_id, deck, CASE deck WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END::BIGINT AS deck_order, trim(regexp_replace(lower(front), '[^a-z0-9]+', ' ', 'g')) AS front_norm, trim(regexp_replace(lower(back), '[^a-z0-9]+', ' ', 'g')) AS back_norm FROM NOTES WHERE deck IN ('src3', 'src1', 'src2') AND NOT (trim(front) = '' AND trim(back) = '')", NOTES=NOTES))
+@query(sql("SELECT note_id, deck, CASE deck WHEN 'src3' THEN 1 WHEN 'src1' THEN 2 ELSE 3 END::BIGINT AS deck_order, trim(regexp_replace(lower(front), '[^a-z0-9]+', ' ', 'g')) AS front_norm, trim(regexp_replace(lower(back), '[^a-z0-9]+', ' ', 'g')) AS back_norm FROM NOTES WHERE deck IN ('src3', 'src1', 'src2') AND NOT (front = '' AND back = '')", NOTES=NOTES))
 def load_cards(spark, sf_dir):
     return state.load_cards(notes_of(spark, sf_dir), ["src3", "src1", "src2"]).select("note_id", "deck", "deck_order", "front_norm", "back_norm")
 

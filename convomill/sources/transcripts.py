@@ -24,7 +24,10 @@ def render_transcripts(messages: DataFrame, base_url: str = "") -> DataFrame:
     """conversation_id, day, path and value of each conversation from message rows (title, pos, role, ts_raw, text, and created and updated where the export has them; else the messages' own times count).
 
     With base_url the header links to the conversation. A conversation
-    without a title is named by its identifier in its path.
+    without a title is named by its identifier in its path. Every
+    conversation has a path of its own: of those of one title and day the one
+    of the smallest identifier is named by the title alone, the others' names
+    end in a part of their identifier's digest.
     """
     empty = F.lit("")
     stamp = F.when(F.coalesce("ts_raw", empty) != "", F.concat(F.lit("["), "ts_raw", F.lit("] "))).otherwise("")
@@ -37,12 +40,17 @@ def render_transcripts(messages: DataFrame, base_url: str = "") -> DataFrame:
     named = F.nullif(F.col("title"), empty)
     day = F.substring(F.coalesce("created", "updated"), 1, 10)
     day = F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day)
-    name = F.concat(slugify(F.coalesce(named, F.concat(F.lit("chat-"), F.col("conversation_id").cast("string")))), F.lit(".md"))
-    path = F.when(day.isNotNull(), F.concat(F.replace(day, F.lit("-"), F.lit("/")), F.lit("/"), day, F.lit("_"), name)).otherwise(F.concat(F.lit("undated/"), name))
+    name = slugify(F.coalesce(named, F.concat(F.lit("chat-"), F.col("conversation_id").cast("string"))))
+    stem = F.when(day.isNotNull(), F.concat(F.replace(day, F.lit("-"), F.lit("/")), F.lit("/"), day, F.lit("_"), name)).otherwise(F.concat(F.lit("undated/"), name))
     link = F.concat(F.lit(f"- URL: {base_url}"), F.col("conversation_id").cast("string")) if base_url else F.lit(None).cast("string")
     facts = F.filter(F.array(link, F.concat(F.lit("- Created: "), "created"), F.concat(F.lit("- Updated: "), "updated")), lambda x: x.isNotNull())
     meta = F.when(F.size(facts) > 0, F.concat(F.array_join(facts, "\n"), F.lit("\n\n"))).otherwise("")
     value = F.concat(F.lit("# "), F.coalesce(named, F.lit("Untitled Chat")), F.lit("\n\n"), meta, F.lit("---\n\n"), "blocks")
+    g = g.withColumn("stem", stem)
+    first = g.groupBy(F.col("stem").alias("of")).agg(F.min("conversation_id").alias("first"), F.count("*").alias("named")).where("named > 1")
+    own = F.concat("stem", F.lit("-"), F.left(F.sha2(F.coalesce(F.col("conversation_id").cast("string"), F.lit("")), 256), F.lit(12)))
+    g = g.join(first, F.col("stem") == F.col("of"), "left")
+    path = F.concat(F.when(F.col("first").isNull() | F.col("conversation_id").eqNullSafe(F.col("first")), F.col("stem")).otherwise(own), F.lit(".md"))
     return g.select("conversation_id", day.alias("day"), path.alias("path"), F.concat(F.regexp_replace(value, r"(?U)\s+$", ""), F.lit("\n")).alias("value"))
 
 

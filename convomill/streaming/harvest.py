@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,13 @@ from ..operators.turns import pair_turns
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path.rstrip('/')}*")
+    """A Parquet table as a stream of its files: of a folder all of them, of a single file that one alone."""
+    path, reader = path.rstrip("/"), spark.readStream.schema(spark.read.parquet(path).schema)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        folder, _, name = path.rpartition("/")
+        path, reader = folder, reader.option("pathGlobFilter", re.sub(r"([\\*?{}\[\]])", r"\\\1", name))
+    stream = reader.parquet(path)
     local = [c for c, kind in stream.dtypes if kind == "timestamp_ntz"]
     return stream.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else stream
 

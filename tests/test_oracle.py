@@ -7,6 +7,7 @@ import pytest
 import oracle
 from convomill.plans import catalog
 
+EMPTY: set[str] = set()  # queries whose result is empty on these tables
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
@@ -17,5 +18,6 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_its_sql(spark, con, name):
+    """Also that there is something to compare, but for the names in EMPTY."""
     difference = oracle.differences(catalog.QUERIES[name](spark, SF), con, catalog.ORACLES[name])
-    assert difference in ("", "no rows")
+    assert difference == ("no rows" if name in EMPTY else "")

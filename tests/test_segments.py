@@ -28,6 +28,16 @@ def test_segments_equal_the_greedy_loop(spark):
         assert got[k] == greedy((False, *c[1:]), chars), c
 
 
+def test_batches_keep_null_keys_and_scores(spark):
+    """Null scores last, null keys first in their score; at any size."""
+    for n in (4, 2000):
+        rows = [(f"c{i:05d}", float(i % 3)) for i in range(n)] + [(None, 1.0), ("x", None), (None, None)]
+        df = spark.createDataFrame(rows, "conversation_id string, aggregate_score double")
+        got = segments.make_batches(df, 8).orderBy("place").collect()
+        want = sorted(rows, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or ""))
+        assert [(r.conversation_id, r.aggregate_score) for r in got] == want and [r.place for r in got] == list(range(n + 3)) and [r.batch for r in got] == [i // 8 + 1 for i in range(n + 3)]
+
+
 def test_batches_and_caps(spark):
     c = spark.createDataFrame([(f"c{i:02d}", float(i % 4)) for i in range(20)], "conversation_id string, aggregate_score double")
     got = segments.make_batches(c, 8).orderBy("place").collect()

@@ -90,6 +90,21 @@ def test_scan_render_and_status(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where(F.col("year") == "2025").count() == 1
 
 
+def test_conversations_of_one_title_have_their_own_files(spark, tmp_path):
+    rows = [(c, "Same", 0, "user", "2025-01-02 03:04:05", f"text {c}") for c in ("b", "a", "c", None)] + [("d", "Same", 0, "user", "", "x"), ("e", "Same", 0, "user", "", "y")]
+    r = transcripts.render_transcripts(spark.createDataFrame(rows, "conversation_id string, title string, pos int, role string, ts_raw string, text string"))
+    paths = {x.conversation_id: x.path for x in r.collect()}
+    assert len(set(paths.values())) == 6 and paths["a"] == "2025/01/02/2025-01-02_same.md" and paths["d"] == "undated/same.md" and paths["b"].startswith("2025/01/02/2025-01-02_same-")
+    root = (tmp_path / "md").as_uri()
+    transcripts.write_markdown(r, root).collect()
+    assert sorted(x.value.split("text ")[-1][:1] for x in transcripts.scan_transcripts(spark, root).collect() if "text" in x.value) == sorted(["a", "b", "c", "N"])
+
+
+def test_blank_notes_stay(spark):
+    notes = spark.createDataFrame([(1, "d", "", ""), (2, "d", " ", ""), (3, "d", None, None), (4, "d", None, " "), (5, "e", "x", "y")], "note_id int, deck string, front string, back string")
+    assert sorted(r.note_id for r in state.load_cards(notes, ["d"]).collect()) == [2, 4]
+
+
 MAPPED = """[{"id": "conv-1", "title": "Chat", "create_time": 1700000000.0, "mapping": {
  "a": {"message": {"id": "a", "author": {"role": "user"}, "create_time": 1.0, "content": {"content_type": "text", "parts": ["Hello \\ue200cite\\ue202turn0\\ue201 world", "so \\\\( x^2 \\\\) and \\\\[ E = mc^2 \\\\]"]}}},
  "b": {"message": {"id": "b", "author": {"role": " "}, "create_time": 2.0, "content": {"content_type": "multimodal_text", "parts": [{"content_type": "image_asset", "asset_pointer": "file://p"}, "look", {"content_type": "audio"}]}}},

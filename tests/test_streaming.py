@@ -37,3 +37,16 @@ def test_weekly_counts_go_on(spark, tmp_path):
     events.where(F.col("ts") >= cut).write.parquet(f"{source}/second")
     both = count(harvest.latest(harvest.weekly_activity(stream()), out, ["week", "event_type"]))
     assert both == whole and sum(first.values()) < sum(both.values())
+
+
+def test_a_table_beside_another_of_a_longer_name(spark, tmp_path):
+    """One as a folder, one as a single file."""
+    for name, n in (("t", 3), ("t_old", 5)):
+        spark.range(n).coalesce(1).write.parquet(f"file://{tmp_path}/{name}")
+    part = next((tmp_path / "t").glob("part-*.parquet"))
+    part.rename(tmp_path / "one.parquet")
+    (tmp_path / "one.parquet_old").write_bytes((tmp_path / "one.parquet").read_bytes())
+    spark.range(3).coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/t")
+    for name in ("t", "one.parquet"):
+        stream = harvest.read_table(spark, f"file://{tmp_path}/{name}")
+        assert harvest.drained(stream, f"file://{tmp_path}/out-{name}").count() == 3

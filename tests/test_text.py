@@ -64,6 +64,7 @@ def test_markdown(spark, text, want):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("2025-01-02", "2025-01-02 00:00:00"), ("2025-01-02 03:04", "2025-01-02 03:04:00"), (" 2025-01-02T03:04:05.25+02:30 ", "2025-01-02 00:34:05.250000"), ("2025-01-02 03:04:05-0130", "2025-01-02 04:34:05"), ("2025-01-02T03:04+02", "2025-01-02 01:04:00"), ("2025-13-02", None), ("2025", None), ("", None),
+    ("2025-1-2 3:04", "2025-01-02 03:04:00"), ("2025-1-2 3:4:5", "2025-01-02 03:04:05"), ("2025-1-2", "2025-01-02 00:00:00"), ("2025-1-2T3:04", None), ("2025-1-2 3", None),
 ])
 def test_user_times(spark, text, want):
     got = one(spark, t.parse_user_time, text)
