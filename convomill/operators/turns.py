@@ -83,9 +83,9 @@ def pair_turns(entries: DataFrame, path: str = "path", pos: str = "pos") -> Data
     )
 
 
-def build_turns(turns: DataFrame, answer_limit: int = ANSWER_LIMIT) -> DataFrame:
-    """Turns with conversation_id, context_id, answer_chars and the answer cut."""
-    first = F.first("user_ts").over(Window.partitionBy("path").orderBy("turn_index"))
+def build_turns(turns: DataFrame, answer_limit: int = ANSWER_LIMIT, first: Column | None = None) -> DataFrame:
+    """Turns with conversation_id, context_id, answer_chars and the answer cut. first: the user_ts of the path's first turn, where turns has not all turns of a path."""
+    first = F.first("user_ts").over(Window.partitionBy("path").orderBy("turn_index")) if first is None else first
     stamp = F.coalesce("user_ts", F.lit(""))
     return turns.select(
         "path", "turn_index",
