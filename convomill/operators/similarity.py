@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-GATE, MATCHES = 0.6, 6
-BLOCK = 10_000
+from ..sources.shared import written
+from .vectors import near_matches, top_matches
+
+GATE = 0.6
+#: Meetings that a text asks for at most, the price of a comparison in joined rows, texts of a word that one task takes.
+MATCHES, COMPARED, SALTED = 6, 16, 20_000
+# The characters of normalised texts.
+CHARACTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def distinct_texts(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -20,35 +24,66 @@ def distinct_texts(rows: DataFrame, key: str, text: Column) -> DataFrame:
     return rows.select(F.col(key).alias("k"), text.alias("norm")).where("norm != ''").groupBy("norm").agg(F.min("k").alias("rep"), F.count("*").alias("copies"))
 
 
+def _required(least: Column) -> Column:
+    """How many meetings a text asks for, from 1 to MATCHES: those of the least cost, by how often its words occur on both sides.
+
+    words: (df, word, shared) rarest first; asking for m meetings joins the
+    first n - least + m of them, and leaves at most an m-th of what is joined
+    to be compared, each at the price of COMPARED joined rows.
+    """
+    rows = lambda m: F.aggregate(F.slice("words", F.lit(1), (F.col("n") - least + m).cast("int")), F.lit(0).cast("long"), lambda a, w: a + F.when(w["shared"], w["df"]).otherwise(0))
+    most = F.least(F.lit(MATCHES), least).cast("int")
+    costs = F.transform(F.sequence(F.lit(1), most), lambda m: F.struct((rows(m) * (1 + F.lit(float(COMPARED)) / m)).alias("cost"), m.alias("m")))
+    return F.array_min(costs)["m"]
+
+
 def jaccard_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """left_id, right_id, jaccard of distinct texts (rep, norm) whose word sets reach the threshold.
 
     Words are ordered rarest first. Two sets of x and y words that reach the
     threshold share o = ceil(t / (1 + t) (x + y)) words, so at least m of them
-    lie among the first x - o + m and y - o + m, for any m up to o. A meeting
-    at a later place makes no row, and a pair is compared by its whole word
-    sets (as hashes) only where it meets MATCHES times (o, if that is less).
+    lie among the first x - o + m and y - o + m, for any m up to o. Each text
+    asks for as many meetings as cost it least: a short one whose last words
+    are common for few, so that these stay out of the join, a long one for
+    more. A pair meets min(its two numbers, o) times before it is compared by
+    its whole word sets (as hashes). A meeting at a later place makes no row.
+    Words of more than SALTED texts are dealt over several tasks.
     """
-    def words(df: DataFrame, side: str) -> DataFrame:
+    pairs, sets = jaccard_candidates(left, right, threshold)
+    lw, rw = (sets.where(F.col("side") == s).select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "lr")
+    same = F.size(F.array_intersect("l_words", "r_words"))
+    score = same / (F.size("l_words") + F.size("r_words") - same)
+    return pairs.join(lw, "l_id").join(rw, "r_id").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), score.alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
+def jaccard_candidates(left: DataFrame, right: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """l_id, r_id of the pairs that jaccard_join() compares, and side, id, words (as hashes) of all texts."""
+    def hashed(df: DataFrame, side: str) -> DataFrame:
         return df.select(F.lit(side).alias("side"), F.col("rep").alias("id"), F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).alias("words"))
 
+    sets = written(hashed(left, "l").unionByName(hashed(right, "r")))
+    entries = sets.select("side", "id", F.explode("words").alias("word"))
+    counts = entries.groupBy("word").agg(F.count("*").alias("df"), (F.min("side") != F.max("side")).alias("shared"))
+    texts = entries.join(counts, "word").groupBy("side", "id").agg(F.array_sort(F.collect_list(F.struct("df", "word", "shared"))).alias("words")).withColumn("n", F.size("words"))
+    own = F.ceil(F.lit(threshold) * F.col("n") - 1e-9)
+    own = F.greatest(F.lit(1), own)
+    texts = texts.withColumn("asks", _required(own))
+    prefix = texts.select("side", "id", "n", "asks", F.posexplode(F.slice("words", F.lit(1), (F.col("n") - own + F.col("asks")).cast("int"))).alias("rank", "w")).where("w.shared")
+    salts = (1 + F.floor(F.col("w.df") / SALTED)).cast("int")
+    prefix = prefix.select("side", "id", "n", "asks", (F.col("rank") + 1).alias("rank"), F.col("w.word").alias("word"), salts.alias("salts"))
+
+    def one(side: str, salt: Column) -> DataFrame:
+        return prefix.where(F.col("side") == side).select("word", salt.alias("salt"), *[F.col(c).alias(f"{side}_{c}") for c in ("id", "n", "asks", "rank")])
+
+    a = one("l", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    b = one("r", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     least = F.lit(threshold / (1 + threshold))
-    both = words(left, "l").unionByName(words(right, "r")).withColumn("n", F.size("words"))
-    entries = both.select("side", "id", "n", F.explode("words").alias("word"))
-    sides = entries.groupBy("word").agg(F.count("*").alias("df"), F.countDistinct("side").alias("sides"))
-    rank = F.row_number().over(Window.partitionBy("side", "id").orderBy("df", "word"))
-    prefix = entries.join(sides, "word").withColumn("rank", rank).where((F.col("rank") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + MATCHES) & (F.col("sides") == 2))
-    a, b = (prefix.where(F.col("side") == s).select("word", F.col("id").alias(f"{s}_id"), F.col("n").alias(f"{s}_n"), F.col("rank").alias(f"{s}_rank")) for s in "lr")
     near = F.least("l_n", "r_n") >= F.lit(threshold) * F.greatest("l_n", "r_n") - 1e-9
     overlap = F.greatest(F.lit(1), F.ceil(least * (F.col("l_n") + F.col("r_n")) - 1e-9))
-    needed = F.least(F.lit(MATCHES), overlap)
+    needed = F.least("l_asks", "r_asks", overlap)
     early = (F.col("l_rank") <= F.col("l_n") - overlap + needed) & (F.col("r_rank") <= F.col("r_n") - overlap + needed)
-    met = a.join(b, (a["word"] == b["word"]) & near & early).groupBy("l_id", "r_id").agg(F.count("*").alias("met"), F.min(needed).alias("needed"))
-    pairs = met.where("met >= needed").select("l_id", "r_id")
-    lw, rw = (both.where(F.col("side") == s).select(F.col("id").alias(f"{s}_id"), F.col("words").alias(f"{s}_words")) for s in "lr")
-    same = F.size(F.array_intersect("l_words", "r_words"))
-    score = same / (F.size("l_words") + F.size("r_words") - same)
-    return pairs.join(lw, "l_id").join(rw, "r_id").select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), score.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    met = a.join(b, (a["word"] == b["word"]) & (a["salt"] == b["salt"]) & near & early).groupBy("l_id", "r_id").agg(F.count("*").alias("met"), F.min(needed).alias("needed"))
+    return met.where("met >= needed").select("l_id", "r_id"), sets
 
 
 @F.pandas_udf(DoubleType())
@@ -66,11 +101,30 @@ def sequence_ratio(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
     return pd.Series([one(*v) for v in zip(a, b, least, strict=True)], dtype=float)
 
 
+def character_counts(text: Column) -> Column:
+    """How often each of CHARACTERS occurs, all others together last."""
+    counts = [F.length(text) - F.length(F.replace(text, F.lit(c), F.lit(""))) for c in CHARACTERS]
+    return F.array(*counts, F.length(text) - sum(counts[1:], counts[0]))
+
+
+def ratio_bound(x: Column, y: Column) -> Column:
+    """Of two arrays of character_counts(): what the matching-blocks ratio cannot exceed, as matching characters are common ones."""
+    size = lambda a: F.aggregate(a, F.lit(0), lambda n, c: n + c)
+    return 2.0 * size(F.zip_with(x, y, lambda a, b: F.least(a, b))) / (size(x) + size(y))
+
+
+def ratio_candidates(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """left_id, right_id, x, y of the pairs that pass the word gate and the characters' bound: only these are compared in Python."""
+    pairs = jaccard_join(left, right, GATE * threshold)
+    side = lambda df, key, text: df.select(F.col("rep").alias(key), F.col("norm").alias(text), character_counts(F.col("norm")).alias(f"{text}_counts"))
+    texts = pairs.join(side(left, "left_id", "x"), "left_id").join(side(right, "right_id", "y"), "right_id")
+    return texts.where(ratio_bound(F.col("x_counts"), F.col("y_counts")) >= threshold - 1e-9).select("left_id", "right_id", "x", "y")
+
+
 def string_duplicates(left: DataFrame, right: DataFrame, threshold: float = 0.82) -> DataFrame:
     """left_id, right_id, ratio of distinct texts (rep, norm) that pass the word gate and the ratio."""
-    pairs = jaccard_join(left, right, GATE * threshold)
-    texts = pairs.join(left.select(F.col("rep").alias("left_id"), F.col("norm").alias("x")), "left_id").join(right.select(F.col("rep").alias("right_id"), F.col("norm").alias("y")), "right_id")
-    return texts.select("left_id", "right_id", sequence_ratio("x", "y", F.lit(threshold)).alias("ratio")).where(F.col("ratio") >= threshold)
+    near = ratio_candidates(left, right, threshold)
+    return near.select("left_id", "right_id", sequence_ratio("x", "y", F.lit(threshold)).alias("ratio")).where(F.col("ratio") >= threshold)
 
 
 SIDES = (("prompt", "front"), ("answer", "back"))
@@ -86,7 +140,7 @@ def lexical_join(turns: DataFrame, cards: DataFrame, threshold: float, ratio: fl
     """
     found = []
     for mine, theirs in SIDES:
-        left, right = distinct_texts(turns, "turn_id", F.col(mine)), distinct_texts(cards, "card_id", F.col(theirs))
+        left, right = written(distinct_texts(turns, "turn_id", F.col(mine))), written(distinct_texts(cards, "card_id", F.col(theirs)))
         pairs = jaccard_join(left, right, threshold) if ratio is None else string_duplicates(left, right, ratio)
         found.append(pairs.toDF("turn_id", "card_id", "score").withColumn("side", F.lit(theirs)))
     return found[0].unionByName(found[1])
@@ -104,53 +158,6 @@ def lexical_duplicates(turns: DataFrame, cards: DataFrame, threshold: float = 0.
     return turns.select("turn_id").join(least, "turn_id", "left").select("turn_id", F.col("card_id").isNotNull().alias("is_duplicate"), "card_id")
 
 
-def finite_vectors(df: DataFrame, key: str, column: str) -> DataFrame:
-    """key and v (doubles) of the rows with a usable vector: not null, not zero, every component a finite number, of the commonest length."""
-    v = F.col(column).cast("array<double>")
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = df.select(F.col(key).cast("long").alias(key), v.alias("v")).where(F.col("v").isNotNull()).where(~bad & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("v") == (size["n"] if size else 0))
-
-
-def top_matches(queries: DataFrame, cards: DataFrame, k: int, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """query_id, rank, card_id, score: the k cards of the highest cosine for each query, ties to the smaller id.
-
-    Both sides are cut in blocks; a task multiplies one block of queries with
-    one of cards and keeps k of each query. Rows that finite_vectors() leaves
-    out, and cards of another length than the queries', match nothing.
-    """
-    def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        n = 1 + df.count() // BLOCK
-        rows = finite_vectors(df, key, column).withColumnRenamed(key, name)
-        return rows.withColumn(f"{name[0]}b", F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), n
-
-    (q, nq), (c, nc) = blocks(queries, "query_id"), blocks(cards, "card_id")
-    q = q.withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    c = c.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
-
-    def unit(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.asarray(t.column(0))
-        v = np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
-        return ids, v / np.sqrt((v * v).sum(1))[:, None]
-
-    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        (qi, qv), (ci, cv) = unit(left.select(["query_id", "v"])), unit(right.select(["card_id", "v"]))
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(qi) and len(ci) and qv.shape[1] == cv.shape[1]:
-            for at in range(0, len(qi), 256):
-                for i, row in zip(qi[at : at + 256], qv[at : at + 256] @ cv.T, strict=True):
-                    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-                    best = near[np.lexsort((ci[near], -row[near]))[:k]]
-                    out.append((np.full(len(best), i), ci[best], row[best]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0)] * 3
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "card_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(multiply, "query_id long, card_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "card_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "card_id", "score")
-
-
 def semantic_duplicates(queries: DataFrame, cards: DataFrame, threshold: float = 0.85, **names: str) -> DataFrame:
     """query_id, card_id, score, is_duplicate for every query that has a vector."""
     return top_matches(queries, cards, 1, **names).select("query_id", "card_id", "score", (F.col("score") >= threshold).alias("is_duplicate"))
@@ -172,7 +179,7 @@ def duplicate_turns(turns: DataFrame, cards: DataFrame, method: str = "string",
     if method == "string":
         return caught
     named = lambda df, key: df.select(F.col(key).alias("vec_id"), "embedding")
-    by_vector = semantic_duplicates(named(rest, "turn_id"), named(cards, "card_id"), vector_threshold).where("is_duplicate").select(F.col("query_id").alias("turn_id"), F.lit("semantic").alias("method"))
+    by_vector = near_matches(named(rest, "turn_id"), named(cards, "card_id"), vector_threshold).select(F.col("query_id").alias("turn_id"), F.lit("semantic").alias("method"))
     return by_vector if caught is None else caught.unionByName(by_vector)
 
 

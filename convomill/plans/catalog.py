@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import features, payloads, progress, review, segments, similarity, state, turns
+from ..operators import vectors as vector_search
 from ..sources import exports, store, transcripts
 from ..sources.shared import shared_path
 from ..streaming import harvest
@@ -627,6 +628,37 @@ def semantic_dedup(spark, sf_dir):
     return similarity.semantic_duplicates(*vectors(spark, sf_dir), 0.3).withColumn("score", F.round("score", 4))
 
 
+@query()
+def approximate_topk(spark, sf_dir):
+    """By hash tables: tests hold its recall against knn_topk and its scores against the vectors."""
+    return vector_search.approximate_matches(*vectors(spark, sf_dir), 3).withColumn("score", F.round("score", 4))
+
+
+@query(f"SELECT query_id, card_id, round(score, 4) AS score FROM ({KNN.format(k=1)}) WHERE score >= 0.35::DOUBLE")
+def near_vectors(spark, sf_dir):
+    """Only the queries with a card within the angle; blocks beyond it are not asked."""
+    return vector_search.near_matches(*vectors(spark, sf_dir), 0.35).withColumn("score", F.round("score", 4))
+
+
+WORD_VECTORS = {
+    "V0": "SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ')) AS word FROM documents",
+    "V1": "SELECT doc_id, ('0x' || substring(md5(word), 1, 8))::BIGINT AS h FROM V0 WHERE word <> ''",
+    "V2": "SELECT doc_id, h // 2 % 64 AS i, sum(1 - 2 * (h % 2))::DOUBLE AS x FROM V1 GROUP BY ALL",
+    "V3": "SELECT doc_id, sum(x * x) AS n FROM V2 GROUP BY doc_id HAVING sum(x * x) > 0",
+    "V4": "SELECT V2.doc_id, i, x, n FROM V2 JOIN V3 USING (doc_id)",
+    "V5": "SELECT a.doc_id AS q, b.doc_id AS c, round(sum(a.x * b.x) / sqrt(any_value(a.n) * any_value(b.n)), 12) AS s FROM V4 a JOIN V4 b ON a.i = b.i AND a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 GROUP BY ALL",
+    "V6": "SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, c) AS r FROM V5",
+}
+
+
+@query(sql("SELECT d.doc_id AS query_id, c AS card_id, round(s, 4) AS score, coalesce(s >= 0.95::DOUBLE, false) AS is_duplicate FROM documents d LEFT JOIN V6 ON V6.q = d.doc_id AND r = 1 WHERE d.doc_id % 2 = 0", **WORD_VECTORS))
+def text_semantic_dedup(spark, sf_dir):
+    """Vectors from the texts themselves, by a model that hashes words."""
+    d = fx.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = vector_search.text_matches(d.where("id % 2 = 0"), d.where("id % 2 = 1"), 0.95, vector_search.hashed_words(64))
+    return found.withColumn("score", F.round("score", 4))
+
+
 @query()
 def hybrid_dedup(spark, sf_dir):
     return similarity.duplicate_turns(*turn_card_sides(spark, sf_dir), "hybrid", 0.82, 0.3)

@@ -1,6 +1,7 @@
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from convomill.operators import similarity
 from convomill.plans import catalog
@@ -23,6 +24,49 @@ def test_jaccard_join_equals_brute_force(spark):
     assert {(r.left_id, r.right_id) for r in got} <= ratios | want and {(r.left_id, r.right_id) for r in got} >= {p for p in ratios if p in want}
 
 
+def test_short_prompts_meet_in_proportion_to_what_is_found(spark):
+    """Ten-word prompts, four of whose words all share: the common words stay out of the join, and none of the pairs is lost."""
+    n = 100_000
+    common = ["what", "is", "the", "of"]
+    word = lambda seed: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(40_000)).cast("string"))
+    base = spark.range(n).select("id", F.concat_ws(" ", *map(F.lit, common), *[word(i) for i in range(6)]).alias("norm"))
+    left = base.where("id % 2 = 0")
+    copies = left.where("id % 50 = 0").select((F.col("id") + 1_000_000).alias("id"), F.concat(F.expr("substring_index(norm, ' ', 9)"), F.lit(" changed")).alias("norm"))
+    right = base.where("id % 2 = 1").unionByName(copies)
+    sides = [x.withColumnRenamed("id", "rep") for x in (left, right)]
+    pairs, _ = similarity.jaccard_candidates(*sides, 0.6)
+    found = similarity.jaccard_join(*sides, 0.6)
+    got = {(r.left_id, r.right_id) for r in found.collect()}
+    assert {(i, i + 1_000_000) for i in range(0, n, 50)} <= got and all(r < 1_000_000 or r - 1_000_000 == l for l, r in got if l % 50 == 0)
+    assert pairs.count() < 5 * len(got)
+
+
+def test_hot_words_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "SALTED", 50)
+    texts = [f"hot {'warm ' * (i % 2)}x{i % 40}" for i in range(400)]
+    left, right = (spark.createDataFrame([(i, t) for i, t in enumerate(texts) if i % 3 == k], "rep int, norm string") for k in (0, 1))
+    j = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    want = {(i, k) for i, a in enumerate(texts) for k, b in enumerate(texts) if i % 3 == 0 and k % 3 == 1 and j(a, b) >= 0.45}
+    assert {(r.left_id, r.right_id) for r in similarity.jaccard_join(left, right, 0.45).collect()} == want
+
+
+def test_characters_bound_the_ratio(spark):
+    """Never below the ratio, equal to difflib's own bound, and pairs below it never reach Python."""
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abc d1é") for _ in range(rng.randint(1, 30))) for _ in range(400)]
+    df = spark.createDataFrame(list(zip(texts[::2], texts[1::2], strict=True)), "x string, y string")
+    bounded = df.withColumn("bound", similarity.ratio_bound(similarity.character_counts(F.col("x")), similarity.character_counts(F.col("y"))))
+    for r in bounded.collect():
+        m = SequenceMatcher(None, r.x, r.y)
+        assert r.bound >= m.ratio() - 1e-12 and ("é" in r.x + r.y or abs(r.bound - m.quick_ratio()) < 1e-12)
+    side = lambda k: spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four abcdefgh", "one two three four xyzuvwst", "one two three four abcdefgi"]) if (i > 0) == k], "rep int, norm string")
+    left, right = side(False), side(True)
+    assert similarity.jaccard_join(left, right, 0.6 * 0.9).count() == 2 and similarity.ratio_candidates(left, right, 0.9).count() == 1
+    assert {(r.left_id, r.right_id) for r in similarity.string_duplicates(left, right, 0.9).collect()} == {(0, 2)}
+
+
 def test_vectors_flags_and_pruning(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, None)], "vec_id long, embedding array<float>")
     c = spark.createDataFrame([(10, [2.0, 0.1]), (11, [1.0, 1.0]), (12, [0.0, 0.0])], "vec_id long, embedding array<float>")
