@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import convert_latex, format_iso, format_unix, strip, strip_citations
 
@@ -100,3 +108,188 @@ def chat_messages(records: DataFrame) -> DataFrame:
     text = lines_of(F.coalesce(F.transform("m.content", block_lines), none), F.coalesce(F.transform("m.attachments", attachment_text), none))
     role = F.coalesce(F.nullif(F.col("m.sender"), F.lit("")), F.lit("unknown"))
     return m.select("conversation_id", "title", "created", "updated", "pos", role.alias("role"), format_iso(F.col("m.created_at")).alias("ts_raw"), text.alias("text"))
+
+
+# --- records of large files --------------------------------------------------
+
+#: Bytes that one task reads of a file.
+SPLIT = 64 << 20
+RECORD = "path string, start long, record string, error string"
+_SUMMARY = "path string, start long, end long, quotes long, outside long, inside long, first int"
+
+
+def _opened(path: str):
+    files, place = pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+    return files.open_input_file(place)
+
+
+def _escaped_first(file, start: int) -> bool:
+    """Whether the byte at start is escaped: an odd number of backslashes stands before it."""
+    n = 0
+    while start - n > 0 and file.read_at(1, start - n - 1) == b"\\":
+        n += 1
+    return n % 2 == 1
+
+
+def _quotes(data: np.ndarray, escaped: bool) -> np.ndarray:
+    """Places of the quotes that no backslash escapes."""
+    slash = data == 92
+    at = np.arange(len(data))
+    other = np.where(~slash, at, -1)
+    before = np.maximum.accumulate(np.concatenate([[-1], other[:-1]])) if len(data) else other  # the last byte before each that is no backslash
+    n = at - before - 1 + np.where(before < 0, int(escaped), 0)
+    return np.flatnonzero((data == 34) & (n % 2 == 0))
+
+
+def _depths(data: np.ndarray, quotes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of brackets, whether an even number of quotes stands before each, and its step up or down: places and steps, the latter 0 where the number is odd."""
+    at = np.flatnonzero(((data | 32) == 123) | ((data | 32) == 125))  # [ { and ] } differ in one bit
+    step = np.where((data[at] | 32) == 123, 1, -1)
+    return at, np.where(np.searchsorted(quotes, at) % 2 == 0, step, 0)
+
+
+def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each range: its quotes, and the change of depth if it starts outside a text, or inside one; first: the file's first byte that is no white space."""
+    for batch in batches:
+        rows = []
+        for path, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            with _opened(path) as file:
+                escaped = _escaped_first(file, start)
+                data = np.frombuffer(file.read_at(end - start, start), np.uint8)
+            quotes = _quotes(data, escaped)
+            at, step = _depths(data, quotes)
+            every = np.where((data[at] | 32) == 123, 1, -1)
+            head = bytes(data[:64]).removeprefix(b"\xef\xbb\xbf").lstrip()[:1] if start == 0 else b""
+            rows.append((path, start, end, len(quotes), int(step.sum()), int((every - step).sum()), head[0] if head else -1))
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.string(), *[pa.int64()] * 5, pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [c.split()[0] for c in _SUMMARY.split(", ")])
+
+
+@dataclass
+class Range(InputPartition):
+    """Bytes of a file, and what stands open before them; base: the depth at which records start."""
+
+    path: str
+    start: int
+    end: int
+    depth: int
+    inside: bool
+    base: int
+
+
+class _Records(DataSourceReader):
+    def __init__(self, ranges: list[Range]):
+        self._ranges = ranges
+
+    def partitions(self) -> list[Range]:
+        return self._ranges
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        """Records that start in the range; the last one may end behind it. What stands between records and is neither comma nor bracket is an error of its own."""
+        p = partition
+        with _opened(p.path) as file:
+            size = file.size()
+            data, end, escaped = b"", p.start, _escaped_first(file, p.start)
+            while True:  # to the end of the range, then on until the last record is closed
+                more = file.read_at(min(SPLIT, (p.end if end < p.end else size) - end), end)
+                data, end = data + more, end + len(more)
+                if end < p.end:
+                    continue
+                found, closed = _cut(data, p, escaped)
+                if closed or end >= size or not more:
+                    break
+        yield from ((p.path, p.start + at, text, error) for at, text, error in found)
+
+
+def _cut(data: bytes, p: Range, escaped: bool) -> tuple[list[tuple[int, str | None, str | None]], bool]:
+    """(place, record, error) of what starts in p, and whether its last record is closed."""
+    a = np.frombuffer(data, np.uint8)
+    quotes = _quotes(a, escaped)
+    at, step = _depths(a, quotes)
+    if p.inside:
+        step = np.where((a[at] | 32) == 123, 1, -1) - step
+    at, step = at[step != 0], step[step != 0]
+    depth = p.depth + np.cumsum(step)
+    own = p.end - p.start
+    opens = at[(step > 0) & (depth == p.base + 1)]
+    closes = at[(step < 0) & (depth == p.base)] + 1
+    if p.depth > p.base and len(closes):
+        skipped = int(closes[0])  # of a record that starts before
+        closes = closes[1:]
+    else:
+        skipped = 0 if p.depth <= p.base else own
+    opens = opens[opens < own]
+    out: list[tuple[int, str | None, str | None]] = []
+    text = lambda x: x.decode("utf-8", "replace")
+    last = skipped
+    for i, start in enumerate(opens.tolist()):
+        out += _between(data, last, start)
+        if i >= len(closes):
+            out.append((start, None, f"not closed: {text(data[start : start + 200])}"))
+            return out, False
+        last = int(closes[i])
+        out.append((start, text(data[start:last]), None))
+    if last < own:
+        out += _between(data, last, own)
+    return out, True
+
+
+def _between(data: bytes, start: int, end: int) -> list[tuple[int, None, str]]:
+    rest = data[start:end].removeprefix(b"\xef\xbb\xbf").strip(b"[], \t\r\n")
+    return [(start, None, f"no record: {rest[:200].decode('utf-8', 'replace')}")] if rest else []
+
+
+class ExportRecords(DataSource):
+    """The format chat_export_records: option ranges, as export_records() makes them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "chat_export_records"
+
+    def schema(self) -> str:
+        return RECORD
+
+    def reader(self, schema: object) -> DataSourceReader:
+        return _Records([Range(*r) for r in json.loads(self.options["ranges"])])
+
+
+def export_records(spark: SparkSession, path: str, split: int = SPLIT) -> DataFrame:
+    """path, start (byte), record (text) or error of each record of export files: one JSON array of objects, or objects one after another.
+
+    A file is dealt to tasks by byte ranges of any place. A first pass gives
+    of each range its quotes and the change of depth if it starts outside or
+    inside a text; their sums (a row for each range) say what stands open at
+    each range's start, so the second pass cuts out the records that start in
+    it. A text or number between records is an error of its own.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long"))).alias("start"))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split, "length").alias("end")).repartition(F.col("path"), F.col("start"))
+    made, before = [], None
+    for r in sorted(ranges.mapInArrow(_summary, _SUMMARY).collect(), key=lambda r: (r["path"], r["start"])):
+        if before is None or before[0] != r["path"]:
+            before = (r["path"], 0, False, int(r["first"] == ord("[")))
+        _, depth, inside, base = before
+        made.append((r["path"], r["start"], r["end"], depth, inside, base))
+        before = (r["path"], depth + (r["inside"] if inside else r["outside"]), inside ^ (r["quotes"] % 2 == 1), base)
+    spark.dataSource.register(ExportRecords)
+    return spark.read.format("chat_export_records").option("ranges", json.dumps(made)).load()
+
+
+def with_dialect(records: DataFrame) -> DataFrame:
+    """records with dialect, each by its own: messages (has uuid and chat_messages), mapping (has a mapping), or null with an error."""
+    v = F.try_parse_json("record")
+    has = lambda path: F.try_variant_get(F.col("v"), path, "variant").isNotNull()
+    x = records.withColumn("v", v)
+    kind = F.when(has("$.uuid") & has("$.chat_messages"), "messages").when(has("$.mapping"), "mapping")
+    why = F.when(F.col("v").isNull(), "no JSON").when(kind.isNull(), "of no known dialect")
+    return x.withColumns({"dialect": kind, "error": F.coalesce("error", why)}).drop("v")
+
+
+def read_messages(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
+    """MESSAGE rows of all records of export files, whatever dialect each has; and path, start and error of what could not be read."""
+    x = with_dialect(export_records(spark, path, split))
+    of = lambda dialect, schema: x.where((F.col("dialect") == dialect) & F.col("error").isNull()).select(F.from_json("record", schema).alias("r")).select("r.*")
+    mapped, listed = mapping_messages(of("mapping", MAPPING)), chat_messages(of("messages", MESSAGES))
+    return mapped.select(MESSAGE).unionByName(listed.select(MESSAGE)), x.where("error is not null").select("path", "start", "error")
