@@ -7,8 +7,8 @@ corpus. The histogram of lengths is the demand of a cutting-stock problem: a
 pattern is a multiset of lengths that fits one sequence. The linear program
 over the patterns found so far gives each length a dual price, a knapsack
 dynamic program over the prices finds the best new pattern, until none
-improves. Pattern counts are rounded down, what is left is packed by the same
-knapsack, and the pieces of each length, ranked, take the pattern slots of
+improves. Pattern counts are rounded down, what is left is packed longest
+length first, and the pieces of each length, ranked, take the pattern slots of
 their ranks by arithmetic alone. Only the histogram and the patterns pass the
 driver; both are bounded by the sequence length.
 """
