@@ -70,7 +70,7 @@ def frequency_sketch(docs: DataFrame, text: str, k: int) -> np.ndarray:
 
     schema = "block int, counts binary"
     rows = docs.select(text).mapInArrow(count, schema).groupBy("block").applyInArrow(add, schema).collect()
-    out = np.zeros((SKETCH_BLOCKS, width), np.int64)
+    out = np.zeros((SKETCH_BLOCKS, width), np.float32)
     for r in rows:
         out[r["block"]] = np.frombuffer(zstandard.decompress(bytes(r["counts"])), "<u8")
     return out.ravel()
@@ -91,8 +91,8 @@ def choose_prefix(s: np.ndarray, f: np.ndarray, num: int, den: int) -> tuple[np.
 
 
 def prefixes(docs: DataFrame, sketch: np.ndarray, text: str, key: str, k: int, num: int, den: int) -> DataFrame:
-    usual = int(np.median(sketch))
-    rare = np.maximum(sketch - 1 - usual * 1.2, 0).astype(np.float32)
+    usual = float(np.median(sketch))
+    rare = np.maximum(sketch - np.float32(1 + usual * 1.2), 0)
     shared = docs.sparkSession.sparkContext.broadcast(rare)  # 16 MB at any size of input
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
