@@ -73,7 +73,7 @@ def scan_transcripts(spark, sf_dir):
     out = shared_path(spark)
     rendered = transcripts.render_transcripts(messages_of(spark, sf_dir))
     for _ in range(2):
-        transcripts.write_markdown(rendered, out).write.format("noop").mode("overwrite").save()
+        transcripts.write_markdown(rendered, out)
     found = transcripts.scan_transcripts(spark, out)
     return found.select(F.regexp_extract("path", r"\d{4}/\d{2}/\d{2}/[^/]+$", 0).alias("path"), F.sha2("value", 256).alias("content"), F.length("value").alias("chars"))
 

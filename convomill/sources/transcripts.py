@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from ..functions.text import slugify, strip
 from .store import exists
@@ -60,31 +64,112 @@ def write_transcripts(rendered: DataFrame, out: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month", "day").parquet(out)
 
 
-def write_markdown(rendered: DataFrame, root: str) -> DataFrame:
-    """Writes each transcript (path, value) as a file of its own below root, where its text is new or another; path and status of each.
+DRAFT = "path string, status string, draft string, attempt string"
 
-    Files are read and written by the tasks. A file is written beside its
-    place and then moved there, so a task that runs twice leaves it whole.
-    """
-    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, top = pafs.FileSystem.from_uri(root)
-        for batch in batches:
-            status = []
-            for path, value in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                place, new, old = f"{top}/{path}", value.encode(), None
-                if files.get_file_info(place).type == pafs.FileType.File:
-                    with files.open_input_file(place) as f:
+
+def _tree(root: str):
+    return pafs.FileSystem.from_uri(root)
+
+
+def _put(files, place: str, data: bytes) -> None:
+    """Whole or not at all: written beside its place, then moved there."""
+    draft = f"{place}.{uuid.uuid4().hex}"
+    with files.open_output_stream(draft) as f:
+        f.write(data)
+    files.move(draft, place)
+
+
+@dataclass
+class _Drafted(WriterCommitMessage):
+    attempt: str
+
+
+class _TreeWriter(DataSourceWriter):
+    """Tasks write drafts and a manifest of them; the commit names the attempts that count; an abort leaves nothing."""
+
+    def __init__(self, root: str, job: str):
+        self._root, self._job = root, job
+
+    def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
+        files, top = _tree(self._root)
+        attempt = str(TaskContext.get().taskAttemptId())
+        folder = f"_drafts/{self._job}/{attempt}"
+        files.create_dir(f"{top}/{folder}", recursive=True)
+        with files.open_output_stream(f"{top}/{folder}/manifest.json") as manifest:
+            for n, (path, value) in enumerate(iterator):
+                new, old, draft = value.encode(), None, None
+                if files.get_file_info(f"{top}/{path}").type == pafs.FileType.File:
+                    with files.open_input_file(f"{top}/{path}") as f:
                         old = f.read()
                 if old != new:
-                    files.create_dir(place.rpartition("/")[0], recursive=True)
-                    draft = f"{place}.{TaskContext.get().taskAttemptId()}"
-                    with files.open_output_stream(draft) as f:
+                    draft = f"{folder}/{n}.md"
+                    with files.open_output_stream(f"{top}/{draft}") as f:
                         f.write(new)
-                    files.move(draft, place)
-                status.append("skipped" if old == new else "written" if old is None else "updated")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(status, pa.string())], ["path", "status"])
+                status = "skipped" if old == new else "written" if old is None else "updated"
+                manifest.write(json.dumps({"path": path, "status": status, "draft": draft, "attempt": attempt}).encode() + b"\n")
+        return _Drafted(attempt)
 
-    return rendered.select("path", "value").mapInArrow(put, "path string, status string")
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, top = _tree(self._root)
+        files.create_dir(f"{top}/_drafts/{self._job}", recursive=True)
+        _put(files, f"{top}/_drafts/{self._job}/committed.json", json.dumps([m.attempt for m in messages if m]).encode())
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        files, top = _tree(self._root)
+        if files.get_file_info(f"{top}/_drafts/{self._job}").type == pafs.FileType.Directory:
+            files.delete_dir(f"{top}/_drafts/{self._job}")
+
+
+class MarkdownTree(DataSource):
+    """The format markdown_tree: rows of path and value as drafts below root, under the name of a job."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_tree"
+
+    def schema(self) -> str:
+        return "path string, value string"
+
+    def writer(self, schema: object, overwrite: bool) -> DataSourceWriter:
+        return _TreeWriter(self.options["root"], self.options["job"])
+
+
+def write_markdown(rendered: DataFrame, root: str) -> DataFrame:
+    """Writes each transcript (path, value) as a file of its own below root, where its text is new or another; path and status of each.
+
+    Nothing changes at its place before all tasks have written their drafts
+    and the commit names them; then a second job moves the drafts. A failed
+    write leaves no file behind; one that fails after its commit is ended by
+    publish(). Paths must be distinct, as render_transcripts() makes them.
+    """
+    spark, job = rendered.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(MarkdownTree)
+    rendered.select("path", "value").write.format("markdown_tree").mode("append").option("root", root).option("job", job).save()
+    return publish(spark, root, job)
+
+
+def publish(spark: SparkSession, root: str, job: str) -> DataFrame:
+    """Moves a committed job's drafts to their places, keeps its statuses below root/_commits, and gives them. It may be repeated, and goes on where it was cut off."""
+    files, top = _tree(root)
+    root, kept = root.rstrip("/"), f"{root.rstrip('/')}/_commits/{job}"
+    if files.get_file_info(f"{top}/_commits/{job}/_SUCCESS").type != pafs.FileType.File:
+        with files.open_input_file(f"{top}/_drafts/{job}/committed.json") as f:
+            attempts = json.loads(f.read())  # a name for each task
+
+        def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            files, top = _tree(root)
+            for batch in batches:
+                for path, draft in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    if draft and files.get_file_info(f"{top}/{draft}").type == pafs.FileType.File:  # else a task before has moved it
+                        files.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                        files.move(f"{top}/{draft}", f"{top}/{path}")
+                yield batch.select([0, 1])
+
+        written = spark.read.schema(DRAFT).json(f"{root}/_drafts/{job}/*/manifest.json").where(F.col("attempt").isin(attempts)) if attempts else spark.createDataFrame([], DRAFT)
+        written.mapInArrow(move, "path string, status string").write.mode("overwrite").parquet(kept)
+    if files.get_file_info(f"{top}/_drafts/{job}").type == pafs.FileType.Directory:
+        files.delete_dir(f"{top}/_drafts/{job}")
+    return spark.read.schema("path string, status string").parquet(kept)
 
 
 def upsert_status(new: DataFrame, existing: DataFrame) -> DataFrame:

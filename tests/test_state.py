@@ -2,6 +2,7 @@ import json
 
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from convomill.operators import progress, review, state
@@ -96,7 +97,7 @@ def test_conversations_of_one_title_have_their_own_files(spark, tmp_path):
     paths = {x.conversation_id: x.path for x in r.collect()}
     assert len(set(paths.values())) == 6 and paths["a"] == "2025/01/02/2025-01-02_same.md" and paths["d"] == "undated/same.md" and paths["b"].startswith("2025/01/02/2025-01-02_same-")
     root = (tmp_path / "md").as_uri()
-    transcripts.write_markdown(r, root).collect()
+    transcripts.write_markdown(r, root)
     assert sorted(x.value.split("text ")[-1][:1] for x in transcripts.scan_transcripts(spark, root).collect() if "text" in x.value) == sorted(["a", "b", "c", "N"])
 
 
@@ -139,4 +140,36 @@ def test_message_blocks_and_files(spark, tmp_path):
     status = lambda df: [x.status for x in transcripts.write_markdown(df, root).collect()]
     assert status(r) == ["written"] and status(r) == ["skipped"] and status(r.withColumn("value", F.lit("new"))) == ["updated"]
     assert (tmp_path / "md/2025/01/15/2025-01-15_talk.md").read_text() == "new"
-    assert len([x for x in (tmp_path / "md").rglob("*") if x.is_file()]) == 1
+    assert files_below(tmp_path / "md") == ["2025/01/15/2025-01-15_talk.md"]
+
+
+def files_below(root):
+    return sorted(str(x.relative_to(root)) for x in root.rglob("*") if x.is_file() and "_commits" not in x.parts)
+
+
+def test_a_failed_write_leaves_nothing_and_a_cut_off_one_is_ended(spark, tmp_path):
+    root, top = (tmp_path / "md").as_uri(), tmp_path / "md"
+    rows = spark.createDataFrame([(f"2025/01/0{i}/a.md", f"text {i}") for i in range(1, 9)], "path string, value string").repartition(4)
+    first = transcripts.write_markdown(rows.where("path < '2025/01/05'"), root)
+    assert first.count() == 4 == first.count() and {r.status for r in first.collect()} == {"written"}  # read again, nothing is written again
+    before = files_below(top)
+    bad = rows.withColumn("value", F.when(F.col("path") == "2025/01/07/a.md", F.raise_error(F.lit("no"))).otherwise("other"))
+    with pytest.raises(Exception, match="no"):
+        transcripts.write_markdown(bad, root)
+    assert files_below(top) == before and (top / "2025/01/01/a.md").read_text() == "text 1"
+    spark.dataSource.register(transcripts.MarkdownTree)
+    rows.withColumn("value", F.concat("value", F.lit("!"))).write.format("markdown_tree").mode("append").option("root", root).option("job", "cut").save()
+    assert (top / "2025/01/01/a.md").read_text() == "text 1"  # committed, not yet moved
+    stray = top / "_drafts/cut/999"
+    stray.mkdir()
+    (stray / "manifest.json").write_text('{"path": "2025/01/09/a.md", "status": "written", "draft": "_drafts/cut/999/0.md", "attempt": "999"}')
+    (stray / "0.md").write_text("of an attempt that does not count")
+    draft = next(x for x in (top / "_drafts/cut").rglob("0.md") if x.parent.name != "999")
+    path = next(json.loads(line) for line in (draft.parent / "manifest.json").read_text().splitlines() if json.loads(line)["draft"].endswith(f"{draft.parent.name}/0.md"))["path"]
+    (top / path).parent.mkdir(parents=True, exist_ok=True)
+    draft.rename(top / path)  # as a task that was lost has left it
+    for _ in range(2):
+        status = {r.path: r.status for r in transcripts.publish(spark, root, "cut").collect()}
+        assert status == {f"2025/01/0{i}/a.md": "updated" if i < 5 else "written" for i in range(1, 9)}
+    assert files_below(top) == sorted(status) and all((top / p).read_text().endswith("!") for p in status)
+    assert sorted(r.value for r in transcripts.scan_transcripts(spark, root).collect()) == [f"text {i}!" for i in range(1, 9)]
