@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import TOPIC_MARKERS, any_of
 from ..sources.shared import written
 from .features import assembled, conversation_signals, key_topics
+from .scans import scanned
 
 MAX_TURNS, MAX_CHARS, LOW_OVERLAP, MIN_GAP = 10, 8000, 0.2, 2
 DECK_PARTS = 64
@@ -21,27 +24,47 @@ def topic_shifts(turns: DataFrame, keys: list[str]) -> DataFrame:
     return turns.withColumn("before", before).withColumn("shift", (F.col("turn_index") > 0) & (any_of(F.lower("prompt"), TOPIC_MARKERS) | F.coalesce(low, F.lit(False)))).drop("before")
 
 
-def topic_segments(turns: DataFrame, keys: list[str], chars: Column) -> DataFrame:
+def topic_segments(turns: DataFrame, keys: list[str], chars: Column, spread: int | None = None) -> DataFrame:
     """turns (with shift) with part (null: not split; else from 1) and part_index.
 
     Every second turn of a run of shifts splits, from the first that is at
     least MIN_GAP into the conversation: that equals taking shifts greedily
     with the gap between them. Without a split, long ones are cut in even
-    blocks.
+    blocks. spread: turns to a task's block, for conversations too long for
+    one task.
     """
+    if spread:
+        return _spread_segments(turns, keys, chars, spread)
     w = Window.partitionBy(*keys).orderBy("turn_index")
     upto, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys)
     island = F.max(F.when(~F.col("shift"), F.col("turn_index"))).over(upto) + 1
     x = turns.withColumn("base", F.greatest(island, F.lit(MIN_GAP)))
     x = x.withColumn("split", F.col("shift") & (F.col("turn_index") >= F.col("base")) & ((F.col("turn_index") - F.col("base")) % 2 == 0))
     x = x.withColumns({"n": F.count("*").over(whole), "chars": F.sum(chars).over(whole), "splits": F.sum(F.col("split").cast("int")).over(whole), "run": F.sum(F.col("split").cast("int")).over(upto) + 1})
-    long = (F.col("n") > MAX_TURNS) | (F.col("chars") > MAX_CHARS)
-    even = F.when(F.col("n") > MAX_TURNS, F.floor(F.col("turn_index") / MAX_TURNS) + 1).otherwise(1)
-    x = x.withColumn("part", F.when(long, F.when(F.col("splits") > 0, F.col("run")).otherwise(even)).cast("long"))
+    x = x.withColumn("part", _part())
     index = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("turn_index")) - 1
     return x.withColumn("part_index", index).drop("base", "split", "n", "chars", "splits", "run")
 
 
+def _part() -> Column:
+    """From n, chars and splits of the conversation, and run: which of its splits a turn follows."""
+    long = (F.col("n") > MAX_TURNS) | (F.col("chars") > MAX_CHARS)
+    even = F.when(F.col("n") > MAX_TURNS, F.floor(F.col("turn_index") / MAX_TURNS) + 1).otherwise(1)
+    return F.when(long, F.when(F.col("splits") > 0, F.col("run")).otherwise(even)).cast("long")
+
+
+def _spread_segments(turns: DataFrame, keys: list[str], chars: Column, block: int) -> DataFrame:
+    """topic_segments() by scans in blocks of turns; what holds for a whole conversation is counted and joined."""
+    x = scanned(turns, keys, "turn_index", block, lasts={"island": F.when(~F.col("shift"), F.col("turn_index"))}).withColumn("base", F.greatest(F.col("island") + 1, F.lit(MIN_GAP)))
+    split = F.col("shift") & (F.col("turn_index") >= F.col("base")) & ((F.col("turn_index") - F.col("base")) % 2 == 0)
+    x = scanned(x.withColumn("split", split), keys, "turn_index", block, {"run": F.col("split").cast("long")}).withColumn("run", F.col("run") + 1)
+    whole = x.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(chars).alias("chars"), F.sum(F.col("split").cast("long")).alias("splits"))
+    x = x.join(whole.withColumnsRenamed({k: f"whole_{k}" for k in keys}), reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"whole_{k}")) for k in keys])).withColumn("part", _part())
+    parts = [*keys, "part"]
+    x = scanned(x, parts, "turn_index", block, {"part_index": F.lit(1).cast("long")}).withColumn("part_index", (F.col("part_index") - 1).cast("int"))
+    return x.select(*turns.columns, "part", "part_index")
+
+
 def segment_conversations(turns: DataFrame, keys: list[str], name: str = "conversation_id") -> DataFrame:
     """Segments (turns with part and part_index, signals and key_terms) as conversations: turn_index anew, the identifier with its part, aggregates, topics and turns of each segment alone; the turns' context_id stays."""
     part = F.coalesce("part", F.lit(0)).alias("part")

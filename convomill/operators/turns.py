@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ANSWER_LIMIT, LINE_END, lines, non_content, strip
+from .scans import scanned
 
 # Fixed values.
 ASSISTANT_START = "Assistant started conversation (no user prompt in export)"
@@ -36,12 +37,16 @@ def transcript_metadata(parts: DataFrame) -> DataFrame:
     return parts.select("path", F.explode(F.concat(first, pairs)).alias("p")).groupBy("path", F.col("p.key").alias("key")).agg(F.max_by("p.value", "p.i").alias("value"))
 
 
-def parse_entries(parts: DataFrame) -> DataFrame:
-    """path, entry (from 0), role, ts_raw, text of a transcript's body. Lines before the first header are dropped."""
+def parse_entries(parts: DataFrame, spread: int | None = None) -> DataFrame:
+    """path, entry (from 0), role, ts_raw, text of a transcript's body. Lines before the first header are dropped. spread: lines to a task's block, for transcripts too long for one task."""
     rows = parts.select("path", F.posexplode(lines(F.col("body"))).alias("pos", "line"))
     head = F.col("line").rlike(ENTRY)
-    w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("entry", F.sum(head.cast("int")).over(w) - 1).where("entry >= 0").withColumn("head", head)
+    if spread:
+        rows = scanned(rows, ["path"], "pos", spread, {"entry": head.cast("long")}).withColumn("entry", F.col("entry") - 1)
+    else:
+        w = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("entry", F.sum(head.cast("int")).over(w) - 1)
+    rows = rows.where("entry >= 0").withColumn("head", head)
     role = F.lower(F.max(F.when(F.col("head"), F.regexp_extract("line", ENTRY, 2))))
     return rows.groupBy("path", "entry").agg(
         F.when(role == "human", "user").otherwise(role).alias("role"),
@@ -50,18 +55,24 @@ def parse_entries(parts: DataFrame) -> DataFrame:
     )
 
 
-def pair_turns(entries: DataFrame, path: str = "path", pos: str = "pos") -> DataFrame:
+def pair_turns(entries: DataFrame, path: str = "path", pos: str = "pos", spread: int | None = None) -> DataFrame:
     """path, turn_index, user_ts, prompt, assistant_ts, answer.
 
     A run of user entries opens a turn, the assistant entries up to the next
     user entry answer it. Blank users count as an opening only. Assistants
     before the first user answer a fixed prompt. Other roles take no part.
+    spread: places to a task's block, for paths too long for one task; it
+    moves the texts once more.
     """
     e = entries.select(F.col(path).alias("path"), F.col(pos).alias("pos"), "role", strip(F.coalesce("text", F.lit(""))).alias("text"), "ts_raw")
     e = e.where((F.col("role") == "user") | ((F.col("role") == "assistant") & (F.col("text") != "")))
-    w = Window.partitionBy("path").orderBy("pos")
-    opens = (F.col("role") == "user") & (F.coalesce(F.lag("role").over(w), F.lit("")) != "user")
-    e = e.withColumn("opens", opens.cast("int")).withColumn("grp", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    starts = lambda before: ((F.col("role") == "user") & (F.coalesce(before, F.lit("")) != "user")).cast("long")
+    if spread:
+        e = scanned(e, ["path"], "pos", spread, lasts={"before": F.col("role")}, inclusive=False)
+        e = scanned(e, ["path"], "pos", spread, {"grp": starts(F.col("before"))})
+    else:
+        w = Window.partitionBy("path").orderBy("pos")
+        e = e.withColumn("opens", starts(F.lag("role").over(w))).withColumn("grp", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     user, reply = (F.col("role") == "user") & (F.col("text") != ""), F.col("role") == "assistant"
     substance = reply & ~non_content(F.col("text"))
     g = e.groupBy("path", "grp").agg(
@@ -72,10 +83,11 @@ def pair_turns(entries: DataFrame, path: str = "path", pos: str = "pos") -> Data
         F.min_by(F.when(user, F.col("ts_raw")), F.when(user, F.col("pos"))).alias("user_ts"),
     )
     g = g.where("last_reply is not null and (users != '' or grp = 0)")
+    g = scanned(g, ["path"], "grp", spread, {"nth": F.lit(1).cast("long")}) if spread else g.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("grp")))
     start = F.col("grp") == 0
     return g.select(
         "path",
-        (F.row_number().over(Window.partitionBy("path").orderBy("grp")) - 1).alias("turn_index"),
+        (F.col("nth") - 1).alias("turn_index"),
         F.when(start, F.col("assistant_ts")).otherwise(F.col("user_ts")).alias("user_ts"),
         F.when(start, F.lit(ASSISTANT_START)).otherwise(F.col("users")).alias("prompt"),
         "assistant_ts",

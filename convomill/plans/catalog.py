@@ -367,6 +367,12 @@ def pair_turns(spark, sf_dir):
     return turns_of(spark, sf_dir)
 
 
+@query(sql("SELECT * FROM TURNS", "TURNS"))
+def pair_turns_spread(spark, sf_dir):
+    """The same in blocks of two places, so that no task has a whole path."""
+    return turns.pair_turns(fx.entries(spark, sf_dir), spread=2)
+
+
 # --- features ----------------------------------------------------------------
 
 SIGNALS = """SELECT path, count(*) AS turn_count, round(sum(score::DECIMAL(10,4))::DOUBLE, 3) AS total_score, count(*) FILTER (question_like) AS question_turns, count(*) FILTER (definition_like) AS definition_turns,
@@ -429,6 +435,13 @@ SPLITS = SHIFTS | {
 }
 
 
+@query(sql("SELECT path, turn_index, part FROM B6", "L_TURNS", "L_TERMS", **SPLITS))
+def topic_segments_spread(spark, sf_dir):
+    """Segments found in blocks of three turns, so that no task has a whole conversation."""
+    x = segments.topic_segments(segments.topic_shifts(long_terms(spark, sf_dir), ["path"]), ["path"], F.length("prompt") + F.length("answer"), spread=3)
+    return x.select("path", "turn_index", "part")
+
+
 SEGMENTS = SPLITS | {
     "B7": "SELECT *, row_number() OVER (PARTITION BY path, part ORDER BY turn_index) - 1 AS nth FROM B6",
     "Y0": "SELECT b.path, coalesce(b.part, 0) AS part, b.nth, unnest(k.key_terms) AS word, generate_subscripts(k.key_terms, 1) AS p FROM B7 b JOIN L_TERMS k USING (path, turn_index)",
