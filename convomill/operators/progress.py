@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import week_label, week_start
+from ..sources.shared import written
+
+#: Bits of a value that are told apart at once.
+DIGIT = 20
 
 
 def weekly_progress(files: DataFrame, processed: DataFrame, runs: DataFrame, as_of: str, weeks: int = 12) -> DataFrame:
@@ -47,10 +51,40 @@ def throughput(snapshots: DataFrame, last: int = 10) -> DataFrame:
     return g.select("scope", "progress", F.round(rate, 6).alias("per_hour"), F.round(rate / 60, 6).alias("per_minute"), left.alias("remaining"), F.round(left / rate, 6).alias("hours_left"))
 
 
+def exact_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key and median (of two middle values the mean, towards zero) of whole numbers; null values don't count, null keys are a key like any other.
+
+    Values are counted, then by their bits but the last DIGIT, then but the
+    last two DIGITs. The median's leading bits are found among the few counts
+    of the last table, the next bits below those alone, and so on: no task
+    holds all values of a key, and none more than 2**DIGIT counts but for
+    the leading bits.
+    """
+    v = written(rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("k"), F.col(value).cast("long").alias("b")).agg(F.count("*").alias("n")))
+    levels = [v]
+    for _ in range(2):
+        levels.append(levels[-1].groupBy("k", F.shiftright("b", DIGIT).alias("b")).agg(F.sum("n").alias("n")))
+    whole = Window.partitionBy("k")
+    total = F.sum("n").over(whole)
+    ranks = F.explode(F.array(F.struct(F.lit(1).alias("which"), F.expr("(total - 1) div 2").alias("rank")), F.struct(F.lit(2).alias("which"), F.expr("total div 2").alias("rank")))).alias("t")
+    x = levels[-1].withColumn("total", total).select("k", "b", "n", ranks).select("k", "b", "n", "t.*")
+    for level in (*levels[-2::-1], None):
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("k", "which").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = x.withColumn("before", before).where("rank >= before and rank < before + n").select("k", "which", "b", (F.col("rank") - F.col("before")).alias("rank"))
+        if level is None:
+            break
+        top = at.select(F.col("k").alias("tk"), "which", F.col("b").alias("tb"), "rank")
+        x = level.join(top, F.col("k").eqNullSafe(F.col("tk")) & (F.shiftright("b", DIGIT) == F.col("tb"))).select("k", "b", "n", "which", "rank")
+    return at.groupBy(F.col("k").alias(key)).agg(F.expr("cast(sum(cast(b as decimal(38,0))) / 2 as decimal(38,1))").alias("m")).select(key, F.expr("cast(m as bigint)").alias("median"))
+
+
 def run_time_stats(cards: DataFrame) -> DataFrame:
-    """Per run: first, last and median card time (microseconds), cards with a time, cards."""
-    micros = F.unix_micros("at")
-    return cards.groupBy("run_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.percentile(micros, F.lit(0.5)).cast("long").alias("median_micros"), F.count("at").alias("n_timed"), F.count("*").alias("n_cards"))
+    """Per run: first, last and median card time (microseconds), cards with a time, cards. A run of most cards is no single task."""
+    micros = F.unix_micros("at").alias("micros")
+    stats = cards.groupBy("run_id").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("at").alias("n_timed"), F.count("*").alias("n_cards"))
+    middle = exact_medians(cards.select("run_id", micros), "run_id", "micros").withColumnRenamed("run_id", "of_run")
+    x = stats.join(middle, F.col("run_id").eqNullSafe(F.col("of_run")), "left")
+    return x.select("run_id", "first_at", "last_at", F.col("median").alias("median_micros"), "n_timed", "n_cards")
 
 
 def run_time(run_id):
