@@ -51,8 +51,8 @@ def key_topics(turns: DataFrame, keys: list[str], order: str = "turn_index", lim
     return ranked_terms(turns.groupBy(*keys).agg(joined.alias("all_terms")), keys, F.col("all_terms"), limit)
 
 
-def conversation_signals(turns: DataFrame, keys: list[str], order: str = "turn_index", chars: str = "answer_length") -> DataFrame:
-    """Aggregates of scored turns; the engagement bonus is in aggregate_score only."""
+def conversation_signals(turns: DataFrame, keys: list[str], order: str = "turn_index", chars: str = "answer_length", more: list[Column] | None = None) -> DataFrame:
+    """Aggregates of scored turns, and more of the same pass; the engagement bonus is in aggregate_score only."""
     exact = F.sum(F.col("score").cast("decimal(10,4)")).cast("double")
     later = F.col(order) > 0
     count = lambda c: F.count_if(c)
@@ -68,6 +68,7 @@ def conversation_signals(turns: DataFrame, keys: list[str], order: str = "turn_i
         count(later & t.any_of(F.lower("prompt"), t.FOLLOWUP_PHRASES)).alias("followup_turns"),
         count(later & t.any_of(F.lower("answer"), t.CORRECTION_PHRASES)).alias("correction_turns"),
         F.sum(F.length("prompt") + F.col(chars)).alias("total_char_count"),
+        *(more or []),
     )
     bonus = F.when((F.col("turn_count") >= 2) & (F.col("question_turns") > 0), 0.5).otherwise(0.0)
     return out.withColumns({"avg_score": F.round(F.col("total_score") / F.col("turn_count"), 6), "has_mega_paste": F.col("max_user_prompt_chars") > 20000, "aggregate_score": F.round(F.col("total_score") + bonus, 4)})
@@ -75,4 +76,9 @@ def conversation_signals(turns: DataFrame, keys: list[str], order: str = "turn_i
 
 def assembled(turns: DataFrame, keys: list[str], columns: list[str], order: str = "turn_index") -> DataFrame:
     """One row per conversation with its turns in order."""
-    return turns.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("turns"))
+    return turns.groupBy(*keys).agg(in_order(columns, order))
+
+
+def in_order(columns: list[str], order: str = "turn_index") -> Column:
+    """The aggregate turns: columns of all rows as structs, in order."""
+    return F.array_sort(F.collect_list(F.struct(order, *columns))).alias("turns")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import TOPIC_MARKERS, any_of
 from ..sources.shared import written
-from .features import assembled, conversation_signals, key_topics
+from .features import conversation_signals, in_order, key_topics
 from .scans import scanned
 
 MAX_TURNS, MAX_CHARS, LOW_OVERLAP, MIN_GAP = 10, 8000, 0.2, 2
@@ -70,9 +70,9 @@ def segment_conversations(turns: DataFrame, keys: list[str], name: str = "conver
     part = F.coalesce("part", F.lit(0)).alias("part")
     named = F.when(F.col("part").isNull(), F.col(name)).otherwise(F.concat(name, F.lit("_part"), F.col("part").cast("string"))).alias("segment_id")
     x = turns.select(*keys, part, named, F.col("part_index").alias("turn_index"), *[c for c in turns.columns if c not in {*keys, "part", "part_index", "turn_index", "segment_id"}])
-    by = [*keys, "part", "segment_id"]
+    by, x = [*keys, "part", "segment_id"], written(x)
     topics = key_topics(x, by).withColumnRenamed("terms", "key_topics")
-    whole = conversation_signals(x, by).join(topics, by, "left").join(assembled(x, by, ["context_id", "score"]), by)
+    whole = conversation_signals(x, by, more=[in_order(["context_id", "score"])]).join(topics, by, "left")
     return whole.withColumn("key_topics", F.coalesce("key_topics", F.array().cast("array<string>")))
 
 
