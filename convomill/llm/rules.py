@@ -42,8 +42,8 @@ FAR_CHARS, FAR_WORDS = 0.28, 0.33
 NOISE = COMMON / (8 * math.log(2))
 LOOSE, STEPS, PARTS = 1.25, 1000, 64
 MIN_WORDS, REPEATED, WINDOW = 10, 20, 5
-#: Words counted before they are sent on, texts taken apart at once.
-FLUSH, ROWS = 400_000, 256
+#: Words counted before they are sent on, texts taken apart at once, bytes counted at once.
+FLUSH, ROWS, SLICE = 400_000, 256, 1 << 20
 
 _BLANK = b" \t\n\x0b\x0c\r"
 _CLASS = np.full(256, 6, np.int64)
@@ -96,6 +96,13 @@ def repeated_words(words: list[bytes], width: int = WINDOW) -> int:
     return int(inside.sum())
 
 
+def class_counts(data: bytes) -> np.ndarray:
+    """Characters of each class; bytes are counted in slices, so a very long text takes no more room."""
+    view = np.frombuffer(data, np.uint8)
+    counts = sum((np.bincount(view[at : at + SLICE], minlength=256) for at in range(0, len(view), SLICE)), np.zeros(256, np.int64))
+    return np.bincount(_CLASS, counts, minlength=8)[:7].astype(np.int64)
+
+
 def _plain(words: list[bytes]) -> list[bytes]:
     """Words as they are counted: A-Z in lower case, without sentence marks around, short ones only."""
     return [w for w in (x.strip(_ENDS) for x in words) if 0 < len(w) <= WORD_BYTES]
@@ -150,7 +157,7 @@ def features(documents: DataFrame, common: DataFrame, key: str = "doc_id", lang:
                 data = body.encode("utf-8", "surrogatepass")
                 words = data.split()
                 lines = [x for x in data.split(b"\n") if x.strip(_BLANK)]
-                classes = np.bincount(_CLASS[np.frombuffer(data, np.uint8)], minlength=8)[:7]
+                classes = class_counts(data)
                 own, found = ranks.get(name), []
                 langs.append(name if own is not None else None)
                 if own is not None:
