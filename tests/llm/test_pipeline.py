@@ -114,3 +114,26 @@ def test_empty_null_and_clashing_columns(spark):
             docs = written(stage(spark, docs, SF))
             assert i == 4 or [f.name for f in docs.schema] == [*["doc_id", "text", "lang", "source", "n_chars"], *names]
         assert docs.select(F.coalesce("doc_id", F.lit(-1))).distinct().count() == left
+
+
+def test_long_texts_ties_and_repeated_rows(spark):
+    """A text of over a megabyte with a copy and a near copy, equal rows, and texts that differ in their identifiers alone: equal ones are judged alike, the smallest identifier stays, all ids are packed."""
+    rng = np.random.default_rng(2)
+    vocab = [r.text.split()[0] for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 20").limit(150).collect()]
+    long = " ".join(np.array(vocab)[rng.integers(len(vocab), size=200_000)])
+    near = long.replace(" ", " changed ", 1)
+    short = " ".join(np.array(vocab)[rng.integers(len(vocab), size=60)])
+    rows = [(20, long), (10, long), (30, near), (40, short), (40, short), (41, short), (50, short[::-1])]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len(long) > 1_000_000
+    judged = written(corpus_pipeline.classify(spark, docs, SF))
+    kept = {r.doc_id for r in judged.select("doc_id").distinct().collect()}
+    assert len(kept & {10, 20}) in (0, 2) and len(kept & {40, 41}) in (0, 2)
+    single = written(corpus_pipeline.near_duplicates(spark, docs, SF))
+    assert sorted(r.doc_id for r in single.select("doc_id").collect()) == [10, 40, 40, 50]
+    clean = written(corpus_pipeline.redact(spark, written(corpus_pipeline.decontaminate(spark, single, SF)), SF))
+    assert sorted(r.doc_id for r in clean.select("doc_id").collect()) == [10, 40, 40, 50]
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    n = {r.doc_id: len(whole.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect()}
+    got = {r.doc_id: r.n for r in corpus_pipeline.pack(spark, clean, SF).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert got == {d: k * (2 if d == 40 else 1) for d, k in n.items()}
