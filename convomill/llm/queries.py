@@ -26,7 +26,7 @@ def op3_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return chat.conversation_digest(written(chat.formatted_turns(rows)))
+    return chat.examples_digest(written(chat.expanded(chat.formatted_turns(rows))))
 
 
 def op4_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
