@@ -93,3 +93,17 @@ def test_texts_of_pairs_are_moved_once(spark, monkeypatch):
     before = shuffled(spark)
     assert similarity.string_duplicates(frame(spark, group, 0), frame(spark, group, 1)).count() == 80 * 80
     assert shuffled(spark) - before < 4 * sum(map(len, group))
+
+
+def test_a_turn_is_compared_until_it_is_caught(spark, monkeypatch):
+    """The smallest card of each turn, from groups of near copies and blocks of a few texts."""
+    monkeypatch.setattr(text_blocks, "CHARACTERS", 3_000)
+    found = texts(200, 5) + [" ".join(f"word{k}" for k in range(60)) + f" n{i % 30}" for i in range(60)]
+    turns = frame(spark, found, 0).selectExpr("rep turn_id", "norm prompt", "'' answer")
+    cards = frame(spark, found, 1).selectExpr("rep card_id", "norm front", "'' back")
+    near = lambda a, b: jaccard(a, b) >= 0.6 * 0.82 and SequenceMatcher(None, a, b).ratio() >= 0.82
+    want = {i: min((k for k, b in enumerate(found) if k % 2 and near(a, b)), default=None) for i, a in enumerate(found) if i % 2 == 0}
+    assert {r.turn_id: r.card_id for r in similarity.lexical_duplicates(turns, cards, 0.82).collect()} == want
+    all_pairs = similarity.string_duplicates(frame(spark, found, 0), frame(spark, found, 1), distinct=True).count()
+    some = similarity.string_duplicates(frame(spark, found, 0), frame(spark, found, 1), distinct=True, first=True).count()
+    assert some < all_pairs / 3
