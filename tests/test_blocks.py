@@ -3,9 +3,10 @@
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 
-from convomill.operators import similarity, text_blocks, word_blocks
+from convomill.operators import similarity, text_blocks, vectors, word_blocks
 from convomill.operators.ratio import Ratio
 
 
@@ -107,3 +108,29 @@ def test_a_turn_is_compared_until_it_is_caught(spark, monkeypatch):
     all_pairs = similarity.string_duplicates(frame(spark, found, 0), frame(spark, found, 1), distinct=True).count()
     some = similarity.string_duplicates(frame(spark, found, 0), frame(spark, found, 1), distinct=True, first=True).count()
     assert some < all_pairs / 3
+
+
+def test_a_query_is_not_shuffled_to_each_bucket(spark):
+    """Near-random vectors ask most buckets: a query went to each with its vector."""
+    rng = np.random.default_rng(1)
+    q, c = (spark.createDataFrame([(i + at, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(n, 32)))], "vec_id long, embedding array<double>") for n, at in ((600, 0), (2500, 10_000)))
+    before = shuffled(spark)
+    assert vectors.approximate_matches(q, c, 3).count() == 1800
+    assert shuffled(spark) - before < 2 * (600 + 2500) * 32 * 8
+
+
+@pytest.mark.parametrize("k", [1, 3, 20])
+def test_chunks_keep_ties_and_blocks(spark, monkeypatch, k):
+    """Small chunks, equal vectors in several blocks and chunks: the smaller identifier first."""
+    monkeypatch.setattr(vectors, "CHUNK", 40)
+    rng = np.random.default_rng(2)
+    x = np.round(rng.normal(size=(700, 3)))
+    x[~x.any(1)] = 1.0
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    score = np.round(unit[:100] @ unit[100:].T, 12)
+    want = {i: [int(j) + 100 for j in np.lexsort((np.arange(600), -row))[:k]] for i, row in enumerate(score)}
+    q, c = (spark.createDataFrame([(i, [float(y) for y in x[i]]) for i in ids], "vec_id long, embedding array<double>") for ids in (range(100), range(100, 700)))
+    got = {}
+    for r in vectors.top_matches(q, c, k, rows=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.card_id)
+    assert got == want
