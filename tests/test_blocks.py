@@ -134,3 +134,14 @@ def test_chunks_keep_ties_and_blocks(spark, monkeypatch, k):
     for r in vectors.top_matches(q, c, k, rows=50).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.card_id)
     assert got == want
+
+
+def test_a_text_is_not_shuffled_to_each_block(spark):
+    """Vectors of short texts lie in many blocks at like angles: each was asked with a copy of the vector."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(12))) for i in range(9000)]
+    turns, cards = (spark.createDataFrame([r for r in rows if (r[0] % 3 == 0) == turn], "id long, text string") for turn in (True, False))
+    before = shuffled(spark)
+    found = vectors.text_matches(turns, cards, 0.95, vectors.hashed_words(64))
+    assert found.count() == 3000
+    assert shuffled(spark) - before < 3 * 9000 * 64
